@@ -95,7 +95,7 @@ SHOWN = [c for c in PRICED if c != "discount"]
 
 
 @query("heatmap_long", f"WITH {PRICED_SQL}" + union_all_sql([
-    f"SELECT '{a}' AS col1, '{b}' AS col2, round(({_r(a, b)})::DOUBLE, 2) AS r "
+    f"SELECT '{a}' AS col1, '{b}' AS col2, round(({_r(a, b)})::DOUBLE, 2) + 0.0 AS r "
     f"FROM priced" for a in SHOWN for b in SHOWN]))
 def heatmap_long(spark, sf_dir):
     return charts.heatmap_long(_priced(spark, sf_dir), PRICED, SHOWN)

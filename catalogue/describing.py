@@ -143,7 +143,7 @@ def _r(a: str, b: str) -> str:
 
 
 @query("correlation_matrix", f"WITH {PRICED_SQL}" + union_all_sql([
-    f"SELECT '{a}' AS col1, '{b}' AS col2, round(({_r(a, b)})::DOUBLE, 6) AS r FROM priced"
+    f"SELECT '{a}' AS col1, '{b}' AS col2, round(({_r(a, b)})::DOUBLE, 6) + 0.0 AS r FROM priced"
     for a in PRICED for b in PRICED]))
 def correlation_matrix(spark, sf_dir):
     found = describe.correlation_matrix(_priced(spark, sf_dir), PRICED)

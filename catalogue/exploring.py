@@ -36,13 +36,11 @@ def page_rows(spark, sf_dir):
 
 @query("page_rows_deep", """
 SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey
-LIMIT 25 OFFSET (SELECT count(*) // 2 FROM orders)""")
+LIMIT 25 OFFSET (SELECT 25 * (count(*) // 50) FROM orders)""")
 def page_rows_deep(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
-    total = orders.count()
-    start = explore.key_at(orders, "o_orderkey", total // 2, total)
-    return orders.where(F.col("o_orderkey") >= start).orderBy("o_orderkey").limit(25).select(
-        "o_orderkey", "o_totalprice")
+    found = explore.page_rows(orders, "o_orderkey", page=orders.count() // 50, size=25)
+    return found.select("o_orderkey", "o_totalprice")
 
 
 @query("page_after", """

@@ -43,7 +43,9 @@ def parse(text: Column, name: str) -> Column:
         if layout.name == name:
             iso = F.regexp_replace(text, layout.pattern, layout.iso)
             return F.when(text.rlike(layout.pattern), iso.try_cast("timestamp_ntz"))
-    return F.try_to_timestamp(F.trim(text), F.lit(name)).cast("timestamp_ntz")
+    # Only text with a word in it reaches the pattern parser.
+    return F.when(text.rlike("[A-Za-z]{3}"), F.try_to_timestamp(F.trim(text), F.lit(name))
+                  .cast("timestamp_ntz"))
 
 
 def choose_format(df: DataFrame, name: str) -> str:
@@ -55,6 +57,11 @@ def choose_format(df: DataFrame, name: str) -> str:
     return FORMAT_NAMES[best]
 
 
+def format_of(df: DataFrame, name: str) -> str | None:
+    """The layout of a text column; None for columns that need none."""
+    return choose_format(df, name) if isinstance(V.dtype_of(df, name), T.StringType) else None
+
+
 def as_timestamp(df: DataFrame, name: str, fmt: str | None = None) -> Column:
     """A date column as timestamp without zone, whatever its physical type.
 

@@ -1,6 +1,6 @@
 """Value-frequency tables: the shared base of distinct counts, modes, facets.
 
-Cells are unpivoted to narrow (column, value) rows, one frame per type family,
+Cells are unpivoted to narrow (position, value) rows, one frame per type family,
 and counted with a map-side partial aggregate. A repeated value collapses before
 the shuffle and a high-cardinality column spreads by value, so no single column
 or value can load one task.
@@ -21,14 +21,25 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def family_counts(df: DataFrame, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+def family_counts(df: DataFrame, names: Iterable[str] | None = None,
+                  longest: int | None = None) -> dict[str, DataFrame]:
     """Per type family: (column, value, n) with `value` in the native type.
 
-    Missing cells form one row with a null value.
+    Missing cells form one row with a null value. Where only the number of
+    values matters, texts over `longest` characters stand as SHA-256 digests.
     """
+    def cell(name: str) -> Column:
+        value = V.native(df, name)
+        if longest is None or V.family(V.dtype_of(df, name)) != "string":
+            return value
+        # The mark makes a digest longer than any text that is kept as it is.
+        digest = F.concat(F.lit("sha256:"), F.sha2(value, 256))
+        return F.when(F.length(value) > longest, digest).otherwise(value)
+
     return {
-        kind: V.long_form(df, {c: V.native(df, c) for c in cols})
-        .groupBy("column", "value").agg(F.count("*").alias("n"))
+        kind: V.with_names(
+            V.long_form(df, {c: cell(c) for c in cols})
+            .groupBy("pos", "value").agg(F.count("*").alias("n")), cols)
         for kind, cols in V.with_families(df, names).items()
     }
 

@@ -211,9 +211,9 @@ def column_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float]
     names = list(names)
     if not names:
         return {}
-    keyed = None if counts is None else {(c,): counts[c] for c in names}
-    found = exact_quantiles(V.numbers_long(df, names), ["column"], probs, keyed, **limits)
-    return {g[0]: q for g, q in found.items()}
+    keyed = None if counts is None else {(i,): counts[c] for i, c in enumerate(names)}
+    found = exact_quantiles(V.numbers_long(df, names), ["pos"], probs, keyed, **limits)
+    return {names[g[0]]: q for g, q in sorted(found.items())}
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, output: str = "bucket") -> DataFrame:

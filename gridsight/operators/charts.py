@@ -73,10 +73,11 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFr
     if not ranges:
         return spark.createDataFrame([], f"{schema}, count bigint")
     slots = V.long_form(df, {
-        c: F.least(F.width_bucket(numbers[c], F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins))
+        c: F.when(numbers[c].isNotNull(), F.least(
+            F.width_bucket(numbers[c], F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins)))
         for c, (lo, hi) in ranges.items()})
-    counts = slots.where(F.col("value").isNotNull()).groupBy(
-        "column", F.col("value").cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counts = V.with_names(slots.where(F.col("value").isNotNull()).groupBy(
+        "pos", F.col("value").cast("int").alias("bin")).agg(F.count("*").alias("n")), ranges)
     table = spark.createDataFrame(grid, schema)  # bins x columns rows
     return table.join(counts, ["column", "bin"], "left").select(
         "column", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("count"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridsight.functions import frequency, quantiles
+from gridsight.functions import duplicates, frequency, quantiles
 from gridsight.functions import values as V
 from gridsight.operators import profile as P
 from gridsight.session import stage
@@ -56,14 +56,9 @@ def drop_duplicates(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """Exact duplicate rows reduced to one; nulls are equal.
 
     `order_by` names a row-number column that is not part of the row itself;
-    the first copy's number is kept. Copies collapse map-side, so a row that
-    makes up a third of the table is no hot key.
+    the first copy's number is kept.
     """
-    if order_by is None:
-        return df.distinct()
-    data = [c for c in df.columns if c != order_by]
-    return df.groupBy(*[V.col(c) for c in data]).agg(
-        F.min(V.col(order_by)).alias(order_by)).select(*[V.col(c) for c in df.columns])
+    return duplicates.unique_rows(df, order_by)
 
 
 # --- missing cells --------------------------------------------------------------------------

@@ -70,10 +70,10 @@ def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def numeric_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mode): most frequent number, the smallest on ties."""
-    numbers = V.numbers_long(df, columns).groupBy("column", "value").agg(
-        F.count("*").alias("n"))
+    numbers = V.numbers_long(df, columns).groupBy("pos", "value").agg(F.count("*").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("rank"), "value"))
-    return numbers.groupBy("column").agg(best.getField("value").alias("mode"))
+    return V.with_names(
+        numbers.groupBy("pos").agg(best.getField("value").alias("mode")), columns)
 
 
 def numeric_describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

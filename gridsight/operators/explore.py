@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -16,8 +15,10 @@ SAMPLE_SEED = 42
 FACET_LIMIT = 15
 HIDDEN_FACET = "Unknown"
 TOP_COUNTS = 10
-# Up to this many rows a page is cut from a bounded heap; deeper pages start at a key.
-SHALLOW_OFFSET = 100_000
+# Up to this many keys are skipped in a bounded heap; deeper pages start at a found key.
+SHALLOW_OFFSET = 1_000
+KEY_RANGES = 256
+MAX_ZEROS = 8
 
 
 # --- rows -----------------------------------------------------------------------------------
@@ -37,29 +38,49 @@ def search_rows(df: DataFrame, query: str, regex: bool = True) -> DataFrame:
 
 
 def page_rows(df: DataFrame, key: str, page: int, size: int = 10) -> DataFrame:
-    """Page `page` (from 0) in the order of a unique key.
+    """Page `page` (from 0) in the order of a unique key, of any sortable type.
 
-    Shallow pages come from per-task heaps. A deep page of a numeric key first
-    finds the key at its first row by exact rank selection, so no task sorts the
-    rows in front of it.
+    The keys of the page are found first, on the key column alone; whole rows
+    are then read for that key range only.
     """
-    offset = page * size
-    order = V.col(key)
-    if offset > SHALLOW_OFFSET and V.is_numeric(V.dtype_of(df, key)):
-        total = df.agg(F.count(order)).first()[0]
-        if offset >= total:
-            return df.limit(0)
-        start = key_at(df, key, offset, total)
-        return df.where(order >= start).orderBy(order).limit(size)
-    return df.orderBy(order).offset(offset).limit(size)
-
-
-def key_at(df: DataFrame, key: str, rank: int, total: int, **limits) -> float:
-    """The key with `rank` smaller ones (0-based); exact for whole numbers below 2**53."""
-    position = Fraction(rank, max(total - 1, 1))  # exact, so no interpolation
-    found = quantiles.column_quantiles(
-        df, [key], [position], {key: total}, direct_limit=0, **limits)
-    return found[key][0]
+    keys = df.select(V.col(key).alias("k")).where("k is not null")
+    start, offset = first_key_near(keys, page * size)
+    if offset is None:
+        return df.limit(0)
+    rows = keys if start is None else keys.where(F.col("k") >= start)
+    wanted = rows.orderBy("k").offset(offset).limit(size)
+    ends = wanted.agg(F.min("k").alias("low"), F.max("k").alias("high")).first()
+    if ends["low"] is None:
+        return df.limit(0)
+    k = V.col(key)
+    return df.where((k >= ends["low"]) & (k <= ends["high"])).orderBy(k)
+
+
+def first_key_near(keys: DataFrame, rank: int, ranges: int = KEY_RANGES,
+                   near: int = SHALLOW_OFFSET) -> tuple:
+    """(start key, offset behind it) of the key at `rank`; (None, None) past the end.
+
+    The keys are cut into even sorted ranges and counted, and the range that
+    holds the rank is cut again until the offset in it is small. One row per
+    range is read.
+    """
+    start = None
+    inside = keys
+    while rank > near:
+        parts = inside.repartitionByRange(ranges, "k").groupBy(
+            F.spark_partition_id().alias("part")).agg(
+            F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).collect()
+        for r in sorted(parts, key=lambda r: r["part"]):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        else:
+            return None, None
+        start = r["low"]
+        if r["low"] == r["high"]:
+            break
+        inside = keys.where((F.col("k") >= r["low"]) & (F.col("k") <= r["high"]))
+    return start, rank
 
 
 def page_after(df: DataFrame, key: str, after, size: int = 10) -> DataFrame:
@@ -73,15 +94,27 @@ def sample_order(key: Column, seed: int = SAMPLE_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def hash_sample(rows: DataFrame, key: str, size: int, seed: int = SAMPLE_SEED) -> DataFrame:
+    """The `size` rows that come first in hash order of a unique key.
+
+    One counting pass finds the longest run of leading zeros that still has
+    enough rows; only those few rows are sorted, however many there are in all.
+    """
+    digest = sample_order(V.col(key), seed)
+    zeros = rows.agg(*[
+        F.count_if(digest.startswith("0" * k)).alias(f"z{k}") for k in range(1, MAX_ZEROS + 1)
+    ]).first()
+    longest = max([k for k in range(1, MAX_ZEROS + 1) if zeros[f"z{k}"] >= size], default=0)
+    near = rows.where(digest.startswith("0" * longest)) if longest else rows
+    return near.orderBy(digest, V.col(key)).limit(size)
+
+
 def column_sample(df: DataFrame, column: str, key: str, size: int = SAMPLE_ROWS,
                   seed: int = SAMPLE_SEED) -> DataFrame:
     """At most `size` non-missing values of a column, the same ones on every run."""
     value = V.present(df, column)
-    return (
-        df.where(value.isNotNull())
-        .select(V.col(key).alias("row_key"), value.alias("value"))
-        .orderBy(sample_order(F.col("row_key"), seed), "row_key").limit(size)
-    )
+    rows = df.where(value.isNotNull()).select(V.col(key).alias("row_key"), value.alias("value"))
+    return hash_sample(rows, "row_key", size, seed)
 
 
 def sample_top_values(sample: DataFrame, top: int = TOP_COUNTS) -> DataFrame:
@@ -126,20 +159,28 @@ def group_agg(df: DataFrame, row: str, value: str, how: str = "sum") -> DataFram
         F.col("k0").alias(row), F.col("cell").alias(value)).orderBy(V.col(row))
 
 
+def _axis(df, row, column, value, how, cells) -> DataFrame:
+    """Distinct pivot columns, from the input columns where that is enough."""
+    if how in ("std", "var"):  # these need two values in one cell
+        return cells.select("k1").distinct()
+    filled = [V.col(row).isNotNull(), V.col(column).isNotNull()]
+    if how not in ("sum", "count", "nunique"):  # an empty group has no cell
+        filled.append(V.present(df, value).isNotNull())
+    return df.where(frequency.all_of(filled)).select(V.col(column).alias("k1")).distinct()
+
+
 def pivot(df: DataFrame, row: str, column: str, value: str, how: str = "sum") -> DataFrame:
     """Row by column matrix of an aggregate; missing cells are 0, both axes sorted.
 
-    Cells are aggregated first, so the pivot itself sees one row per cell.
-    Columns without any value are dropped.
+    Cells are aggregated first, so the pivot itself sees one row per cell. Rows
+    and columns without any cell are dropped.
     """
-    cells = _grouped(df, [row, column], value, how)
-    label = F.coalesce(V.text_of(F.col("k1").cast(V.family(V.dtype_of(df, column))),
-                                 V.family(V.dtype_of(df, column))), F.lit("null"))
+    cells = _grouped(df, [row, column], value, how).where(F.col("cell").isNotNull())
+    kind = V.family(V.dtype_of(df, column))
+    label = V.text_of(F.col("k1").cast(kind), kind)
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    axis = (
-        cells.where(F.col("cell").isNotNull()).select("k1", label.alias("label")).distinct()
-        .orderBy("k1").limit(limit + 1).collect()
-    )
+    axis = (_axis(df, row, column, value, how, cells)
+            .select("k1", label.alias("label")).orderBy("k1").limit(limit + 1).collect())
     if len(axis) > limit:
         raise ValueError(f"'{column}' has more than {limit} values (spark.sql.pivotMaxValues)")
     labels = [r["label"] for r in axis]

@@ -304,8 +304,10 @@ def is_classification(df: DataFrame, target: str) -> bool:
     """A target that is no number, or has fewer than five values, names classes."""
     if not V.is_numeric(V.dtype_of(df, target)):
         return True
-    few = df.select(V.present(df, target).alias("v")).where("v is not null").distinct()
-    return len(few.take(FEWEST_VALUES)) < FEWEST_VALUES
+    values = df.select(V.present(df, target).alias("v")).where("v is not null")
+    if len(values.limit(P.HEAD_ROWS).distinct().take(FEWEST_VALUES)) >= FEWEST_VALUES:
+        return False
+    return len(values.distinct().take(FEWEST_VALUES)) < FEWEST_VALUES
 
 
 def refuse_date_target(df: DataFrame, target: str) -> None:
@@ -406,7 +408,7 @@ def train_clusters(df: DataFrame, predictors: Sequence[str], k: int = 3,
 
 def plot_sample(rows: DataFrame, key: str, size: int = PLOT_POINTS) -> DataFrame:
     """At most 150 rows for plotting, the same ones on every run."""
-    return rows.orderBy(explore.sample_order(V.col(key)), V.col(key)).limit(size)
+    return explore.hash_sample(rows, key, size)
 
 
 def score(trained: Trained, df: DataFrame) -> DataFrame:

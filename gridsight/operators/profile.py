@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridsight.functions import dates, frequency
+from gridsight.functions import dates, duplicates, frequency
 from gridsight.functions import values as V
 
 # Name parts that mark ids and dates, and the boolean spellings.
@@ -17,9 +17,11 @@ DATE_NAME_PARTS = ("date", "time", "year", "month", "day")
 BOOLEAN_SPELLINGS = ("0", "1", "True", "False", "true", "false", "T", "F", "Y", "N",
                      "yes", "no", "Yes", "No")
 
+# Longer texts are counted by digest, so that long texts are not shuffled.
+LONGEST_COUNTED_TEXT = 64
 SAMPLE_SIZE = 10
 DATE_SAMPLE_SIZE = 100
-HEAD_ROWS = 1000
+HEAD_ROWS = 200
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -65,7 +67,8 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None,
             F.count("value").alias("unique_count"),
             F.coalesce(F.bool_and(boolean_like(kind)), F.lit(False)).alias("boolean_like"),
         )
-        for kind, counts in frequency.family_counts(df, columns).items()
+        for kind, counts in frequency.family_counts(
+            df, columns, longest=LONGEST_COUNTED_TEXT).items()
     ])
 
 
@@ -95,16 +98,13 @@ def head_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] |
     without it the first rows in scan order, which reads only the first splits.
     """
     names = list(columns)
-    texts = [V.as_text(df, c).alias(f"v{j}") for j, c in enumerate(names)]
-    if order_by:
-        keys = [V.col(k).alias(f"k{j}") for j, k in enumerate(order_by)]
-        order = [f"k{j}" for j in range(len(keys))]
-        first = df.select(*keys, *texts).orderBy(*order).limit(rows)
-        number = F.row_number().over(Window.orderBy(*order))
-    else:
-        first = df.select(*texts).limit(rows)
-        number = F.monotonically_increasing_id()
-    cells = first.select(number.alias("i"), F.explode(F.array(*[
+    order = [V.col(k) for k in order_by or ()]
+    first = (df.orderBy(*order) if order else df).limit(rows)
+    number = F.row_number().over(Window.orderBy(*order)) if order else (
+        F.monotonically_increasing_id())
+    texts = [V.as_text(first, c).alias(f"v{j}") for j, c in enumerate(names)]
+    first = first.select(number.alias("i"), *texts)
+    cells = first.select("i", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"v{j}").alias("value"))
         for j, c in enumerate(names)])).alias("cell"))
     return cells.select("cell.column", "i", "cell.value").where("cell.value is not null")
@@ -116,16 +116,13 @@ def sample_values(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]
 
     One bounded top-k per column, so a sparse column costs a scan of itself only.
     """
+    keys = [V.col(k) for k in order_by]
     frames = []
     for c in columns or df.columns:
-        keys = [V.col(k).alias(f"k{j}") for j, k in enumerate(order_by)]
-        top = (
-            df.select(*keys, V.as_text(df, c).alias("value"))
-            .where(F.col("value").isNotNull())
-            .orderBy(*[f"k{j}" for j in range(len(keys))]).limit(size)
-        )
-        number = F.row_number().over(Window.orderBy(*[f"k{j}" for j in range(len(keys))]))
-        frames.append(top.select(F.lit(c).alias("column"), number.alias("position"), "value"))
+        top = df.where(V.present(df, c).isNotNull()).orderBy(*keys).limit(size)
+        frames.append(top.select(
+            F.lit(c).alias("column"), F.row_number().over(Window.orderBy(*keys)).alias("position"),
+            V.as_text(top, c).alias("value")))
     return frequency.union_all(frames)
 
 
@@ -222,17 +219,13 @@ def profile_table(df: DataFrame) -> DataFrame:
     """One row: records, features, missing cells, exact duplicate rows."""
     missing = sum((F.when(V.present(df, c).isNull(), 1).otherwise(0) for c in df.columns),
                   F.lit(0))
-    cells = [V.native(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    # Equal rows collapse map-side into one counted row; nulls are equal to each other.
-    unique = df.select(*cells, missing.alias("m")).groupBy(
-        *[f"c{i}" for i in range(len(cells))], "m").agg(F.count("*").alias("n"))
-    return unique.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("num_records"),
-        F.lit(len(df.columns)).cast("bigint").alias("num_features"),
-        F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).cast("bigint")
-        .alias("total_missing"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count"),
-    )
+    totals = df.select(missing.alias("m")).agg(F.count("*").alias("num_records"), F.sum("m").alias("total_missing"))
+    copies = duplicates.copies(df).agg(
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count"))
+    return totals.select(
+        "num_records", F.lit(len(df.columns)).cast("bigint").alias("num_features"),
+        F.coalesce("total_missing", F.lit(0)).cast("bigint").alias("total_missing"),
+        copies.scalar().alias("duplicate_count"))
 
 
 def type_summary(profile: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
+from gridsight.functions import dates
 from gridsight.functions.money import DEFAULT_CURRENCY
 from gridsight.functions.values import col
 from gridsight.operators import (
@@ -46,15 +47,16 @@ class Analysis(NamedTuple):
 
 def trend_tables(data: DataFrame, types: dict[str, str]) -> Trends | None:
     """Period sums of the first numbers over the first date column."""
-    dates = profile.of_type(types, "datetime")
+    found = profile.of_type(types, "datetime")
     numbers = profile.of_type(types, "numeric")[:timeseries.TREND_COLUMNS]
-    if not dates:
+    if not found:
         return None
-    grain = timeseries.choose_grain(data, dates[0])
+    layout = dates.format_of(data, found[0])
+    grain = timeseries.choose_grain(data, found[0], layout)
     if grain is None or not numbers:
         return None
-    periods = timeseries.resample(data, dates[0], numbers, grain)
-    return Trends(dates[0], grain, periods, timeseries.growth(periods),
+    periods = timeseries.resample(data, found[0], numbers, grain, layout)
+    return Trends(found[0], grain, periods, timeseries.growth(periods),
                   timeseries.peak_and_low(periods))
 
 

@@ -43,17 +43,26 @@ def sniff_separator(line: str) -> str:
     return next((sep for sep in ("\t", ";") if sep in line), ",")
 
 
-def header_names(line: str, sep: str) -> list[str]:
-    """Unique column names: repeats get `.1`, `.2`; blanks get their position."""
+def header_names(line: str, sep: str, case_sensitive: bool = False) -> list[str]:
+    """Unique column names: repeats get `.1`, `.2`; blanks get their position.
+
+    Names that differ in case only count as repeats unless the session tells
+    them apart.
+    """
+    def key(name: str) -> str:
+        return name if case_sensitive else name.lower()
+
     cells = next(csv.reader([line], delimiter=sep), [])
     names: list[str] = []
-    seen: Counter[str] = Counter()
+    taken: set[str] = set()
+    repeats: Counter[str] = Counter()
     for i, cell in enumerate(cells):
         base = cell if cell else f"Unnamed: {i}"
         name = base
-        while name in names:
-            seen[base] += 1
-            name = f"{base}.{seen[base]}"
+        while key(name) in taken:
+            repeats[key(base)] += 1
+            name = f"{base}.{repeats[key(base)]}"
+        taken.add(key(name))
         names.append(name)
     return names
 
@@ -63,10 +72,10 @@ def read_cells(spark: SparkSession, path: str, sep: str | None = None, encoding:
     """All columns as text, missing tokens as null."""
     line = first_line(spark, path, encoding)
     sep = sep or sniff_separator(line)
-    names = header_names(line, sep)
+    names = header_names(line, sep, spark.conf.get("spark.sql.caseSensitive") == "true")
     if not names:
         raise EmptyDataset("The dataset contains no records.")
-    # Names may differ by case only, so columns are read by position and renamed last.
+    # Columns are read by position and named last.
     plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     raw = spark.read.csv(
         path, sep=sep, schema=plain, header=True, enforceSchema=True, encoding=encoding,
