@@ -50,7 +50,7 @@ RULES_SQL = "(VALUES " + ", ".join(
 
 
 def _numeric_metrics(column: str) -> list[str]:
-    return [f"SELECT '{column}' AS column_name, '{name}' AS metric, ({agg}({column}))::DOUBLE AS "
+    return [f"SELECT '{column}' AS column_name, '{name}' AS metric, ({agg}({column}) + 0.0)::DOUBLE AS "
             f"actual FROM events" for name, agg in (
                 ("mean", "avg"), ("sum", "sum"), ("min", "min"), ("max", "max"))]
 

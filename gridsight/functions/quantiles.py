@@ -20,11 +20,15 @@ from pyspark.sql import types as T
 from gridsight.functions import values as V
 
 # Up to this many values the built-in aggregate is the cheapest exact way.
-DIRECT_LIMIT = 2_000_000
+DIRECT_LIMIT = 100_000
 # Largest number of bracketed values that one window partition sorts.
 BRACKET_LIMIT = 5_000_000
-SKETCH_ACCURACY = 10_000
+# Sketch size, and the rank margin left around a wanted rank: more than twice the
+# sketch's expected rank error of 0.13 %.
+SKETCH_SIZE = 4096
+MARGIN = 0.003
 REFINE_STEPS = 256
+EDGE_SKETCH_SIZE = 32_768
 
 
 def _ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
@@ -53,11 +57,10 @@ def exact_quantiles(
     pass when the caller already knows the group sizes.
     """
     groups = list(groups)
-    if counts is None:
-        counts = {
-            tuple(r[g] for g in groups): r["n"]
-            for r in long.groupBy(*groups).agg(F.count("*").alias("n")).collect()
-        }
+    brackets = None
+    if counts is None or sum(counts.values()) > direct_limit:
+        brackets, seen = _sketch_brackets(long, groups, probs)
+        counts = counts or seen
     counts = {g: n for g, n in counts.items() if n > 0}
     if not counts:
         return {}
@@ -66,62 +69,60 @@ def exact_quantiles(
             F.percentile("value", [float(p) for p in probs]).alias("q")).collect()
         return {tuple(r[g] for g in groups): list(r["q"]) for r in rows}
 
-    brackets = _sketch_brackets(long, groups, probs)
-    expected = {g: math.ceil(n * 6 / SKETCH_ACCURACY) for g, n in counts.items()}
-    while max(expected.values()) > bracket_limit:
-        brackets, sizes = _refine(long, groups, counts, probs, brackets)
-        if max(sizes.values()) >= max(expected.values()):
+    expected = max(math.ceil(n * 2 * MARGIN * len(probs)) for n in counts.values())
+    while expected > bracket_limit:
+        brackets, size = _refine(long, groups, counts, probs, brackets)
+        if size >= expected:
             break  # ties only: the values in the bracket collapse to few rows
-        expected = sizes
+        expected = size
     return _select(long, groups, counts, probs, brackets)
 
 
 def _sketch_brackets(long, groups, probs):
-    """{group: [(low, high) per probability]} from one mergeable sketch per group."""
-    margin = 2.0 / SKETCH_ACCURACY
-    points = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
-    rows = long.groupBy(*groups).agg(
-        F.percentile_approx("value", points, SKETCH_ACCURACY).alias("q"),
-        F.min("value").alias("lo"), F.max("value").alias("hi"),
-    ).collect()
-    out = {}
+    """{group: [(low, high) per probability]} and {group: size}, from one sketch per group."""
+    points = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)})
+    sketches = long.groupBy(*groups).agg(
+        F.kll_sketch_agg_double("value", SKETCH_SIZE).alias("s"), F.count("*").alias("n"))
+    rows = sketches.select(*groups, "n", F.kll_sketch_get_quantile_double(
+        "s", F.array(*[F.lit(p) for p in points])).alias("q")).collect()
+    brackets, sizes = {}, {}
     for r in rows:
         at = dict(zip(points, r["q"]))
-        out[tuple(r[g] for g in groups)] = [
-            (r["lo"] if p - margin <= 0 else at[p - margin],
-             r["hi"] if p + margin >= 1 else at[min(p + margin, 1.0)])
-            for p in probs
-        ]
-    return out
+        g = tuple(r[c] for c in groups)
+        brackets[g] = [(at[max(p - MARGIN, 0.0)], at[min(p + MARGIN, 1.0)]) for p in probs]
+        sizes[g] = r["n"]
+    return brackets, sizes
 
 
-def _bracket_table(long, groups, brackets):
-    """Brackets as a table, one row per group: broadcast is bounded by the groups."""
-    schema = T.StructType(
-        [long.schema[g] for g in groups]
-        + [T.StructField("b", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    rows = [(*g, [[float(lo), float(hi)] for lo, hi in bs]) for g, bs in brackets.items()]
-    return long.sparkSession.createDataFrame(rows, schema)
+def _with_brackets(long, groups, brackets):
+    """Join lo0, hi0, lo1, .. to the rows: one row per group, so the broadcast is small."""
+    width = max(len(bs) for bs in brackets.values())
+    schema = T.StructType([long.schema[g] for g in groups] + [
+        T.StructField(f"{end}{i}", T.DoubleType()) for i in range(width) for end in ("lo", "hi")])
+    rows = [(*g, *[float(x) for b in bs for x in b], *[None] * (2 * (width - len(bs))))
+            for g, bs in brackets.items()]
+    return long.join(F.broadcast(long.sparkSession.createDataFrame(rows, schema)), groups), width
 
 
 def _refine(long, groups, counts, probs, brackets):
     """Narrow every bracket to about 1/REFINE_STEPS of its values."""
-    steps = [i / REFINE_STEPS for i in range(REFINE_STEPS + 1)]
-    joined = long.join(F.broadcast(_bracket_table(long, groups, brackets)), groups)
-    aggs = []
+    steps = F.array(*[F.lit(i / REFINE_STEPS) for i in range(REFINE_STEPS + 1)])
+    joined, _ = _with_brackets(long, groups, brackets)
+    aggs, grids = [], []
     for i in range(len(probs)):
-        low, high = F.col("b")[i][0], F.col("b")[i][1]
-        inside = (F.col("value") >= low) & (F.col("value") <= high)
+        inside = (F.col("value") >= F.col(f"lo{i}")) & (F.col("value") <= F.col(f"hi{i}"))
         aggs += [
-            F.count_if(F.col("value") < low).alias(f"below{i}"),
+            F.count_if(F.col("value") < F.col(f"lo{i}")).alias(f"below{i}"),
             F.count_if(inside).alias(f"inside{i}"),
-            F.percentile_approx(F.when(inside, F.col("value")), steps, SKETCH_ACCURACY)
-            .alias(f"q{i}"),
+            F.kll_sketch_agg_double(F.when(inside, F.col("value")), SKETCH_SIZE).alias(f"s{i}"),
         ]
-    refined, sizes = {}, {}
-    for r in joined.groupBy(*groups).agg(*aggs).collect():
+        grids += [f"below{i}", f"inside{i}", F.when(
+            F.col(f"inside{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", steps))
+            .alias(f"q{i}")]
+    refined, size = {}, 0
+    for r in joined.groupBy(*groups).agg(*aggs).select(*groups, *grids).collect():
         g = tuple(r[c] for c in groups)
-        refined[g], sizes[g] = [], 0
+        refined[g], here = [], 0
         for i, (low_rank, high_rank, _) in enumerate(_ranks(counts[g], probs)):
             old_low, old_high = brackets[g][i]
             inside, grid = r[f"inside{i}"], r[f"q{i}"]
@@ -133,8 +134,9 @@ def _refine(long, groups, counts, probs, brackets):
             refined[g].append((
                 old_low if first < 0 else grid[min(first, REFINE_STEPS)],
                 old_high if last > REFINE_STEPS else grid[max(last, 0)]))
-            sizes[g] += math.ceil(inside * 5 / REFINE_STEPS)
-    return refined, sizes
+            here += math.ceil(inside * 4 / REFINE_STEPS)
+        size = max(size, here)
+    return refined, size
 
 
 def _merged(intervals):
@@ -152,37 +154,29 @@ def _select(long, groups, counts, probs, brackets):
     """Exact order statistics inside the brackets; widens a bracket that missed."""
     pending, answer = dict(brackets), {}
     while pending:
-        merged = {g: _merged(bs) for g, bs in pending.items()}
-        wanted = {
-            g: sorted({r for low, high, _ in _ranks(counts[g], probs) for r in (low, high)})
-            for g in pending
-        }
-        schema = T.StructType(
-            [long.schema[g] for g in groups]
-            + [T.StructField("b", T.ArrayType(T.ArrayType(T.DoubleType()))),
-               T.StructField("wanted", T.ArrayType(T.LongType()))])
-        table = long.sparkSession.createDataFrame(
-            [(*g, merged[g], wanted[g]) for g in pending], schema)
-        # Position among the brackets: `slot` counts the brackets that start at or
-        # below the value; a value past the end of its bracket is in the gap behind it.
-        slot = F.size(F.filter("b", lambda x: x[0] <= F.col("value")))
-        located = (
-            long.join(F.broadcast(table), groups)
-            .withColumn("slot", slot)
-            .withColumn("inside", F.when(
-                F.col("slot") > 0,
-                F.col("value") <= F.get(F.get("b", F.col("slot") - 1), F.lit(1)))
-                .otherwise(F.lit(False)))
-            .select(*groups, "slot", "inside",
-                    F.when(F.col("inside"), F.col("value")).alias("value"))
-        )
+        joined, width = _with_brackets(long, groups, {g: _merged(bs) for g, bs in pending.items()})
+        x = F.col("value")
+        # `slot` counts the brackets that start at or below the value; a value in none
+        # of them lies in the gap behind the last one that started.
+        slot = sum((F.when(x >= F.col(f"lo{i}"), 1).otherwise(0) for i in range(width)), F.lit(0))
+        inside = F.lit(False)
+        for i in range(width):
+            inside = inside | F.coalesce(
+                (x >= F.col(f"lo{i}")) & (x <= F.col(f"hi{i}")), F.lit(False))
+        located = joined.select(*groups, slot.alias("slot"), inside.alias("inside"),
+                                F.when(inside, x).alias("value"))
+        wanted = {g: sorted({r for low, high, _ in _ranks(counts[g], probs) for r in (low, high)})
+                  for g in pending}
+        schema = T.StructType([long.schema[g] for g in groups]
+                              + [T.StructField("wanted", T.ArrayType(T.LongType()))])
+        table = long.sparkSession.createDataFrame([(*g, w) for g, w in wanted.items()], schema)
         order = [F.col("slot"), F.col("inside").desc(), F.col("value")]
         cumulative = Window.partitionBy(*groups).orderBy(*order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         placed = (
             located.groupBy(*groups, "slot", "inside", "value").agg(F.count("*").alias("n"))
             .withColumn("upto", F.sum("n").over(cumulative))
-            .join(F.broadcast(table.select(*groups, "wanted")), groups)
+            .join(F.broadcast(table), groups)
             .withColumn("hits", F.filter("wanted", lambda r: (
                 r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
             .where(F.size("hits") > 0)
@@ -193,13 +187,13 @@ def _select(long, groups, counts, probs, brackets):
             if r["inside"]:
                 at[tuple(r[c] for c in groups)].update({rank: r["value"] for rank in r["hits"]})
         retry = {}
-        for g, bs in pending.items():
+        for g in pending:
             if len(at[g]) == len(wanted[g]):
                 answer[g] = [
                     at[g][low] + (at[g][high] - at[g][low]) * weight
                     for low, high, weight in _ranks(counts[g], probs)
                 ]
-            else:  # a sketch missed its promised bound: take all values of the group
+            else:  # the sketch was further off than its margin: take all values
                 retry[g] = [(-math.inf, math.inf)]
         pending = retry
     return answer
@@ -222,10 +216,15 @@ def bucketed(df: DataFrame, key: str, buckets: int, output: str = "bucket") -> D
     The edges come from a mergeable sketch and are literals afterwards, so a
     recomputed partition puts its rows into the same buckets.
     """
-    steps = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(df.approxQuantile(key, steps, 0.2 / buckets))) if steps else []
-    splits = [-math.inf, *[e for e in edges if math.isfinite(e)], math.inf]
-    if len(splits) < 3:
+    if buckets < 2:
+        return df.withColumn(output, F.lit(0.0))
+    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    sketch = df.where(F.col(key).isNotNull()).agg(
+        F.kll_sketch_agg_double(key, EDGE_SKETCH_SIZE).alias("s"), F.count(key).alias("n"))
+    edges = sketch.select(F.when(
+        F.col("n") > 0, F.kll_sketch_get_quantile_double("s", steps))).first()[0] or []
+    splits = [-math.inf, *sorted({e for e in edges if math.isfinite(e)}), math.inf]
+    if len(splits) < 3:  # too few values to cut
         return df.withColumn(output, F.lit(0.0))
     return Bucketizer(splits=splits, inputCol=key, outputCol=output,
                       handleInvalid="keep").transform(df)

@@ -154,52 +154,64 @@ def category_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --- relations ------------------------------------------------------------------------------
 
-def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _pair_facts(df: DataFrame, columns: Sequence[str]) -> tuple[set[str], set[str]]:
+    """(columns without missing numbers, columns that vary), from one aggregate."""
+    row = df.agg(F.count("*").alias("rows"), *[
+        a for i, c in enumerate(columns) for a in (
+            F.count(V.as_number(df, c)).alias(f"n{i}"),
+            (F.coalesce(F.max(V.as_number(df, c)) > F.min(V.as_number(df, c)), F.lit(False)))
+            .alias(f"v{i}"))]).first()
+    return ({c for i, c in enumerate(columns) if row[f"n{i}"] == row["rows"]},
+            {c for i, c in enumerate(columns) if row[f"v{i}"]})
+
+
+def pair_correlations(df: DataFrame, columns: Sequence[str], facts=None) -> DataFrame:
     """(p1, p2, col1, col2, r) for every pair of columns, pairwise complete.
 
     A constant column has no correlation: r is null instead of a division error.
+    Columns without gaps share one spread; only gaps cost extra per pair.
     """
-    position = {c: i for i, c in enumerate(columns)}
+    spark = df.sparkSession
+    schema = "p1 int, p2 int, col1 string, col2 string, r double"
+    pairs = list(combinations(enumerate(columns), 2))
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    complete, varied = facts or _pair_facts(df, columns)
     numbers = {c: V.as_number(df, c) for c in columns}
-    pairs = list(combinations(columns, 2))
-    frames = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        aggs = []
-        for i, (a, b) in enumerate(part):
-            x, y = numbers[a], numbers[b]
-            spread = (F.stddev_pop(F.when(y.isNotNull(), x))
-                      * F.stddev_pop(F.when(x.isNotNull(), y)))
-            aggs.append(F.struct(
-                F.lit(position[a]).alias("p1"), F.lit(position[b]).alias("p2"),
-                F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-                F.try_divide(F.covar_pop(x, y), spread).alias("r")).alias(f"c{i}"))
-        wide = df.agg(*aggs)
-        frames.append(wide.select(F.explode(F.array(
-            *[F.col(f"c{i}") for i in range(len(part))])).alias("c")).select("c.*"))
-    if not frames:
-        return df.sparkSession.createDataFrame(
-            [], "p1 int, p2 int, col1 string, col2 string, r double")
-    return frequency.union_all(frames)
-
 
-def full_matrix(pairs: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(p1, p2, col1, col2, r) for all ordered pairs; undefined values are 0."""
-    flipped = pairs.select(F.col("p2").alias("p1"), F.col("p1").alias("p2"),
-                           F.col("col2").alias("col1"), F.col("col1").alias("col2"), "r")
-    varied = df.agg(*[
-        (F.coalesce(F.stddev_pop(V.as_number(df, c)), F.lit(0.0)) > 0).alias(f"v{i}")
-        for i, c in enumerate(columns)])
-    diagonal = varied.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("p1"), F.lit(i).alias("p2"), F.lit(c).alias("col1"),
-                 F.lit(c).alias("col2"), F.when(F.col(f"v{i}"), 1.0).alias("r"))
-        for i, c in enumerate(columns)])).alias("d")).select("d.*")
-    return frequency.union_all([pairs, flipped, diagonal]).withColumn(
-        "r", F.coalesce("r", F.lit(0.0)))
+    def spread(x: str, y: str):
+        if y in complete:
+            return F.stddev_pop(numbers[x])
+        return F.stddev_pop(F.when(numbers[y].isNotNull(), numbers[x]))
+
+    constant = [(i, j, a, b, None) for (i, a), (j, b) in pairs if not {a, b} <= varied]
+    frames = [spark.createDataFrame(constant, schema)] if constant else []
+    live = [p for p in pairs if {p[0][1], p[1][1]} <= varied]
+    for start in range(0, len(live), PAIRS_PER_PASS):
+        part = live[start:start + PAIRS_PER_PASS]
+        aggs = [
+            F.try_divide(F.covar_pop(numbers[a], numbers[b]), spread(a, b) * spread(b, a))
+            .alias(f"r{n}") for n, ((_, a), (_, b)) in enumerate(part)]
+        cells = F.array(*[
+            F.struct(F.lit(i).alias("p1"), F.lit(j).alias("p2"), F.lit(a).alias("col1"),
+                     F.lit(b).alias("col2"), F.col(f"r{n}").alias("r"))
+            for n, ((i, a), (j, b)) in enumerate(part)])
+        frames.append(df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*"))
+    return frequency.union_all(frames)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return full_matrix(pair_correlations(df, columns), df, columns)
+    """(p1, p2, col1, col2, r) for all ordered pairs; undefined values are 0."""
+    facts = _pair_facts(df, columns)
+    pairs = pair_correlations(df, columns, facts)
+    both = pairs.select(F.explode(F.array(
+        F.struct("p1", "p2", "col1", "col2", "r"),
+        F.struct(F.col("p2").alias("p1"), F.col("p1").alias("p2"), F.col("col2").alias("col1"),
+                 F.col("col1").alias("col2"), "r"))).alias("c")).select("c.*")
+    own = df.sparkSession.createDataFrame(
+        [(i, i, c, c, 1.0 if c in facts[1] else 0.0) for i, c in enumerate(columns)],
+        "p1 int, p2 int, col1 string, col2 string, r double")
+    return both.unionByName(own).withColumn("r", F.coalesce("r", F.lit(0.0)))
 
 
 def strong_pairs(pairs: DataFrame, top: int = TOP_PAIRS) -> DataFrame:
@@ -261,32 +273,34 @@ def group_stats(df: DataFrame, categories: Sequence[str], numbers: Sequence[str]
 
 def _shown_medians(df, categories, numbers, shown):
     """Exact medians of at most `top` groups for each pair of columns."""
-    frames, counts = [], {}
+    frames, counts, names = [], {}, {}
     for ci, cat in enumerate(categories):
         mine = [r for c, r in shown if c == ci]
         if not mine:
             continue
-        label, kind = V.native(df, cat), V.family(V.dtype_of(df, cat))
-        labels = sorted({r["label"] for r in mine})
-        picked = df.where(label.isin(labels)).select(
-            V.text_of(label, kind).alias("category"),
+        label = V.native(df, cat)
+        labels = {r["label"]: r["category"] for r in mine}  # at most `top` per number
+        place = F.array_position(F.array(*[F.lit(x) for x in labels]), label).cast("int")
+        number = {r: i + 1 for i, r in enumerate(labels.values())}
+        for category, i in number.items():
+            names[(ci, i)] = category
+        picked = df.where(label.isin(list(labels))).select(
+            place.alias("place"),
             *[V.as_number(df, n).alias(f"x{ni}") for ni, n in enumerate(numbers)])
-        wanted = {ni: [r["category"] for r in mine if r["num"] == ni]
-                  for ni in range(len(numbers))}
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(ni).alias("num"), F.col(f"x{ni}").alias("value"),
-                     F.col("category").isin(wanted[ni]).alias("wanted"))
-            for ni in range(len(numbers))])).alias("cell")
-        frames.append(picked.select(F.lit(ci).alias("cat"), "category", cells).select(
-            "cat", F.col("cell.num").alias("num"), "category",
-            F.col("cell.value").alias("value"), F.col("cell.wanted").alias("wanted"))
-            .where(F.col("wanted") & F.col("value").isNotNull()).drop("wanted"))
-        counts.update({(ci, r["num"], r["category"]): r["count"] for r in mine})
+        cells = []
+        for ni in range(len(numbers)):
+            wanted = [number[r["category"]] for r in mine if r["num"] == ni]
+            cells += [F.lit(ni), F.when(F.col("place").isin(wanted), F.col(f"x{ni}"))]
+        frames.append(picked.select(
+            F.lit(ci).alias("cat"), "place",
+            F.stack(F.lit(len(numbers)), *cells).alias("num", "value")).where(
+            F.col("value").isNotNull()))
+        counts.update({(ci, r["num"], number[r["category"]]): r["count"] for r in mine})
     if not frames:
         return {}
     found = quantiles.exact_quantiles(
-        frequency.union_all(frames), ["cat", "num", "category"], [0.5], counts)
-    return {g: q[0] for g, q in found.items()}
+        frequency.union_all(frames), ["cat", "num", "place"], [0.5], counts)
+    return {(c, n, names[(c, place)]): q[0] for (c, n, place), q in found.items()}
 
 
 def crosstab(df: DataFrame, first: str, second: str, rows: int = CROSSTAB_ROWS) -> DataFrame:

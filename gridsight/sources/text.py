@@ -17,8 +17,9 @@ MISSING_TOKENS = ("", "NA", "N/A", "NULL", "null", "NaN", "nan", "None", "n/a",
                   "#N/A N/A")
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
-INFINITIES = ("inf", "-inf", "+inf", "Inf", "-Inf", "+Inf", "infinity", "-infinity",
-              "Infinity", "-Infinity")
+INFINITIES = ("inf", "-inf", "+inf", "infinity", "-infinity", "+infinity")
+UNNAMED = "Unnamed:"
+WHOLE_PATTERN = r"^\s*[+-]?\d+\s*$"
 FALLBACK_ENCODING = "ISO-8859-1"
 BAD_CHARACTER = "�"
 ROW_NUMBER = "_row"
@@ -57,7 +58,7 @@ def header_names(line: str, sep: str, case_sensitive: bool = False) -> list[str]
     taken: set[str] = set()
     repeats: Counter[str] = Counter()
     for i, cell in enumerate(cells):
-        base = cell if cell else f"Unnamed: {i}"
+        base = cell if cell else f"{UNNAMED} {i}"
         name = base
         while key(name) in taken:
             repeats[key(base)] += 1
@@ -109,16 +110,17 @@ def _numbered(raw: DataFrame, cells: list[Column]) -> DataFrame:
 
 # --- types ----------------------------------------------------------------------------------
 
+def _is_number(text: Column) -> Column:
+    return text.rlike(V.NUMBER_PATTERN) | F.lower(F.trim(text)).isin(*INFINITIES)
+
+
 def _number(text: Column) -> Column:
-    trimmed = F.trim(text)
-    unsigned = F.lower(F.regexp_replace(trimmed, r"^[+-]", ""))
-    infinite = F.when(trimmed.startswith("-"), float("-inf")).otherwise(float("inf"))
-    return F.when(trimmed.isin(*INFINITIES), infinite).when(
-        text.rlike(V.NUMBER_PATTERN) & unsigned.isNotNull(), trimmed.try_cast("double"))
+    return F.when(_is_number(text), F.trim(text).try_cast("double"))
 
 
 def _whole(text: Column) -> Column:
-    return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("bigint"))
+    # A failed cast costs an exception, so only digits get there.
+    return F.when(text.rlike(WHOLE_PATTERN), F.trim(text).try_cast("bigint"))
 
 
 def _truth(text: Column) -> Column:
@@ -128,20 +130,28 @@ def _truth(text: Column) -> Column:
 def text_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """Per text column: cells, whole numbers, numbers, truths, decoding damage, constancy.
 
-    One aggregate over the file decides types, empty columns and the encoding.
+    One aggregate over the file decides types, empty columns and the encoding. A
+    second one looks at blank headers, if there are any.
     """
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
         x = V.col(c)
         aggs += [F.count(x).alias(f"cells{i}"), F.count(_whole(x)).alias(f"whole{i}"),
-                 F.count(_number(x)).alias(f"number{i}"), F.count(_truth(x)).alias(f"truth{i}"),
+                 F.count_if(F.coalesce(_is_number(x), F.lit(False))).alias(f"number{i}"),
+                 F.count(_truth(x)).alias(f"truth{i}"),
                  F.count_if(F.coalesce(x.contains(BAD_CHARACTER), F.lit(False)))
-                 .alias(f"bad{i}"),
-                 F.coalesce(F.min(x) == F.max(x), F.lit(True)).alias(f"constant{i}")]
+                 .alias(f"bad{i}")]
     row = df.agg(*aggs).first()
-    keys = ("cells", "whole", "number", "truth", "bad", "constant")
-    return {c: {"rows": row["rows"], **{k: row[f"{k}{i}"] for k in keys}}
-            for i, c in enumerate(columns)}
+    keys = ("cells", "whole", "number", "truth", "bad")
+    facts = {c: {"rows": row["rows"], "constant": False, **{k: row[f"{k}{i}"] for k in keys}}
+             for i, c in enumerate(columns)}
+    unnamed = [c for c in columns if c.startswith(UNNAMED)]
+    if unnamed:
+        ends = df.agg(*[F.coalesce(F.min(V.col(c)) == F.max(V.col(c)), F.lit(True)).alias(f"u{i}")
+                        for i, c in enumerate(unnamed)]).first()
+        for i, c in enumerate(unnamed):
+            facts[c]["constant"] = ends[i]
+    return facts
 
 
 def type_of_facts(facts: dict) -> str:
@@ -176,7 +186,7 @@ def unwanted_columns(facts: dict[str, dict]) -> list[str]:
     out = []
     for c, f in facts.items():
         nulls = f["rows"] - f["cells"]
-        unnamed = c.startswith("Unnamed:") and f["rows"] and (
+        unnamed = c.startswith(UNNAMED) and f["rows"] and (
             nulls / f["rows"] > 0.5 or f["constant"])
         if f["cells"] == 0 or unnamed:
             out.append(c)

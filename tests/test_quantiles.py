@@ -31,8 +31,8 @@ def test_column_quantiles(numbers, limits):
 
 def test_missed_brackets_are_widened(numbers, monkeypatch):
     df, values = numbers
-    monkeypatch.setattr(quantiles, "_sketch_brackets", lambda long, groups, probs: {
-        (0,): [(1e9, 1e10)] * len(probs)})
+    monkeypatch.setattr(quantiles, "_sketch_brackets", lambda long, groups, probs: (
+        {(0,): [(1e9, 1e10)] * len(probs)}, {(0,): len(values)}))
     found = quantiles.column_quantiles(df, ["x"], [0.25, 0.5], direct_limit=0)["x"]
     assert found == pytest.approx(list(np.quantile(values, [0.25, 0.5])))
 
