@@ -45,7 +45,7 @@ RULES = [
     (10, "max", "user_id", ">", 3.0, "warning"),
 ]
 RULES_SQL = "(VALUES " + ", ".join(
-    f"({i}, '{m}', '{c}', '{o}', {v}::DOUBLE, '{s}')" for i, m, c, o, v, s in RULES
+    f"({i}::BIGINT, '{m}', '{c}', '{o}', {v}::DOUBLE, '{s}')" for i, m, c, o, v, s in RULES
 ) + ") r(id, metric, column_name, operator, value, severity)"
 
 

@@ -83,7 +83,7 @@ def box_summary(spark, sf_dir):
 
 
 @query("topn_counts", union_all_sql([f"""
-SELECT * FROM (SELECT '{c}' AS "column", row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank,
+SELECT * FROM (SELECT '{c}' AS "column", row_number() OVER (ORDER BY count(*) DESC, {c})::INT AS rank,
        {c} AS value, count(*) AS "count" FROM part GROUP BY {c}) WHERE rank <= 8"""
     for c in ("p_name", "p_brand", "p_type")]))
 def topn_counts(spark, sf_dir):

@@ -79,7 +79,7 @@ def _distribution_sql(table: str, c: str, top: int = 10) -> str:
     return f"""
 SELECT '{c}' AS "column", rank, value, sum(n)::BIGINT AS "count",
        round(sum(n) * 100.0 / min(total), 6) AS pct
-FROM (SELECT least(r, {top + 1}) AS rank, CASE WHEN r > {top} THEN 'Others' ELSE v END AS value,
+FROM (SELECT least(r, {top + 1})::INT AS rank, CASE WHEN r > {top} THEN 'Others' ELSE v END AS value,
              n, total
       FROM (SELECT coalesce(CAST({c} AS VARCHAR), 'Missing') AS v, count(*) AS n,
                    sum(count(*)) OVER () AS total,
@@ -170,7 +170,7 @@ SELECT '{cat}' AS cat_column, '{num}' AS num_column, rank, category, round(mean,
        round(median, 6) AS median, round(total, 2) AS "sum", n AS "count"
 FROM (SELECT CAST({cat} AS VARCHAR) AS category, avg({num}) AS mean, median({num}) AS median,
              sum({num}) AS total, count({num}) AS n,
-             row_number() OVER (ORDER BY avg({num}) DESC, CAST({cat} AS VARCHAR)) AS rank
+             row_number() OVER (ORDER BY avg({num}) DESC, CAST({cat} AS VARCHAR))::INT AS rank
       FROM {table} WHERE {cat} IS NOT NULL GROUP BY {cat} HAVING count({num}) > 0)
 WHERE rank <= 10"""
 

@@ -67,6 +67,14 @@ def drop_empty_columns(spark, sf_dir):
     return text.drop_unwanted(_as_text(spark, sf_dir).drop("o_totalprice"))
 
 
+@query("drop_unnamed", """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority AS "Unnamed: 9" FROM orders""")
+def drop_unnamed(spark, sf_dir):
+    """One blank header holds one value, one is mostly empty, one stays."""
+    return text.drop_unwanted(_as_text(spark, sf_dir).select(
+        "o_orderkey", *[F.col(f"`Unnamed: {i}`") for i in (7, 8, 9)]))
+
+
 def _typed_sql(extra: str) -> str:
     return f"""
 SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,

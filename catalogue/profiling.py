@@ -76,7 +76,7 @@ def _typed(spark, sf_dir) -> DataFrame:
 
 @query("profile_table", f"""
 WITH {DIRTY_SQL}
-SELECT count(*) AS num_records, 5 AS num_features,
+SELECT count(*) AS num_records, 5::BIGINT AS num_features,
        count(*) * 5 - count(o_orderkey) - count(o_custkey) - count(o_totalprice)
          - count(o_orderpriority) - count(o_orderdate) AS total_missing,
        count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders)) AS duplicate_count
@@ -113,7 +113,7 @@ def column_stats(spark, sf_dir):
 
 
 def _first_values(column: str) -> str:
-    return (f"SELECT '{column}' AS \"column\", row_number() OVER (ORDER BY o_orderkey) AS position, "
+    return (f"SELECT '{column}' AS \"column\", row_number() OVER (ORDER BY o_orderkey)::INT AS position, "
             f"CAST({column} AS VARCHAR) AS value FROM dirty_unique WHERE {column} IS NOT NULL")
 
 

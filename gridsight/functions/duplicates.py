@@ -29,7 +29,7 @@ def repeated_hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _bounded(repeated: DataFrame) -> int | None:
     """Number of repeated hashes, or None when there are too many to send around."""
-    n = repeated.limit(MAX_BROADCAST_HASHES + 1).count()
+    n = repeated.count()
     return n if n <= MAX_BROADCAST_HASHES else None
 
 

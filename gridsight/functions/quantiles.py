@@ -214,20 +214,22 @@ def bucketed(df: DataFrame, key: str, buckets: int, output: str = "bucket") -> D
     """Assign every row to one of at most `buckets` even ranges of a numeric key.
 
     The edges come from a mergeable sketch and are literals afterwards, so a
-    recomputed partition puts its rows into the same buckets.
+    recomputed partition puts its rows into the same buckets. Rows without a
+    key form bucket -1.
     """
-    if buckets < 2:
-        return df.withColumn(output, F.lit(0.0))
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    sketch = df.where(F.col(key).isNotNull()).agg(
-        F.kll_sketch_agg_double(key, EDGE_SKETCH_SIZE).alias("s"), F.count(key).alias("n"))
-    edges = sketch.select(F.when(
-        F.col("n") > 0, F.kll_sketch_get_quantile_double("s", steps))).first()[0] or []
+    edges = []
+    if buckets > 1:
+        steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        sketch = df.where(F.col(key).isNotNull()).agg(
+            F.kll_sketch_agg_double(key, EDGE_SKETCH_SIZE).alias("s"), F.count(key).alias("n"))
+        edges = sketch.select(F.when(
+            F.col("n") > 0, F.kll_sketch_get_quantile_double("s", steps))).first()[0] or []
     splits = [-math.inf, *sorted({e for e in edges if math.isfinite(e)}), math.inf]
-    if len(splits) < 3:  # too few values to cut
-        return df.withColumn(output, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=key, outputCol=output,
-                      handleInvalid="keep").transform(df)
+    if len(splits) < 3:  # nothing to cut
+        return df.withColumn(output, F.lit(0))
+    placed = Bucketizer(splits=splits, inputCol=key, outputCol=output,
+                        handleInvalid="keep").transform(df)
+    return placed.withColumn(output, F.coalesce(F.col(output).cast("int"), F.lit(-1)))
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str,

@@ -123,18 +123,17 @@ def value_distribution(df: DataFrame, columns: Sequence[str],
                        top: int = TOP_VALUES) -> DataFrame:
     """(column, rank, value, count, pct): the top values, the rest as one row."""
     counts = labelled_counts(df, columns)
-    totals = _totals(counts)
-    head = top_values(counts, top)
-    rest = (
-        head.groupBy("column").agg(F.sum("n").alias("shown"))
-        .join(F.broadcast(totals), "column")  # one row per column
-        .where(F.col("categories") > top)
-        .select("column", F.lit(OTHERS_LABEL).alias("value"),
-                (F.col("total") - F.col("shown")).alias("n"), F.lit(top + 1).alias("rank"))
-    )
-    rows = head.unionByName(rest).join(F.broadcast(totals.select("column", "total")), "column")
-    return rows.select("column", "rank", "value", F.col("n").alias("count"),
-                       (F.col("n") / F.col("total") * 100).alias("pct"))
+    # At most `top` values are listed per column, and one row of totals.
+    head = top_values(counts, top).groupBy("column").agg(
+        F.collect_list(F.struct("rank", "value", "n")).alias("rows"), F.sum("n").alias("shown"))
+    totals = _totals(counts).select("column", "total", "categories")
+    rest = F.array(F.struct(F.lit(top + 1).alias("rank"), F.lit(OTHERS_LABEL).alias("value"),
+                            (F.col("total") - F.col("shown")).alias("n")))
+    rows = F.when(F.col("categories") > top, F.concat("rows", rest)).otherwise(F.col("rows"))
+    return head.join(F.broadcast(totals), "column").select(
+        "column", "total", F.explode(rows).alias("r")).select(
+        "column", "r.rank", "r.value", F.col("r.n").alias("count"),
+        (F.col("r.n") / F.col("total") * 100).alias("pct"))
 
 
 def category_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

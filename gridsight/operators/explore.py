@@ -16,7 +16,7 @@ FACET_LIMIT = 15
 HIDDEN_FACET = "Unknown"
 TOP_COUNTS = 10
 # Up to this many keys are skipped in a bounded heap; deeper pages start at a found key.
-SHALLOW_OFFSET = 1_000
+SHALLOW_OFFSET = 100
 KEY_RANGES = 256
 MAX_ZEROS = 8
 
@@ -124,6 +124,13 @@ def sample_top_values(sample: DataFrame, top: int = TOP_COUNTS) -> DataFrame:
     return counts.orderBy(F.col("count").desc(), "value").limit(top)
 
 
+def preview(df: DataFrame, key: str, page: int = 0, size: int = 10,
+            query: str = "") -> tuple[int, DataFrame]:
+    """(number of matching rows, one page of them)."""
+    found = search_rows(df, query)
+    return found.count(), page_rows(found, key, page, size)
+
+
 # --- group and pivot ------------------------------------------------------------------------
 
 PIVOT_FUNCTIONS = ("sum", "mean", "median", "min", "max", "count", "std", "var", "nunique")

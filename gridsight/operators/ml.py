@@ -33,6 +33,7 @@ SEED = 42
 MIN_ROWS = 10
 FEWEST_VALUES = 5
 PLOT_POINTS = 150
+TOP_DRIVERS = 3
 # "No limit" for the tree learner.
 DEEPEST = 30
 # Codes of up to this many labels are numbered in one task and sent to all tasks.
@@ -150,7 +151,7 @@ def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None,
     codes = label_codes(df, column) if codes is None else codes
     known = codes.select(F.col("label").alias("__label"), F.col("code").alias("__code"))
     # Sent to all tasks only when it is small; otherwise a join that splits hot labels.
-    side = F.broadcast(known) if codes.limit(SMALL_LABELS + 1).count() <= SMALL_LABELS else known
+    side = F.broadcast(known) if codes.count() <= SMALL_LABELS else known
     text = df.withColumn("__text", V.as_text(df, column))
     return text.join(side, F.col("__text") == F.col("__label"), "left").withColumn(
         output or f"{column}_code", F.coalesce("__code", F.lit(0.0))).drop(
@@ -305,8 +306,8 @@ def is_classification(df: DataFrame, target: str) -> bool:
     if not V.is_numeric(V.dtype_of(df, target)):
         return True
     values = df.select(V.present(df, target).alias("v")).where("v is not null")
-    if len(values.limit(P.HEAD_ROWS).distinct().take(FEWEST_VALUES)) >= FEWEST_VALUES:
-        return False
+    if len({r["v"] for r in values.take(P.HEAD_ROWS)}) >= FEWEST_VALUES:
+        return False  # the first rows settle it
     return len(values.distinct().take(FEWEST_VALUES)) < FEWEST_VALUES
 
 
@@ -380,6 +381,11 @@ def importances(trained: Trained, spark: SparkSession) -> DataFrame:
         "rank int, feature string, importance double")
 
 
+def top_drivers(weights: DataFrame, top: int = TOP_DRIVERS) -> DataFrame:
+    """The most important features."""
+    return weights.where(F.col("rank") <= top)
+
+
 def train_clusters(df: DataFrame, predictors: Sequence[str], k: int = 3,
                    key: str | None = None) -> tuple[Trained, DataFrame]:
     """K-means on the features and their first two principal components.

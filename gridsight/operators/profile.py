@@ -95,19 +95,16 @@ def head_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] |
     """(column, i, value) text cells of the first rows, non-missing only.
 
     With `order_by` the first rows by that key, kept in bounded per-task heaps;
-    without it the first rows in scan order, which reads only the first splits.
+    without it the first rows in scan order. Those few rows are fetched, as a
+    fetch stops after the first splits while a limit inside a plan visits all.
     """
     names = list(columns)
-    order = [V.col(k) for k in order_by or ()]
-    first = (df.orderBy(*order) if order else df).limit(rows)
-    number = F.row_number().over(Window.orderBy(*order)) if order else (
-        F.monotonically_increasing_id())
-    texts = [V.as_text(first, c).alias(f"v{j}") for j, c in enumerate(names)]
-    first = first.select(number.alias("i"), *texts)
-    cells = first.select("i", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"v{j}").alias("value"))
-        for j, c in enumerate(names)])).alias("cell"))
-    return cells.select("cell.column", "i", "cell.value").where("cell.value is not null")
+    first = df.orderBy(*[V.col(k) for k in order_by]) if order_by else df
+    found = first.select(*[V.as_text(df, c).alias(f"v{j}") for j, c in enumerate(names)]
+                         ).limit(rows).collect()
+    cells = [(c, i, r[j]) for i, r in enumerate(found) for j, c in enumerate(names)
+             if r[j] is not None]
+    return df.sparkSession.createDataFrame(cells, "column string, i int, value string")
 
 
 def sample_values(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
@@ -193,9 +190,10 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None, approx
     family_of = {f.name: V.family(f.dataType) for f in df.schema.fields}
     sparse = [c for c in names if c in stats and
               (facts[c]["seen"] if c in facts else 0) < min(needed(c), stats[c]["non_null"])]
-    for c in sparse:  # too few values in the first rows: look further in this column alone
-        facts.update(_sample_facts(head_values(
-            df.where(V.present(df, c).isNotNull()), [c], order_by, DATE_SAMPLE_SIZE)))
+    if sparse:  # too few values in the first rows: look further, each column on its own
+        facts.update(_sample_facts(frequency.union_all([
+            head_values(df.where(V.present(df, c).isNotNull()), [c], order_by, DATE_SAMPLE_SIZE)
+            for c in sparse])))
 
     rows = []
     for i, field in enumerate(df.schema[c] for c in names):

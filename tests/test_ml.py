@@ -30,6 +30,7 @@ def test_regression(spark, table, priced):
     assert ml.regression_metrics(scored).first()["r2"] > 0.95
     weights = [r["importance"] for r in ml.importances(trained, spark).collect()]
     assert sum(weights) == pytest.approx(1) and weights == sorted(weights, reverse=True)
+    assert ml.top_drivers(ml.importances(trained, spark)).count() == 3
     share = scored.count() / 400
     assert 0.1 < share < 0.3
 

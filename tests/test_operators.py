@@ -304,6 +304,8 @@ def test_search(keyed):
     assert explore.search_rows(keyed, "NAME 0000[12]").count() == 2
     assert explore.search_rows(keyed, "0000[12]", regex=False).count() == 0
     assert explore.search_rows(keyed, " ").count() == 6000
+    total, page = explore.preview(keyed, "k", 2, 10, "name 00[0-4]")
+    assert total == 500 and [r["k"] for r in page.collect()] == [3 * i for i in range(20, 30)]
 
 
 def test_pivot_axes(spark):
