@@ -58,7 +58,7 @@ def list_rules(spark: SparkSession, path: str, owner: str | None = None) -> Data
 def column_metrics(df: DataFrame, columns: list[str], with_outliers: bool = True) -> DataFrame:
     """(column_name, metric, actual) of the given columns; one aggregate for all.
 
-    Columns that hold no numbers have `null_count` and `outliers` (0) only.
+    Truth values count as 0 and 1. Columns without numbers have `null_count` and `outliers` (0) only.
     """
     columns = [c for c in columns if c in df.columns]
     spark = df.sparkSession
@@ -67,10 +67,11 @@ def column_metrics(df: DataFrame, columns: list[str], with_outliers: bool = True
         return empty
     aggs, cells = [], []
     numeric = [c for c in columns if V.is_numeric(V.dtype_of(df, c))]
+    truths = [c for c in columns if V.family(V.dtype_of(df, c)) == "boolean"]
     for i, c in enumerate(columns):
         x = V.as_number(df, c)
         metrics = {"null_count": F.count_if(V.present(df, c).isNull()).cast("double")}
-        if c in numeric:
+        if c in numeric or c in truths:
             metrics |= {"mean": F.avg(x), "sum": F.coalesce(F.sum(x), F.lit(0.0)),
                         "min": F.min(x), "max": F.max(x)}
         for name, agg in metrics.items():

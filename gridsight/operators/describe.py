@@ -217,11 +217,11 @@ def strong_pairs(pairs: DataFrame, top: int = TOP_PAIRS) -> DataFrame:
     """Pairs with |r| of at least 0.4, strongest first."""
     size = F.abs("r")
     return (
-        pairs.where(size >= MODERATE_R)
+        pairs.where(size >= MODERATE_R).orderBy(size.desc(), "p1", "p2")
         .select("col1", "col2", "r",
                 F.when(F.col("r") > 0, "positive").otherwise("negative").alias("direction"),
                 F.when(size >= STRONG_R, "strong").otherwise("moderate").alias("strength"))
-        .orderBy(size.desc(), "col1", "col2").limit(top)
+        .limit(top)
     )
 
 

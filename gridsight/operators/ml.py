@@ -75,23 +75,17 @@ class Trained(NamedTuple):
 
 # --- features -------------------------------------------------------------------------------
 
-def _sample_dates_ok(df: DataFrame, column: str) -> str | None:
-    """The date layout of a text column if its first values all follow one."""
-    cells = P.head_values(df, [column], rows=P.SAMPLE_SIZE)
-    hits = cells.agg(F.count("*").alias("n"), *[
-        F.count(dates.parse(F.col("value"), f)).alias(f"f{i}")
-        for i, f in enumerate(dates.FORMAT_NAMES)]).first()
-    return next((f for i, f in enumerate(dates.FORMAT_NAMES)
-                 if hits["n"] and hits[f"f{i}"] == hits["n"]), None)
-
-
 def _is_date(df: DataFrame, column: str, parts: Sequence[str]) -> tuple[bool, str | None]:
     if not P.has_part(column, parts):
         return False, None
     kind = V.family(V.dtype_of(df, column))
     if kind == "timestamp_ntz":
         return True, None
-    fmt = _sample_dates_ok(df, column) if kind == "string" else None
+    if kind != "string":
+        return False, None
+    filled = df.where(V.col(column).isNotNull())
+    sample = P.first_values(filled, [column], rows=P.SAMPLE_SIZE)
+    fmt = P.date_layouts(df.sparkSession, sample).get(column)
     return fmt is not None, fmt
 
 

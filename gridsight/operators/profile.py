@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,6 @@ BOOLEAN_SPELLINGS = ("0", "1", "True", "False", "true", "false", "T", "F", "Y",
 # Longer texts are counted by digest, so that long texts are not shuffled.
 LONGEST_COUNTED_TEXT = 64
 SAMPLE_SIZE = 10
-DATE_SAMPLE_SIZE = 100
 HEAD_ROWS = 200
 
 PROFILE_SCHEMA = T.StructType([
@@ -90,9 +89,9 @@ def _approx_stats(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
         "c.column", "row_count", "c.non_null", "c.unique_count", "c.boolean_like")
 
 
-def head_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] | None = None,
-                rows: int = HEAD_ROWS) -> DataFrame:
-    """(column, i, value) text cells of the first rows, non-missing only.
+def first_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] | None = None,
+                 rows: int = HEAD_ROWS) -> dict[str, list[str]]:
+    """{column: non-missing text cells of the first rows}.
 
     With `order_by` the first rows by that key, kept in bounded per-task heaps;
     without it the first rows in scan order. Those few rows are fetched, as a
@@ -102,9 +101,26 @@ def head_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] |
     first = df.orderBy(*[V.col(k) for k in order_by]) if order_by else df
     found = first.select(*[V.as_text(df, c).alias(f"v{j}") for j, c in enumerate(names)]
                          ).limit(rows).collect()
-    cells = [(c, i, r[j]) for i, r in enumerate(found) for j, c in enumerate(names)
-             if r[j] is not None]
-    return df.sparkSession.createDataFrame(cells, "column string, i int, value string")
+    return {c: [r[j] for r in found if r[j] is not None] for j, c in enumerate(names)}
+
+
+def date_layouts(spark: SparkSession, samples: dict[str, list[str]]) -> dict[str, str]:
+    """{column: layout} of the samples whose every value follows one date layout."""
+    # A date has a digit, so most text columns are settled without a job.
+    cells = [(c, v) for c, values in samples.items()
+             if values and all(any(x.isdigit() for x in v) for v in values) for v in values]
+    if not cells:
+        return {}
+    table = spark.createDataFrame(cells, "column string, value string")
+    fits = table.groupBy("column").agg(*[
+        F.bool_and(dates.parse(F.col("value"), f).isNotNull()).alias(f"f{i}")
+        for i, f in enumerate(dates.FORMAT_NAMES)])
+    found = {}
+    for r in fits.collect():
+        layout = next((f for i, f in enumerate(dates.FORMAT_NAMES) if r[f"f{i}"]), None)
+        if layout:
+            found[r["column"]] = layout
+    return found
 
 
 def sample_values(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
@@ -123,30 +139,13 @@ def sample_values(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]
     return frequency.union_all(frames)
 
 
-def _sample_facts(cells: DataFrame) -> dict[str, Row]:
-    """Per column: first values, how many were seen, and whether they parse as dates."""
-    ranked = cells.withColumn(
-        "r", F.row_number().over(Window.partitionBy("column").orderBy("i")))
-    ranked = ranked.where(F.col("r") <= DATE_SAMPLE_SIZE)
-    parsed = [dates.parse(F.col("value"), f).isNotNull() for f in dates.FORMAT_NAMES]
-
-    def all_parse(limit: int):
-        return frequency.any_of([
-            F.bool_and(F.when(F.col("r") <= limit, ok)) for ok in parsed])
-
-    rows = ranked.groupBy("column").agg(
-        F.count("*").alias("seen"),
-        F.array_sort(F.collect_list(F.when(
-            F.col("r") <= SAMPLE_SIZE, F.struct("r", "value")))).alias("first"),
-        all_parse(SAMPLE_SIZE).alias("short_ok"),
-        all_parse(DATE_SAMPLE_SIZE).alias("long_ok"),
-    ).collect()
-    return {r["column"]: r for r in rows}
-
-
-def infer_type(name: str, dtype: T.DataType, stats: Row, short_ok: bool, long_ok: bool,
+def infer_type(name: str, dtype: T.DataType, stats: Row, dated_text: bool,
                string_unique_is_id: bool = False, numeric_dates: bool = False) -> str:
-    """Semantic type of one column from its statistics; the first rule that fits wins."""
+    """Semantic type of one column from its statistics; the first rule that fits wins.
+
+    `dated_text` says that the first texts all follow one date layout. That
+    settles date-like names too: a longer sample could only confirm it.
+    """
     rows, filled, distinct = stats["row_count"], stats["non_null"], stats["unique_count"]
     numeric = V.is_numeric(dtype)
     if filled == 0:
@@ -160,12 +159,11 @@ def infer_type(name: str, dtype: T.DataType, stats: Row, short_ok: bool, long_ok
         return "id"
     if isinstance(dtype, T.BooleanType) or (distinct <= 2 and stats["boolean_like"]):
         return "boolean"
-    temporal = isinstance(dtype, V.TEMPORAL)
-    if has_part(name, DATE_NAME_PARTS) and (temporal or long_ok or (numeric and numeric_dates)):
+    if numeric and numeric_dates and has_part(name, DATE_NAME_PARTS):
         return "datetime"
     if numeric:
         return "categorical" if distinct <= 10 else "numeric"
-    if temporal or short_ok:
+    if dated_text or isinstance(dtype, V.TEMPORAL):
         return "datetime"
     return "categorical" if distinct <= 25 or distinct / rows < 0.05 else "text"
 
@@ -181,35 +179,26 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None, approx
     """
     names = list(columns or df.columns)
     stats = {r["column"]: r for r in column_stats(df, names, approx).collect()}
-    facts = _sample_facts(head_values(df, names, order_by))
-
-    def needed(c: str) -> int:
-        date_named = has_part(c, DATE_NAME_PARTS) and family_of[c] == "string"
-        return DATE_SAMPLE_SIZE if date_named else SAMPLE_SIZE
-
-    family_of = {f.name: V.family(f.dataType) for f in df.schema.fields}
-    sparse = [c for c in names if c in stats and
-              (facts[c]["seen"] if c in facts else 0) < min(needed(c), stats[c]["non_null"])]
-    if sparse:  # too few values in the first rows: look further, each column on its own
-        facts.update(_sample_facts(frequency.union_all([
-            head_values(df.where(V.present(df, c).isNotNull()), [c], order_by, DATE_SAMPLE_SIZE)
-            for c in sparse])))
+    head = first_values(df, names, order_by)
+    for c in names:
+        if c in stats and len(head[c]) < min(SAMPLE_SIZE, stats[c]["non_null"]):
+            # Too few values in the first rows: look further in this column alone.
+            head.update(first_values(
+                df.where(V.present(df, c).isNotNull()), [c], order_by, SAMPLE_SIZE))
+    sample = {c: head[c][:SAMPLE_SIZE] for c in names}
+    texts = {c: v for c, v in sample.items() if isinstance(V.dtype_of(df, c), T.StringType)}
+    dated = date_layouts(df.sparkSession, texts)
 
     rows = []
     for i, field in enumerate(df.schema[c] for c in names):
         s = stats.get(field.name) or Row(row_count=0, non_null=0, unique_count=0,
                                          boolean_like=False)
-        fact = facts.get(field.name)
-        text = isinstance(field.dataType, T.StringType)
-        kind = infer_type(
-            field.name, field.dataType, s,
-            bool(text and fact and fact["short_ok"]), bool(text and fact and fact["long_ok"]),
-            string_unique_is_id, numeric_dates)
+        kind = infer_type(field.name, field.dataType, s, field.name in dated,
+                          string_unique_is_id, numeric_dates)
         nulls = s["row_count"] - s["non_null"]
         pct = nulls / s["row_count"] * 100 if s["row_count"] else 0.0
-        sample = [cell["value"] for cell in fact["first"]] if fact else []
         rows.append((i, field.name, field.dataType.simpleString(), kind, s["row_count"], nulls,
-                     pct, s["unique_count"], sample))
+                     pct, s["unique_count"], sample[field.name]))
     return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
 
 

@@ -76,8 +76,9 @@ def gather(types, raw_profile, outliers, log, described, extremes, strong, group
         peaks = {r["metric"]: r for r in _listed(trends.peaks)}
         lines = [{**g, **peaks[g["metric"]]}
                  for g in _listed(trends.growth, "metric_position")]
+    place = {c: i for i, c in enumerate(types)}
     pairs = [] if strong is None else sorted(
-        _listed(strong), key=lambda p: (-abs(p["r"]), p["col1"], p["col2"]))
+        _listed(strong), key=lambda p: (-abs(p["r"]), place[p["col1"]], place[p["col2"]]))
     return insights.Statistics(
         profile=_listed(raw_profile, "position"), outliers=_listed(outliers, "position"),
         log_size=log.count(), describe=_listed(described, "position"),
