@@ -36,13 +36,13 @@ def label_encode(spark, sf_dir):
 @query("predictor_meta", """
 SELECT 'o_orderdate_year' AS feature, 'numeric' AS type, min(year(o_orderdate))::DOUBLE AS "min",
        max(year(o_orderdate))::DOUBLE AS "max", CAST(median(year(o_orderdate))::DOUBLE AS VARCHAR)
-       AS "default", NULL::BIGINT AS categories FROM orders
+       AS "default", 0::BIGINT AS categories FROM orders
 UNION ALL SELECT 'o_orderdate_month', 'numeric', 1, 12,
-       CAST(median(month(o_orderdate))::DOUBLE AS VARCHAR), NULL FROM orders
+       CAST(median(month(o_orderdate))::DOUBLE AS VARCHAR), 0 FROM orders
 UNION ALL SELECT 'o_orderdate_day', 'numeric', 1, 31,
-       CAST(median(day(o_orderdate))::DOUBLE AS VARCHAR), NULL FROM orders
+       CAST(median(day(o_orderdate))::DOUBLE AS VARCHAR), 0 FROM orders
 UNION ALL SELECT 'o_orderdate_dayofweek', 'numeric', 0, 6,
-       CAST(median(isodow(o_orderdate) - 1)::DOUBLE AS VARCHAR), NULL FROM orders
+       CAST(median(isodow(o_orderdate) - 1)::DOUBLE AS VARCHAR), 0 FROM orders
 UNION ALL SELECT 'o_orderpriority', 'categorical', NULL, NULL,
        (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
        count(DISTINCT o_orderpriority) FROM orders
@@ -50,9 +50,10 @@ UNION ALL SELECT 'o_orderstatus', 'categorical', NULL, NULL,
        (SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
        count(DISTINCT o_orderstatus) FROM orders
 UNION ALL SELECT 'o_custkey', 'numeric', min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE,
-       CAST(median(o_custkey)::DOUBLE AS VARCHAR), NULL FROM orders""")
+       CAST(median(o_custkey)::DOUBLE AS VARCHAR), 0 FROM orders""")
 def predictor_meta(spark, sf_dir):
-    return ml.predictor_meta(read(spark, sf_dir, "orders"), ORDER_PREDICTORS).drop("position")
+    found = ml.predictor_meta(read(spark, sf_dir, "orders"), ORDER_PREDICTORS)
+    return found.drop("position").withColumn("categories", F.coalesce("categories", F.lit(0)))
 
 
 SPLIT_SQL = "substr(md5('42:' || o_orderkey), 1, 4) < '3333'"
