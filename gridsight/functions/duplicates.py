@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsight.functions import values as V
+from gridsight.session import stage
 
 # Largest number of repeated hashes that is sent to all tasks (16 bytes each).
 MAX_BROADCAST_HASHES = 2_000_000
@@ -21,16 +22,15 @@ def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.xxhash64(*[V.native(df, c) for c in columns])
 
 
-def repeated_hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(h) of the row hashes that occur more than once."""
-    hashes = df.select(row_hash(df, columns).alias("h"))
-    return hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h")
-
+def repeated_hashes(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
+    """(h) of the row hashes that occur more than once, and their number.
 
-def _bounded(repeated: DataFrame) -> int | None:
-    """Number of repeated hashes, or None when there are too many to send around."""
-    n = repeated.count()
-    return n if n <= MAX_BROADCAST_HASHES else None
+    The hashes are stored, so the table is read for them once only.
+    """
+    hashes = df.select(row_hash(df, columns).alias("h"))
+    repeated = stage(hashes.groupBy("h").agg(F.count("*").alias("n"))
+                     .where(F.col("n") > 1).select("h"), "hashes")
+    return repeated, repeated.count()
 
 
 def copies(df: DataFrame) -> DataFrame:
@@ -40,11 +40,10 @@ def copies(df: DataFrame) -> DataFrame:
     key. Nulls are equal to each other.
     """
     columns = df.columns
-    repeated = repeated_hashes(df, columns)
+    repeated, n = repeated_hashes(df, columns)
     cells = [V.native(df, c).alias(f"c{i}") for i, c in enumerate(columns)]
     rows = df.select(*cells, row_hash(df, columns).alias("h"))
-    n = _bounded(repeated)
-    if n is not None:
+    if n <= MAX_BROADCAST_HASHES:
         rows = rows.join(F.broadcast(repeated), "h", "left_semi") if n else rows.limit(0)
     return rows.groupBy(*[f"c{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"))
 
@@ -66,11 +65,10 @@ def unique_rows(df: DataFrame, order_by: str | None = None) -> DataFrame:
         return rows.groupBy(*[V.col(c) for c in columns]).agg(
             F.min(V.col(order_by)).alias(order_by)).select(*[V.col(c) for c in df.columns])
 
-    repeated = repeated_hashes(df, columns)
-    n = _bounded(repeated)
+    repeated, n = repeated_hashes(df, columns)
     if n == 0:
         return df
-    if n is None:
+    if n > MAX_BROADCAST_HASHES:
         return grouped(df)
     side = F.broadcast(repeated.withColumnRenamed("h", "__h"))
     hashed = df.withColumn("__h", row_hash(df, columns))

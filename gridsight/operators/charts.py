@@ -58,6 +58,10 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFr
     A constant column gets a unit-wide range around its value.
     """
     names = list(columns)
+    spark = df.sparkSession
+    schema = "column string, bin int, low double, high double"
+    if not names:
+        return spark.createDataFrame([], f"{schema}, count bigint")
     numbers = {c: V.as_number(df, c) for c in names}
     ends = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(numbers.values())
                     for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -66,8 +70,6 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFr
         low, high = ends[f"lo{i}"], ends[f"hi{i}"]
         if low is not None:
             ranges[c] = (low - 0.5, high + 0.5) if low == high else (low, high)
-    spark = df.sparkSession
-    schema = "column string, bin int, low double, high double"
     grid = [(c, b + 1, lo + (hi - lo) * b / bins, lo + (hi - lo) * (b + 1) / bins)
             for c, (lo, hi) in ranges.items() for b in range(bins)]
     if not ranges:

@@ -244,6 +244,8 @@ def group_stats(df: DataFrame, categories: Sequence[str], numbers: Sequence[str]
     """
     spark = df.sparkSession
     shown: list[tuple] = []
+    if not numbers:
+        return spark.createDataFrame([], GROUP_SCHEMA)
     for ci, cat in enumerate(categories):
         cells = [F.struct(F.lit(ni).alias("num"), V.as_number(df, num).alias("x"))
                  for ni, num in enumerate(numbers)]

@@ -184,7 +184,7 @@ def _assembled(df: DataFrame, predictors, codes) -> DataFrame:
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows without missing cells in the used columns; refuses fewer than ten."""
     used = df.select(*[V.col(c) for c in dict.fromkeys(columns)])
-    rows = used.dropna()
+    rows = used.where(frequency.all_of([V.present(used, c).isNotNull() for c in used.columns]))
     if len(rows.take(MIN_ROWS)) < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} complete rows are needed")
     return rows

@@ -20,7 +20,7 @@ BOOLEAN_SPELLINGS = ("0", "1", "True", "False", "true", "false", "T", "F", "Y",
 # Longer texts are counted by digest, so that long texts are not shuffled.
 LONGEST_COUNTED_TEXT = 64
 SAMPLE_SIZE = 10
-HEAD_ROWS = 200
+HEAD_ROWS = 50
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),

@@ -102,7 +102,7 @@ def test_drop_duplicates(spark, monkeypatch):
     kept = clean.drop_duplicates(numbered, "n")
     assert sorted(r["n"] for r in kept.collect()) == [0, 2, 4]
     from gridsight.functions import duplicates
-    monkeypatch.setattr(duplicates, "MAX_BROADCAST_HASHES", 0)
+    monkeypatch.setattr(duplicates, "MAX_BROADCAST_HASHES", -1)
     assert cells(clean.drop_duplicates(df)) == cells(once)
     assert profile.profile_table(df).first()["duplicate_count"] == 2
 
