@@ -58,7 +58,8 @@ def list_rules(spark: SparkSession, path: str, owner: str | None = None) -> Data
 def column_metrics(df: DataFrame, columns: list[str], with_outliers: bool = True) -> DataFrame:
     """(column_name, metric, actual) of the given columns; one aggregate for all.
 
-    Truth values count as 0 and 1. Columns without numbers have `null_count` and `outliers` (0) only.
+    Truth values count as 0 and 1. Columns without numbers have `null_count` and
+    `outliers` (0) only.
     """
     columns = [c for c in columns if c in df.columns]
     spark = df.sparkSession

@@ -206,7 +206,8 @@ def profile_table(df: DataFrame) -> DataFrame:
     """One row: records, features, missing cells, exact duplicate rows."""
     missing = sum((F.when(V.present(df, c).isNull(), 1).otherwise(0) for c in df.columns),
                   F.lit(0))
-    totals = df.select(missing.alias("m")).agg(F.count("*").alias("num_records"), F.sum("m").alias("total_missing"))
+    totals = df.select(missing.alias("m")).agg(
+        F.count("*").alias("num_records"), F.sum("m").alias("total_missing"))
     copies = duplicates.copies(df).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count"))
     return totals.select(

@@ -124,7 +124,8 @@ def analyze(df: DataFrame, imputation: str = "auto", drop_copies: bool = True,
                         strong, groups, trends)
     return Analysis(
         data, raw_profile, cleaned_profile, done.log, done.outliers,
-        kpi.kpis(data.select(*[col(c) for c in columns]), types, currency), described, distribution, extremes, pairs, strong,
+        kpi.kpis(data.select(*[col(c) for c in columns]), types, currency),
+        described, distribution, extremes, pairs, strong,
         groups, cross, trends, insights.insights(data.sparkSession, statistics))
 
 
