@@ -83,8 +83,8 @@ WITH RECURSIVE prefs AS (
 wishes AS (
   SELECT list(first_slot ORDER BY i) AS firsts, list(step ORDER BY i) AS steps FROM prefs),
 turns AS (
-  SELECT 0 AS turn, list_transform(range({SLOTS}), x -> -1) AS owner,
-         list_transform(range({SHARDS}), x -> 0::BIGINT) AS used
+  SELECT 0 AS turn, list_transform(range({SLOTS}), lambda x: -1) AS owner,
+         list_transform(range({SHARDS}), lambda x: 0::BIGINT) AS used
   UNION ALL
   SELECT turn + 1,
          list_concat(list_concat(owner[1:slot], [shard]), owner[slot + 2:]),
@@ -93,7 +93,7 @@ turns AS (
     SELECT turn, owner, used, shard, nth, (firsts[shard + 1] + nth * steps[shard + 1]) % {SLOTS} AS slot
     FROM (
       SELECT turn, owner, used, firsts, steps, turn % {SHARDS} AS shard,
-        list_filter(range(used[turn % {SHARDS} + 1], {SLOTS}), x ->
+        list_filter(range(used[turn % {SHARDS} + 1], {SLOTS}), lambda x:
           owner[(firsts[turn % {SHARDS} + 1] + x * steps[turn % {SHARDS} + 1]) % {SLOTS} + 1] = -1)[1] AS nth
       FROM turns, wishes WHERE turn < {SLOTS}))),
 filled AS (SELECT owner FROM turns WHERE turn = {SLOTS}),
@@ -104,7 +104,7 @@ SELECT doc_id, slot, owner[slot + 1] AS shard FROM placed, filled
 """
 
 
-@query("op5_shard_documents")
+@query("op5_shard_documents", ORACLE)
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, by its id."""
     return place(read(spark, sf_dir, "documents"), "doc_id", shard_names())
