@@ -1,7 +1,8 @@
 """Operators that prepare text corpora for training, with their registered queries."""
 
 from gridsight.llm import (  # noqa: F401  (importing registers the queries)
-    mixing, packing, quality_rules, secret_scan, sharding)
+    mixing, near_dup, packing, quality_rules, secret_scan,
+    sharding)
 from gridsight.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
