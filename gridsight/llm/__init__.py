@@ -2,7 +2,7 @@
 
 from gridsight.llm import (  # noqa: F401  (importing registers the queries)
     mixing, near_dup, packing, quality_rules, secret_scan,
-    sharding)
+    sharding, topk)
 from gridsight.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

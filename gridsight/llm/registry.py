@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +20,41 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+ROOT = os.path.realpath(os.path.join(os.path.dirname(__file__), "..", ".."))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, unless they find it as the driver does: by
+    PYTHONPATH or in the working folder."""
+    context = spark.sparkContext
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if ROOT in map(os.path.realpath, filter(None, places)) or context.applicationId in _shipped:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="gridsight-"), "gridsight")
+    context.addPyFile(shutil.make_archive(target, "zip", ROOT, "gridsight"))
+    _shipped.add(context.applicationId)
+
+
+def shipped(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """fn(spark, ...) with the package on all workers."""
+
+    @functools.wraps(fn)
+    def call(spark: SparkSession, *args, **options) -> DataFrame:
+        ship(spark)
+        return fn(spark, *args, **options)
+
+    return call
+
+
 def query(name: str, sql: str | None = None):
     """Register a query under `name`, with the SQL that must give the same rows."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         if sql is not None:
             ORACLES[name] = sql
-        return fn
+        return QUERIES[name]
 
     return register
 
