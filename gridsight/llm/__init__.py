@@ -1,7 +1,7 @@
 """Operators that prepare text corpora for training, with their registered queries."""
 
 from gridsight.llm import (  # noqa: F401  (importing registers the queries)
-    mixing, near_dup, packing, quality_rules, secret_scan,
+    mixing, near_dup, packing, quality_model, quality_rules, secret_scan,
     sharding, topk)
 from gridsight.llm.registry import ORACLES, QUERIES
 
