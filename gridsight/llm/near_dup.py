@@ -395,10 +395,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose component is represented by another document."""
-    dropped = near_duplicates(docs, words, percent, id_col, text_col).where(~F.col("kept"))
+    """One row of `docs` for each component: that with the component's id, once.
+
+    Rows without an id cannot be told apart from others by it, and stay.
+    """
+    dropped = near_duplicates(docs, words, percent, id_col, text_col).where(
+        ~F.col("kept") & F.col(id_col).isNotNull())
     gone = dropped.select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionAll(
+        left.where(F.col(id_col).isNull()))
 
 
 ORACLE = r"""
