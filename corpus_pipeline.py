@@ -42,10 +42,11 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @shipped
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks, from no time to three times."""
-    sized = docs.select(*COLUMNS, word_count(F.col("text")).alias("_words"))
+    sized = docs.select(*COLUMNS, word_count(F.col("text")).alias("words"))
     return (
-        mixing.mix(sized, "_words").where(F.col("_copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS))
+        mixing.mix(sized, "words").where(F.col("copies") > 0)
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select(*[f"row.{c}" for c in COLUMNS]))
 
 
 @shipped

@@ -73,14 +73,14 @@ def offset(source: Column, seed: int) -> Column:
 def mix(docs: DataFrame, size: str, id_col: str = "doc_id", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 42,
         group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Add `_source_size`, `_target` and `_copies` (0 to max_repeat) to every row of `docs`.
-
-    `size` names a non-null long column. Columns of `docs` that start with an underscore
-    would clash; callers hand over tables without them.
-    """
-    keyed = docs.withColumn("_digest", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    """(row, source_size, target, copies): every row of `docs` as a struct, with the number of
+    its copies, 0 to max_repeat. `size` names a non-null long column."""
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_id"),
+        F.col(source_col).alias("_of"), F.col(size).alias("_words"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_digest"))
     groups = stage(
-        keyed.groupBy(F.col(source_col).alias("_source"), F.col(size).alias("_each"),
+        keyed.groupBy(F.col("_of").alias("_source"), F.col("_words").alias("_each"),
                       F.substring("_digest", 1, 4).alias("_prefix"))
         .agg(F.count(F.lit(1)).alias("_rows")), "mix-groups")
     largest = groups.groupBy("_source", "_each").agg(F.sum("_rows").alias("n")).agg(F.max("n"))
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, size: str, id_col: str = "doc_id", source_col: str = "s
         .drop("_plan_source", "_rows"))
 
     inside = (
-        Window.partitionBy(source_col, size, "_prefix").orderBy("_digest", F.col(id_col).asc()))
+        Window.partitionBy("_of", "_words", "_prefix").orderBy("_digest", "_id"))
     numbered = (
         keyed.withColumn("_prefix", F.substring("_digest", 1, digits))
         .withColumn("_place", F.row_number().over(inside)))
@@ -115,11 +115,11 @@ def mix(docs: DataFrame, size: str, id_col: str = "doc_id", source_col: str = "s
     crossed = (F.floor(rank * F.col("_rate") + F.col("_start"))
                - F.floor((rank - 1) * F.col("_rate") + F.col("_start")))
     return (
-        numbered.join(mine, F.col(source_col).eqNullSafe(F.col("_g_source"))
-                      & (F.col(size) == F.col("_g_each"))
+        numbered.join(mine, F.col("_of").eqNullSafe(F.col("_g_source"))
+                      & (F.col("_words") == F.col("_g_each"))
                       & (F.col("_prefix") == F.col("_g_prefix")))
-        .withColumn("_copies", F.least(crossed, F.lit(max_repeat)).cast("int"))
-        .select(*docs.columns, "_source_size", "_target", "_copies"))
+        .select("row", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+                F.least(crossed, F.lit(max_repeat)).cast("int").alias("copies")))
 
 
 ORACLE = rf"""
@@ -165,5 +165,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents")
         .select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     return mix(sized, "size").select(
-        "doc_id", "size", F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))
+        "row.doc_id", "row.size", "source_size", "target",
+        (F.col("row.size") * F.col("copies")).alias("taken"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridsight.llm.near_dup import word_hashes
-from gridsight.llm.registry import query, read
+from gridsight.llm.registry import fresh, query, read
 
 BUCKETS = 1 << 17
 #: Labelled rows to fit on, a documented bound.
@@ -241,11 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text",
-          keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and `score` of every row."""
+          keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
+    """The columns `keep` and `into`, the score, of every row."""
     # A few MB, whatever the corpus holds.
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(into, T.DoubleType())])
     n = len(keep)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,14 +255,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(n)), pa.array(found, pa.float64())], schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("_judged")).mapInArrow(judge, schema)
+    return docs.select(*keep, F.col(text_col).alias(fresh(list(keep), "_judged"))).mapInArrow(
+        judge, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """`docs` without the rows whose score is under ACCEPT."""
     names = tuple(docs.columns)
-    return score(docs, train(docs, labels, **options), keep=names).where(
-        F.col("score") >= ACCEPT).select(*names)
+    value = fresh(list(names), "_score")
+    return score(docs, train(docs, labels, **options), keep=names, into=value).where(
+        F.col(value) >= ACCEPT).select(*names)
 
 
 @query("op2_quality_model")

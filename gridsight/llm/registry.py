@@ -63,6 +63,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with `value` computed once however often `use` names it."""
     return F.transform(F.array(value), use)[0]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridsight.llm.registry import query, read
+from gridsight.llm.registry import fresh, query, read
 
 #: Most literal texts followed at once while a pattern is read; beyond it the text so far
 #: is turned into trigrams. Only the sharpness of the filter depends on it.
@@ -171,13 +171,13 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
-                 keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and `spans`, an array of (kind, start, end) by start, then rule."""
+                 keep: tuple[str, ...] = ("doc_id",), into: str = "spans") -> DataFrame:
+    """The columns `keep` and `into`, an array of (kind, start, end) by start, then rule."""
     wanted = [trigram_query(r.pattern) for r in rules]
     trigrams = set().union(*map(trigrams_of, wanted)) if rules else set()
     patterns = [compiled(r) for r in rules]
     fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("spans", T.ArrayType(SPAN))])
+    schema = T.StructType([*fields, T.StructField(into, T.ArrayType(SPAN))])
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     n = len(keep)
 
@@ -195,9 +195,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
             out = [[{"kind": k, "start": s, "end": e} for s, _, k, e in sorted(x)] for x in spans]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(n)), pa.array(out, span_type)],
-                [*keep, "spans"])
+                [*keep, into])
 
-    return docs.select(*keep, F.col(text_col).alias("_scanned")).mapInArrow(scan, schema)
+    return docs.select(*keep, F.col(text_col).alias(fresh(list(keep), "_scanned"))).mapInArrow(
+        scan, schema)
 
 
 def joined(spans: Column) -> Column:
@@ -210,7 +211,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
     """`docs` with every span replaced by [kind]; of overlapping spans the first, and from
     there on whatever reaches further, is cut out as one. Null texts stay null."""
     names = docs.columns
-    found = find_secrets(docs, rules, text_col, tuple(names))
+    spans = fresh(names, "_spans")
+    found = find_secrets(docs, rules, text_col, tuple(names), spans)
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -226,7 +228,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
     def rest(state: Column) -> Column:
         return F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int")))
 
-    cleaned = F.when(F.size("spans") > 0, F.aggregate("spans", start, cut, rest)).otherwise(text)
+    cleaned = F.when(F.size(spans) > 0, F.aggregate(spans, start, cut, rest)).otherwise(text)
     return found.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in names])
 
 
