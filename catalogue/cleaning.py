@@ -76,7 +76,7 @@ WITH {UNIQUE_SQL}
 SELECT o_orderkey, strftime({FILLED_DATE_SQL}, '%Y-%m-%d') AS o_orderdate FROM u""")
 def ffill_bfill(spark, sf_dir):
     unique = clean.drop_duplicates(dirty_orders(spark, sf_dir))
-    filled = clean.fill_forward_backward(unique, ["o_orderdate"], "o_orderkey", ranges=8)
+    filled = clean.fill_forward_backward(unique, ["o_orderdate"], "o_orderkey")
     return _dates_as_text(filled.select("o_orderkey", "o_orderdate"))
 
 

@@ -14,23 +14,20 @@ from pyspark.sql import functions as F
 from gridsight.functions import values as V
 from gridsight.session import stage
 
-# Largest number of repeated hashes that is sent to all tasks (16 bytes each).
-MAX_BROADCAST_HASHES = 2_000_000
-
 
 def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.xxhash64(*[V.native(df, c) for c in columns])
 
 
-def repeated_hashes(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
-    """(h) of the row hashes that occur more than once, and their number.
+def repeated_hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(__h) of the row hashes that occur more than once, stored.
 
-    The hashes are stored, so the table is read for them once only.
+    Joins with it leave the choice to Spark: a small table is sent to all tasks, a
+    large one is shuffled, where each hash stands once and AQE splits the other side.
     """
-    hashes = df.select(row_hash(df, columns).alias("h"))
-    repeated = stage(hashes.groupBy("h").agg(F.count("*").alias("n"))
-                     .where(F.col("n") > 1).select("h"), "hashes")
-    return repeated, repeated.count()
+    hashes = df.select(row_hash(df, columns).alias("__h"))
+    return stage(hashes.groupBy("__h").agg(F.count("*").alias("n"))
+                 .where(F.col("n") > 1).select("__h"), "hashes")
 
 
 def copies(df: DataFrame) -> DataFrame:
@@ -40,11 +37,9 @@ def copies(df: DataFrame) -> DataFrame:
     key. Nulls are equal to each other.
     """
     columns = df.columns
-    repeated, n = repeated_hashes(df, columns)
     cells = [V.native(df, c).alias(f"c{i}") for i, c in enumerate(columns)]
-    rows = df.select(*cells, row_hash(df, columns).alias("h"))
-    if n <= MAX_BROADCAST_HASHES:
-        rows = rows.join(F.broadcast(repeated), "h", "left_semi") if n else rows.limit(0)
+    rows = df.select(*cells, row_hash(df, columns).alias("__h")).join(
+        repeated_hashes(df, columns), "__h", "left_semi")
     return rows.groupBy(*[f"c{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"))
 
 
@@ -65,13 +60,8 @@ def unique_rows(df: DataFrame, order_by: str | None = None) -> DataFrame:
         return rows.groupBy(*[V.col(c) for c in columns]).agg(
             F.min(V.col(order_by)).alias(order_by)).select(*[V.col(c) for c in df.columns])
 
-    repeated, n = repeated_hashes(df, columns)
-    if n == 0:
-        return df
-    if n > MAX_BROADCAST_HASHES:
-        return grouped(df)
-    side = F.broadcast(repeated.withColumnRenamed("h", "__h"))
+    repeated = repeated_hashes(df, columns)
     hashed = df.withColumn("__h", row_hash(df, columns))
-    single = hashed.join(side, "__h", "left_anti").drop("__h")
-    several = hashed.join(side, "__h", "left_semi").drop("__h")
+    single = hashed.join(repeated, "__h", "left_anti").drop("__h")
+    several = hashed.join(repeated, "__h", "left_semi").drop("__h")
     return single.unionByName(grouped(several))

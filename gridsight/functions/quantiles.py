@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 
 from gridsight.functions import values as V
 
-# Up to this many values the built-in aggregate is the cheapest exact way.
-DIRECT_LIMIT = 100_000
 # Largest number of bracketed values that one window partition sorts.
 BRACKET_LIMIT = 5_000_000
 # Sketch size, and the rank margin left around a wanted rank: more than twice the
@@ -46,41 +44,54 @@ def exact_quantiles(
     groups: Sequence[str],
     probs: Sequence[float],
     counts: dict[tuple, int] | None = None,
-    direct_limit: int = DIRECT_LIMIT,
     bracket_limit: int = BRACKET_LIMIT,
 ) -> dict[tuple, list[float]]:
     """Quantiles of `value` for a small, known set of groups.
 
     `long` holds the group columns and a non-null double `value`; there must be
     one group per analysed column or a few per column, as the answer is
-    returned to the caller as {group: [quantiles]}. `counts` skips the counting
-    pass when the caller already knows the group sizes.
+    returned to the caller as {group: [quantiles]}. `counts` gives the group
+    sizes when the caller already knows them. A bracket that misses its ranks is
+    drawn wider, step by step, and narrowed again while it holds too much.
     """
     groups = list(groups)
-    brackets = None
-    if counts is None or sum(counts.values()) > direct_limit:
-        brackets, seen = _sketch_brackets(long, groups, probs)
-        counts = counts or seen
-    counts = {g: n for g, n in counts.items() if n > 0}
-    if not counts:
-        return {}
-    if sum(counts.values()) <= direct_limit:
-        rows = long.groupBy(*groups).agg(
-            F.percentile("value", [float(p) for p in probs]).alias("q")).collect()
-        return {tuple(r[g] for g in groups): list(r["q"]) for r in rows}
+    margin = MARGIN
+    brackets, seen = _sketch_brackets(long, groups, probs, margin)
+    counts = {g: n for g, n in (counts or seen).items() if n > 0}
+    if any(seen.get(g) != n for g, n in counts.items()):
+        raise ValueError("the given group sizes are not those of the rows")
+    answer: dict[tuple, list[float]] = {}
+    pending = counts
+    while pending:
+        brackets = {g: brackets[g] for g in pending}
+        expected = max(math.ceil(n * min(1.0, 2 * margin * len(probs))) for n in pending.values())
+        while expected > bracket_limit:
+            brackets, size = _refine(long, groups, pending, probs, brackets)
+            if size >= expected:
+                break  # ties only: the values in the bracket collapse to few rows
+            expected = size
+        answer |= _select(long, groups, pending, probs, brackets)
+        pending = {g: n for g, n in pending.items() if g not in answer}
+        if pending:
+            if margin >= 1:
+                raise RuntimeError("the rows changed while their quantiles were sought")
+            margin = min(1.0, max(margin * 8, 0.01))
+            brackets, _ = _sketch_brackets(long, groups, probs, margin)
+    return answer
+
 
-    expected = max(math.ceil(n * 2 * MARGIN * len(probs)) for n in counts.values())
-    while expected > bracket_limit:
-        brackets, size = _refine(long, groups, counts, probs, brackets)
-        if size >= expected:
-            break  # ties only: the values in the bracket collapse to few rows
-        expected = size
-    return _select(long, groups, counts, probs, brackets)
+def _between(low: float, high: float, weight: float) -> float:
+    """Linear interpolation that infinities on both sides leave alone."""
+    if low == high or weight == 0:
+        return low
+    if math.isfinite(low):
+        return low + (high - low) * weight
+    return low if math.isfinite(high) else math.nan
 
 
-def _sketch_brackets(long, groups, probs):
+def _sketch_brackets(long, groups, probs, margin):
     """{group: [(low, high) per probability]} and {group: size}, from one sketch per group."""
-    points = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)})
+    points = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
     sketches = long.groupBy(*groups).agg(
         F.kll_sketch_agg_double("value", SKETCH_SIZE).alias("s"), F.count("*").alias("n"))
     rows = sketches.select(*groups, "n", F.kll_sketch_get_quantile_double(
@@ -89,7 +100,7 @@ def _sketch_brackets(long, groups, probs):
     for r in rows:
         at = dict(zip(points, r["q"]))
         g = tuple(r[c] for c in groups)
-        brackets[g] = [(at[max(p - MARGIN, 0.0)], at[min(p + MARGIN, 1.0)]) for p in probs]
+        brackets[g] = [(at[max(p - margin, 0.0)], at[min(p + margin, 1.0)]) for p in probs]
         sizes[g] = r["n"]
     return brackets, sizes
 
@@ -151,52 +162,43 @@ def _merged(intervals):
 
 
 def _select(long, groups, counts, probs, brackets):
-    """Exact order statistics inside the brackets; widens a bracket that missed."""
-    pending, answer = dict(brackets), {}
-    while pending:
-        joined, width = _with_brackets(long, groups, {g: _merged(bs) for g, bs in pending.items()})
-        x = F.col("value")
-        # `slot` counts the brackets that start at or below the value; a value in none
-        # of them lies in the gap behind the last one that started.
-        slot = sum((F.when(x >= F.col(f"lo{i}"), 1).otherwise(0) for i in range(width)), F.lit(0))
-        inside = F.lit(False)
-        for i in range(width):
-            inside = inside | F.coalesce(
-                (x >= F.col(f"lo{i}")) & (x <= F.col(f"hi{i}")), F.lit(False))
-        located = joined.select(*groups, slot.alias("slot"), inside.alias("inside"),
-                                F.when(inside, x).alias("value"))
-        wanted = {g: sorted({r for low, high, _ in _ranks(counts[g], probs) for r in (low, high)})
-                  for g in pending}
-        schema = T.StructType([long.schema[g] for g in groups]
-                              + [T.StructField("wanted", T.ArrayType(T.LongType()))])
-        table = long.sparkSession.createDataFrame([(*g, w) for g, w in wanted.items()], schema)
-        order = [F.col("slot"), F.col("inside").desc(), F.col("value")]
-        cumulative = Window.partitionBy(*groups).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        placed = (
-            located.groupBy(*groups, "slot", "inside", "value").agg(F.count("*").alias("n"))
-            .withColumn("upto", F.sum("n").over(cumulative))
-            .join(F.broadcast(table), groups)
-            .withColumn("hits", F.filter("wanted", lambda r: (
-                r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
-            .where(F.size("hits") > 0)
-            .select(*groups, "inside", "value", "hits")
-        )
-        at: dict[tuple, dict[int, float]] = {g: {} for g in pending}
-        for r in placed.collect():
-            if r["inside"]:
-                at[tuple(r[c] for c in groups)].update({rank: r["value"] for rank in r["hits"]})
-        retry = {}
-        for g in pending:
-            if len(at[g]) == len(wanted[g]):
-                answer[g] = [
-                    at[g][low] + (at[g][high] - at[g][low]) * weight
-                    for low, high, weight in _ranks(counts[g], probs)
-                ]
-            else:  # the sketch was further off than its margin: take all values
-                retry[g] = [(-math.inf, math.inf)]
-        pending = retry
-    return answer
+    """Exact order statistics inside the brackets, of the groups whose brackets hold them."""
+    joined, width = _with_brackets(long, groups, {g: _merged(bs) for g, bs in brackets.items()})
+    x = F.col("value")
+    # `slot` counts the brackets that start at or below the value; a value in none
+    # of them lies in the gap behind the last one that started.
+    slot = sum((F.when(x >= F.col(f"lo{i}"), 1).otherwise(0) for i in range(width)), F.lit(0))
+    inside = F.lit(False)
+    for i in range(width):
+        inside = inside | F.coalesce(
+            (x >= F.col(f"lo{i}")) & (x <= F.col(f"hi{i}")), F.lit(False))
+    located = joined.select(*groups, slot.alias("slot"), inside.alias("inside"),
+                            F.when(inside, x).alias("value"))
+    wanted = {g: sorted({r for low, high, _ in _ranks(counts[g], probs) for r in (low, high)})
+              for g in brackets}
+    schema = T.StructType([long.schema[g] for g in groups]
+                          + [T.StructField("wanted", T.ArrayType(T.LongType()))])
+    table = long.sparkSession.createDataFrame([(*g, w) for g, w in wanted.items()], schema)
+    order = [F.col("slot"), F.col("inside").desc(), F.col("value")]
+    cumulative = Window.partitionBy(*groups).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    placed = (
+        located.groupBy(*groups, "slot", "inside", "value").agg(F.count("*").alias("n"))
+        .withColumn("upto", F.sum("n").over(cumulative))
+        .join(F.broadcast(table), groups)
+        .withColumn("hits", F.filter("wanted", lambda r: (
+            r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
+        .where(F.size("hits") > 0)
+        .select(*groups, "inside", "value", "hits")
+    )
+    at: dict[tuple, dict[int, float]] = {g: {} for g in brackets}
+    for r in placed.collect():
+        if r["inside"]:
+            at[tuple(r[c] for c in groups)].update({rank: r["value"] for rank in r["hits"]})
+    return {
+        g: [_between(at[g][low], at[g][high], weight)
+            for low, high, weight in _ranks(counts[g], probs)]
+        for g in brackets if len(at[g]) == len(wanted[g])}
 
 
 def column_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float],

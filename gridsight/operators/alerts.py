@@ -47,7 +47,9 @@ def list_rules(spark: SparkSession, path: str, owner: str | None = None) -> Data
     log = spark.read.schema(_STORE_SCHEMA).parquet(path)
     if owner is not None:
         log = log.where(F.col("owner") == owner)
-    newest = Window.partitionBy("owner", "id").orderBy(F.col("written_at").desc())
+    # Of writes in the same instant a deletion counts as the last.
+    newest = Window.partitionBy("owner", "id").orderBy(
+        F.col("written_at").desc(), F.col("deleted").desc())
     current = log.withColumn("n", F.row_number().over(newest)).where(
         (F.col("n") == 1) & ~F.col("deleted"))
     return current.drop("n", "deleted", "written_at")

@@ -20,7 +20,6 @@ HIGH_NULL_PCT = 80
 
 # Rows per range that one fill-forward task sorts.
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
 
 LOG_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -120,20 +119,19 @@ def fill_forward_backward(df: DataFrame, columns: Sequence[str], order_by: str,
                           ranges: int | None = None) -> DataFrame:
     """Missing cells take the last earlier value by `order_by`, leading ones the first later.
 
-    The table is cut into even ranges of the (unique, numeric or time) order
-    key. A window runs inside each range only; what enters a range from earlier
-    ones comes from a table with one row per range.
+    The table is sorted into even ranges of the (unique) order key, compared in its
+    own type, and written, so that ranges cannot change later. A window runs inside
+    each range only; what enters a range from earlier ones comes from a table with
+    one row per range. Their number follows the number of rows.
     """
     columns = list(columns)
     if not columns:
         return df
     key = V.col(order_by)
-    temporal = isinstance(V.dtype_of(df, order_by), V.TEMPORAL)
-    number = (F.unix_micros(key.cast("timestamp")) if temporal else key).cast("double")
-    keyed = df.withColumn("__key", number)
     if ranges is None:
-        ranges = min(MAX_RANGES, max(1, -(-df.count() // ROWS_PER_RANGE)))
-    rows = quantiles.bucketed(keyed, "__key", ranges, "__range").drop("__key")
+        ranges = max(1, -(-df.count() // ROWS_PER_RANGE))
+    rows = stage(df.repartitionByRange(ranges, key).withColumn(
+        "__range", F.spark_partition_id()), "ranges")
 
     present = {c: V.present(df, c) for c in columns}
     ends = rows.groupBy("__range").agg(
@@ -142,7 +140,7 @@ def fill_forward_backward(df: DataFrame, columns: Sequence[str], order_by: str,
         *[F.min_by(present[c], F.when(present[c].isNotNull(), key)).alias(f"__f{i}")
           for i, c in enumerate(columns)],
     )
-    # One row per range (at most MAX_RANGES), so one task and a broadcast are bounded.
+    # One row for each million rows of the table.
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("__range").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
@@ -155,7 +153,7 @@ def fill_forward_backward(df: DataFrame, columns: Sequence[str], order_by: str,
     )
     inside = Window.partitionBy("__range").orderBy(key).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(F.broadcast(carried), "__range")
+    joined = rows.join(carried, "__range")
     return joined.select(*[
         F.coalesce(F.last(present[c], ignorenulls=True).over(inside),
                    F.col(f"__c{columns.index(c)}")).alias(c) if c in present else V.col(c)
@@ -271,7 +269,7 @@ def clean(df: DataFrame, profile: DataFrame, imputation: str = "auto",
     if moments:
         if order_by is None:
             raise ValueError(f"date columns {moments} need order_by to be filled")
-        ranges = min(MAX_RANGES, max(1, -(-kept // ROWS_PER_RANGE)))
+        ranges = max(1, -(-kept // ROWS_PER_RANGE))
         filled = fill_forward_backward(filled, moments, order_by, ranges)
 
     for c, n in gaps.items():

@@ -36,9 +36,9 @@ PLOT_POINTS = 150
 TOP_DRIVERS = 3
 # "No limit" for the tree learner.
 DEEPEST = 30
-# Codes of up to this many labels are numbered in one task and sent to all tasks.
-SMALL_LABELS = 100_000
 TEST_SHARE = 0.2
+# A date-named text column is a date if more than this share of its cells parse.
+DATE_SHARE = 0.5
 
 META_SCHEMA = ("position int, feature string, type string, min double, max double, "
                "default string, categories bigint")
@@ -50,6 +50,7 @@ class Predictor(NamedTuple):
     column: str
     kind: str  # date, label or number
     fmt: str | None = None
+    fill: str | None = None  # what a date text that does not parse becomes
 
     @property
     def features(self) -> list[str]:
@@ -83,10 +84,22 @@ def _is_date(df: DataFrame, column: str, parts: Sequence[str]) -> tuple[bool, st
         return True, None
     if kind != "string":
         return False, None
-    filled = df.where(V.col(column).isNotNull())
-    sample = P.first_values(filled, [column], rows=P.SAMPLE_SIZE)
-    fmt = P.date_layouts(df.sparkSession, sample).get(column)
-    return fmt is not None, fmt
+    # The layout most cells follow; some cells may not parse.
+    fmt = dates.choose_format(df, column)
+    parsed = df.agg(F.count(dates.parse(V.col(column), fmt)).alias("dates"),
+                    F.count(V.present(df, column)).alias("cells")).first()
+    return parsed["dates"] > DATE_SHARE * parsed["cells"], fmt
+
+
+def _commonest_date(df: DataFrame, column: str, fmt: str | None) -> str | None:
+    """The date that most cells hold, the earliest of equals, as text."""
+    if fmt is None:
+        return None
+    counts = df.groupBy(dates.as_timestamp(df, column, fmt).alias("v")).agg(
+        F.count("*").alias("n")).where(F.col("v").isNotNull())
+    best = counts.agg(F.min(F.struct((-F.col("n")).alias("down"), "v")).alias("b")).select(
+        F.col("b.v").cast("string").alias("v")).first()
+    return best["v"]
 
 
 def plan_predictors(df: DataFrame, columns: Sequence[str]) -> list[Predictor]:
@@ -95,7 +108,7 @@ def plan_predictors(df: DataFrame, columns: Sequence[str]) -> list[Predictor]:
     for c in columns:
         is_date, fmt = _is_date(df, c, DATE_PREDICTOR_PARTS)
         if is_date:
-            out.append(Predictor(c, "date", fmt))
+            out.append(Predictor(c, "date", fmt, _commonest_date(df, c, fmt)))
         else:
             out.append(Predictor(c, "number" if V.is_numeric(V.dtype_of(df, c)) else "label"))
     return out
@@ -111,24 +124,15 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(label, code): alphabetical numbers from 0 of a column's text values."""
     labels = df.select(V.as_text(df, column).alias("label")).where(
         F.col("label").isNotNull()).distinct()
-    if df.agg(F.approx_count_distinct(V.as_text(df, column))).first()[0] <= SMALL_LABELS:
-        return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1)
-                             .cast("double").alias("code"))
-    return _numbered_labels(labels)
-
-
-def _numbered_labels(labels: DataFrame) -> DataFrame:
-    """Number a large label table by sorted range and place in the range.
-
-    The sorted table is written first, so ranges and places cannot change later.
-    """
+    # Numbered by sorted range and place in the range. The sorted table is written
+    # first, so ranges and places cannot change later.
     placed = stage(labels.orderBy("label").select(
         "label", F.spark_partition_id().alias("part"),
         (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("place")), "labels")
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row per task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return placed.join(F.broadcast(starts), "part").select(
+    return placed.join(starts, "part").select(
         "label", (F.col("start") + F.col("place")).cast("double").alias("code"))
 
 
@@ -144,10 +148,9 @@ def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None,
     """Add the code of a column's text; labels not in `codes` get 0."""
     codes = label_codes(df, column) if codes is None else codes
     known = codes.select(F.col("label").alias("__label"), F.col("code").alias("__code"))
-    # Sent to all tasks only when it is small; otherwise a join that splits hot labels.
-    side = F.broadcast(known) if codes.count() <= SMALL_LABELS else known
+    # Spark sends the codes to all tasks if they are small; otherwise the join splits hot labels.
     text = df.withColumn("__text", V.as_text(df, column))
-    return text.join(side, F.col("__text") == F.col("__label"), "left").withColumn(
+    return text.join(known, F.col("__text") == F.col("__label"), "left").withColumn(
         output or f"{column}_code", F.coalesce("__code", F.lit(0.0))).drop(
         "__text", "__label", "__code")
 
@@ -162,8 +165,11 @@ def build_features(df: DataFrame, predictors: Sequence[Predictor],
     out, i = df, 0
     for p in predictors:
         if p.kind == "date":
-            parts = date_parts(dates.as_timestamp(df, p.column, p.fmt), p.column)
-            for part in parts:
+            ts = dates.as_timestamp(df, p.column, p.fmt)
+            if p.fill is not None:  # a cell that does not parse; missing cells stay missing
+                ts = F.coalesce(ts, F.when(V.present(df, p.column).isNotNull(),
+                                           F.lit(p.fill).cast("timestamp_ntz")))
+            for part in date_parts(ts, p.column):
                 out = out.withColumn(f"__f{i}", part)
                 i += 1
         elif p.kind == "label":
@@ -175,10 +181,11 @@ def build_features(df: DataFrame, predictors: Sequence[Predictor],
     return out
 
 
-def _assembled(df: DataFrame, predictors, codes) -> DataFrame:
+def _assembled(df: DataFrame, predictors, codes, invalid: str = "error") -> DataFrame:
+    """Rows with their feature vector; only scoring may meet rows with gaps ("keep")."""
     width = sum(len(p.features) for p in predictors)
     return VectorAssembler(inputCols=[f"__f{i}" for i in range(width)], outputCol="features",
-                           handleInvalid="keep").transform(build_features(df, predictors, codes))
+                           handleInvalid=invalid).transform(build_features(df, predictors, codes))
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -230,6 +237,17 @@ def predictor_meta(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, META_SCHEMA)
 
 
+def predictor_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, category, code): the values that each label predictor can take."""
+    none = df.sparkSession.createDataFrame([], "feature string, category string, code double")
+    out = none
+    for p in plan_predictors(df, columns):
+        if p.kind == "label":
+            out = out.unionAll(label_codes(df, p.column).select(
+                F.lit(p.column).alias("feature"), F.col("label").alias("category"), "code"))
+    return out
+
+
 # --- split ----------------------------------------------------------------------------------
 
 def split_mark(df: DataFrame, key: str | None = None, seed: int = SEED,
@@ -263,12 +281,21 @@ def classification_metrics(scored: DataFrame, label: str = "label",
         (F.sum(F.col("precision") * F.col("support")) / total).alias("precision"))
 
 
-def confusion(scored: DataFrame, label: str = "label",
-              prediction: str = "prediction") -> DataFrame:
-    """Square matrix over every class seen: one row per label, one column per guess."""
-    cells = scored.groupBy(
+def confusion_cells(scored: DataFrame, label: str = "label",
+                    prediction: str = "prediction") -> DataFrame:
+    """(label, guess, n): the cells of the confusion matrix, for any number of classes."""
+    return scored.groupBy(
         V.col(label).cast("string").alias("label"),
         V.col(prediction).cast("string").alias("guess")).agg(F.count("*").alias("n"))
+
+
+def confusion(scored: DataFrame, label: str = "label",
+              prediction: str = "prediction") -> DataFrame:
+    """Square matrix over every class seen: one row per label, one column per guess.
+
+    For more classes than a table can have columns, take `confusion_cells`.
+    """
+    cells = confusion_cells(scored, label, prediction)
     both = cells.select(F.explode(F.array("label", "guess")).alias("c")).where(
         F.col("c").isNotNull()).distinct().orderBy("c")
     limit = int(scored.sparkSession.conf.get("spark.sql.pivotMaxValues"))
@@ -310,10 +337,19 @@ def refuse_date_target(df: DataFrame, target: str) -> None:
         raise ValueError(f"'{target}' holds dates; choose a number or a label as the target")
 
 
+def _depth(depth: int | str | None) -> int:
+    """The learner's depth; "none" is the deepest it allows, and more is refused."""
+    if depth in (None, "None"):
+        return DEEPEST
+    if not 0 < int(depth) <= DEEPEST:
+        raise ValueError(f"depth must lie between 1 and {DEEPEST}, or be none")
+    return int(depth)
+
+
 def _forest(classify: bool, trees: int, depth: int | None, min_split: int):
     common = dict(
         featuresCol="features", labelCol="label", numTrees=int(trees),
-        maxDepth=DEEPEST if depth in (None, "None") else min(int(depth), DEEPEST),
+        maxDepth=_depth(depth),
         minInstancesPerNode=max(1, int(min_split) // 2), seed=SEED, maxBins=64,
         maxMemoryInMB=512)
     if classify:
@@ -343,13 +379,17 @@ def train(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 50
     marked = labelled.withColumn("is_test", split_mark(rows, key))
     data = stage(_assembled(marked, plan, codes).select("features", "label", "is_test"),
                  "features")
+    if classify:  # the learner takes the number of classes from here
+        classes = codes[target].count()
+        data = data.withColumn("label", F.col("label").alias("label", metadata={
+            "ml_attr": {"type": "nominal", "num_vals": classes, "name": "label"}}))
     training, test = data.where(~F.col("is_test")), data.where("is_test")
     params = {"trees": trees, "depth": depth, "min_split": min_split}
     if tune:
         learner = _forest(classify, trees, depth, 2)
         grid = (ParamGridBuilder()
                 .addGrid(learner.numTrees, list(tree_grid))
-                .addGrid(learner.maxDepth, [DEEPEST if d is None else d for d in depth_grid])
+                .addGrid(learner.maxDepth, [_depth(d) for d in depth_grid])
                 .build())
         judge = (MulticlassClassificationEvaluator(metricName="accuracy") if classify
                  else RegressionEvaluator(metricName="r2"))
@@ -417,7 +457,7 @@ def score(trained: Trained, df: DataFrame) -> DataFrame:
     Classes come with their probability. Labels unseen in training get code 0;
     rows with a missing number or date keep a null answer.
     """
-    data = _assembled(df, trained.predictors, trained.codes)
+    data = _assembled(df, trained.predictors, trained.codes, "keep")
     usable = frequency.all_of([F.col(f"__f{i}").isNotNull() for i in range(len(trained.features))])
     inputs = [V.col(c) for c in df.columns]
     out = trained.model.transform(data)

@@ -104,9 +104,15 @@ def first_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]
     return {c: [r[j] for r in found if r[j] is not None] for j, c in enumerate(names)}
 
 
-def date_layouts(spark: SparkSession, samples: dict[str, list[str]]) -> dict[str, str]:
-    """{column: layout} of the samples whose every value follows one date layout."""
-    # A date has a digit, so most text columns are settled without a job.
+def date_layouts(df: DataFrame, samples: dict[str, list[str]]) -> dict[str, str]:
+    """{column: layout} of the text columns whose every cell follows one date layout.
+
+    `samples` holds some cells of each column. A layout that one of them breaks is out
+    without a job; the others are held against all cells, so the answer does not depend
+    on the order of the rows.
+    """
+    spark = df.sparkSession
+    # A date has a digit, so most text columns are settled here.
     cells = [(c, v) for c, values in samples.items()
              if values and all(any(x.isdigit() for x in v) for v in values) for v in values]
     if not cells:
@@ -115,11 +121,18 @@ def date_layouts(spark: SparkSession, samples: dict[str, list[str]]) -> dict[str
     fits = table.groupBy("column").agg(*[
         F.bool_and(dates.parse(F.col("value"), f).isNotNull()).alias(f"f{i}")
         for i, f in enumerate(dates.FORMAT_NAMES)])
-    found = {}
-    for r in fits.collect():
-        layout = next((f for i, f in enumerate(dates.FORMAT_NAMES) if r[f"f{i}"]), None)
-        if layout:
-            found[r["column"]] = layout
+    open_ = [(r["column"], f) for r in fits.collect()
+             for i, f in enumerate(dates.FORMAT_NAMES) if r[f"f{i}"]]
+    if not open_:
+        return {}
+    every = df.agg(*[
+        F.coalesce(F.bool_and(F.when(V.present(df, c).isNotNull(), dates.parse(
+            V.as_text(df, c), f).isNotNull())), F.lit(False)).alias(f"k{i}")
+        for i, (c, f) in enumerate(open_)]).first()
+    found: dict[str, str] = {}
+    for i, (c, f) in enumerate(open_):
+        if every[f"k{i}"]:
+            found.setdefault(c, f)
     return found
 
 
@@ -143,8 +156,7 @@ def infer_type(name: str, dtype: T.DataType, stats: Row, dated_text: bool,
                string_unique_is_id: bool = False, numeric_dates: bool = False) -> str:
     """Semantic type of one column from its statistics; the first rule that fits wins.
 
-    `dated_text` says that the first texts all follow one date layout. That
-    settles date-like names too: a longer sample could only confirm it.
+    `dated_text` says that all texts follow one date layout.
     """
     rows, filled, distinct = stats["row_count"], stats["non_null"], stats["unique_count"]
     numeric = V.is_numeric(dtype)
@@ -187,7 +199,7 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None, approx
                 df.where(V.present(df, c).isNotNull()), [c], order_by, SAMPLE_SIZE))
     sample = {c: head[c][:SAMPLE_SIZE] for c in names}
     texts = {c: v for c, v in sample.items() if isinstance(V.dtype_of(df, c), T.StringType)}
-    dated = date_layouts(df.sparkSession, texts)
+    dated = date_layouts(df, texts)
 
     rows = []
     for i, field in enumerate(df.schema[c] for c in names):

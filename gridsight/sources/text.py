@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,6 @@ WHOLE_PATTERN = r"^\s*[+-]?\d+\s*$"
 FALLBACK_ENCODING = "ISO-8859-1"
 BAD_CHARACTER = "�"
 ROW_NUMBER = "_row"
-MAX_BROADCAST_SPLITS = 100_000
 _SPLIT_ROWS = 1 << 33
 
 
@@ -68,9 +67,21 @@ def header_names(line: str, sep: str, case_sensitive: bool = False) -> list[str]
     return names
 
 
+def spans_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether a record has line breaks inside quotes: some line holds an odd number of quotes.
+
+    One pass over the raw lines, which files are split into as usual.
+    """
+    lines = spark.read.csv(path, sep="\x00", quote="", encoding=encoding, schema="line string")
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    return not lines.where(quotes % 2 == 1).isEmpty()
+
+
 def read_cells(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8",
-               multiline: bool = False, row_number: bool = False) -> DataFrame:
+               multiline: bool | None = None, row_number: bool = False) -> DataFrame:
     """All columns as text, missing tokens as null."""
+    if multiline is None:
+        multiline = spans_lines(spark, path, encoding)
     line = first_line(spark, path, encoding)
     sep = sep or sniff_separator(line)
     names = header_names(line, sep, spark.conf.get("spark.sql.caseSensitive") == "true")
@@ -95,16 +106,13 @@ def _numbered(raw: DataFrame, cells: list[Column]) -> DataFrame:
     """
     split = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("__split")
     rows = raw.select(*cells, split, F.monotonically_increasing_id().alias("__id"))
-    splits = raw.select(split).distinct().orderBy("__split").collect()
-    ranks = raw.sparkSession.createDataFrame(
-        [(r["__split"], i) for i, r in enumerate(splits)],
-        T.StructType([T.StructField("__split", rows.schema["__split"].dataType),
-                      T.StructField("__rank", T.LongType())]))
-    if len(splits) <= MAX_BROADCAST_SPLITS:
-        ranks = F.broadcast(ranks)
+    # One row per split, ranked without the driver; Spark chooses the join.
+    ranks = raw.select(split).distinct().select(
+        F.col("__split").alias("__of"),
+        (F.row_number().over(Window.orderBy("__split")) - 1).cast("long").alias("__rank"))
     within = F.col("__id") % F.lit(_SPLIT_ROWS)
     data = [V.col(c) for c in rows.columns if c not in ("__split", "__id")]
-    return rows.join(ranks, "__split").select(
+    return rows.join(ranks, F.col("__split") == F.col("__of")).select(
         *data, (F.col("__rank") * F.lit(_SPLIT_ROWS) + within).alias(ROW_NUMBER))
 
 
@@ -202,12 +210,13 @@ def drop_unwanted(df: DataFrame) -> DataFrame:
 # --- entry points ---------------------------------------------------------------------------
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
-                   multiline: bool = False, row_number: bool = False) -> DataFrame:
+                   multiline: bool | None = None, row_number: bool = False) -> DataFrame:
     """A typed table from CSV or TSV files; `sep=None` sniffs the separator.
 
     Text that does not decode as UTF-8 is read again in the fallback encoding.
-    `multiline` allows line breaks inside quotes, at the price of one task per
-    file. `row_number` adds the file order as `_row`.
+    Line breaks inside quotes are found by a look at the raw lines, unless `multiline`
+    says so; such files are read by one task each, so large tables should be written as
+    many files. `row_number` adds the file order as `_row`.
     """
     cells = read_cells(spark, path, sep, "UTF-8", multiline, row_number)
     columns = [c for c in cells.columns if c != ROW_NUMBER]

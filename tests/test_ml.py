@@ -92,15 +92,48 @@ def test_tuning(table):
     assert trained.params["depth"] == ml.DEEPEST and len(trained.params["scores"]) == 4
 
 
-def test_large_label_tables(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [1, 7, 200])
+def test_label_codes(spark, parts):
     df = spark.range(900).select(F.format_string("w%04d", F.col("id") * 7 % 300).alias("w"))
-    small = {r["label"]: r["code"] for r in ml.label_codes(df, "w").collect()}
-    monkeypatch.setattr(ml, "SMALL_LABELS", 10)
-    large = {r["label"]: r["code"] for r in ml.label_codes(df, "w").collect()}
-    assert small == large and len(small) == 300
+    codes = {r["label"]: r["code"] for r in ml.label_codes(df.repartition(parts), "w").collect()}
+    assert codes == {f"w{i:04d}": float(i) for i in range(300)}
     assert ml.label_encode(df, "w").where("w_code is null").count() == 0
 
 
+def test_many_classes(spark):
+    """More classes than the learner guesses from unnamed labels."""
+    df = spark.range(3000).select("id", F.format_string("c%03d", F.col("id") % 150).alias("y"),
+                                  (F.col("id") % 150).alias("x"))
+    trained, scored = ml.train(df, "y", ["x"], trees=3, depth=12, key="id")
+    assert trained.model.numClasses == 150 and scored.count() > 400
+    cells = ml.confusion_cells(ml.score(trained, df), "y", "predicted")
+    assert cells.agg(F.sum("n")).first()[0] == 3000
+    listed = ml.predictor_categories(df, ["x", "y"]).collect()
+    assert len(listed) == 150 and {r["feature"] for r in listed} == {"y"}
+
+
+def test_dates_that_do_not_parse(spark):
+    """They take the commonest date; missing cells stay without an answer."""
+    df = spark.createDataFrame(
+        [(i, "n/k" if i == 7 else f"2020-0{1 + i % 3 // 2}-01", float(i % 3)) for i in range(60)],
+        "id int, due_date string, y double")
+    plan = ml.plan_predictors(df, ["due_date"])
+    assert plan[0].kind == "date" and plan[0].fill.startswith("2020-01-01")
+    trained, scored = ml.train(df, "y", ["due_date"], trees=2, key="id")
+    assert scored.count() > 0
+    _, placed = ml.train_clusters(df, ["due_date", "y"], k=2, key="id")
+    assert placed.count() == 60
+    answers = ml.score(trained, df.withColumn("due_date", F.when(F.col("id") != 3, F.col("due_date"))))
+    assert [r["id"] for r in answers.where("predicted IS NULL").collect()] == [3]
+
+
+def test_depth_is_refused_beyond_the_learner(spark):
+    df = spark.range(100).select("id", (F.col("id") % 7).cast("double").alias("y"),
+                                 (F.col("id") % 5).alias("x"))
+    with pytest.raises(ValueError):
+        ml.train(df, "y", ["x"], trees=2, depth=31, key="id")
+
+
 def test_metric_edges(spark):
     same = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0)], "label double, prediction double")
     assert ml.regression_metrics(same).first()["r2"] == 1.0

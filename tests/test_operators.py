@@ -101,9 +101,12 @@ def test_drop_duplicates(spark, monkeypatch):
                                      "a int, b string, c double, n long")
     kept = clean.drop_duplicates(numbered, "n")
     assert sorted(r["n"] for r in kept.collect()) == [0, 2, 4]
-    from gridsight.functions import duplicates
-    monkeypatch.setattr(duplicates, "MAX_BROADCAST_HASHES", -1)
-    assert cells(clean.drop_duplicates(df)) == cells(once)
+    # The same rows where Spark has to shuffle both sides.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert cells(clean.drop_duplicates(df)) == cells(once)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert profile.profile_table(df).first()["duplicate_count"] == 2
 
 
@@ -223,6 +226,37 @@ def test_resample_drops_empty_periods(spark):
     assert averages == [None, 2.5]
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 200])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_fill_forward_in_any_zone(spark, ranges, zone):
+    """Keys around a skipped hour keep their order, whatever the number of ranges."""
+    rows = [(dt.datetime(2021, 3, 14, 1, 0) + dt.timedelta(minutes=5 * i), i if i % 9 == 4 else None)
+            for i in range(60)]
+    want, last = [], 4
+    for _, v in rows:
+        last = v if v is not None else last
+        want.append(last)
+    df = spark.createDataFrame(rows, "t timestamp_ntz, v int").repartition(5)
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        filled = clean.fill_forward_backward(df, ["v"], "t", ranges).orderBy("t")
+        assert [r["v"] for r in filled.collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_one_bad_cell_settles_the_type(spark):
+    """All cells decide on dates, in any row order."""
+    good = [(i, f"2020-01-{1 + i % 28:02d}") for i in range(200)]
+    for rows in (good[:-1] + [(199, "no date")], [(0, "no date")] + good[1:]):
+        df = spark.createDataFrame(rows, "id int, t string").coalesce(1)
+        kinds = {r["column"]: r["inferred_type"] for r in profile.profile_columns(df).collect()}
+        assert kinds["t"] != "datetime"
+    kinds = {r["column"]: r["inferred_type"] for r in
+             profile.profile_columns(spark.createDataFrame(good, "id int, t string")).collect()}
+    assert kinds["t"] == "datetime"
+
+
 def test_date_layouts(spark):
     df = spark.createDataFrame(
         [("01-02-2010", "3 Mar 2020", "20200131"), ("13-02-2010", "x", "20201301")],

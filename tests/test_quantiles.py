@@ -21,20 +21,40 @@ def numbers(spark):
 
 
 @pytest.mark.parametrize("limits", [
-    {}, {"direct_limit": 0}, {"direct_limit": 0, "bracket_limit": 1},
-    {"direct_limit": 0, "bracket_limit": 100}])
+    {}, {"bracket_limit": 1}, {"bracket_limit": 100}])
 def test_column_quantiles(numbers, limits):
     df, values = numbers
     found = quantiles.column_quantiles(df, ["x"], PROBS, **limits)["x"]
     assert found == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-12)
 
 
-def test_missed_brackets_are_widened(numbers, monkeypatch):
+@pytest.mark.parametrize("limits", [{}, {"bracket_limit": 500}])
+def test_missed_brackets_are_widened(numbers, monkeypatch, limits):
     df, values = numbers
-    monkeypatch.setattr(quantiles, "_sketch_brackets", lambda long, groups, probs: (
-        {(0,): [(1e9, 1e10)] * len(probs)}, {(0,): len(values)}))
-    found = quantiles.column_quantiles(df, ["x"], [0.25, 0.5], direct_limit=0)["x"]
-    assert found == pytest.approx(list(np.quantile(values, [0.25, 0.5])))
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)  # brackets of one value each
+    sizes = []
+    select = quantiles._select
+    monkeypatch.setattr(quantiles, "_select", lambda *a: sizes.append(a[2]) or select(*a))
+    found = quantiles.column_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.9], **limits)["x"]
+    assert found == pytest.approx(list(np.quantile(values, [0.1, 0.25, 0.5, 0.9])))
+    assert 1 < len(sizes) < 5
+
+
+def test_given_sizes_must_be_right(numbers):
+    df, values = numbers
+    with pytest.raises(ValueError):
+        quantiles.column_quantiles(df, ["x"], [0.5], {"x": len(values) + 1})
+
+
+@pytest.mark.parametrize("n", [30, 300_000])
+def test_infinities(spark, n):
+    """One path for every size: a third of the values is infinite."""
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, float("inf")).otherwise(
+        F.col("id").cast("double")).alias("x"))
+    found = quantiles.column_quantiles(df, ["x"], [0.25, 0.75, 0.9])["x"]
+    assert math.isfinite(found[0]) and found[1:] == [math.inf, math.inf]
+    low = df.select((-F.col("x")).alias("x"))
+    assert quantiles.column_quantiles(low, ["x"], [0.1])["x"] == [-math.inf]
 
 
 def test_several_columns_and_empty(spark):

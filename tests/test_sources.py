@@ -93,3 +93,15 @@ def test_row_numbers_follow_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["n"] for r in rows] == list(range(3000))
+
+
+def test_line_breaks_inside_quotes_by_default(spark, tmp_path):
+    rows = [(1, "a\nb", "x"), (2, 'say "hi",\n\n"ho"', "y"), (3, "plain", None)]
+    sinks.write_csv(spark.createDataFrame(rows, "id int, t string, u string").repartition(2),
+                    str(tmp_path / "f"))
+    found = text.read_csv(spark, str(tmp_path / "f"), row_number=True)
+    assert dict(found.dtypes)["id"] == "bigint"
+    assert sorted(tuple(r)[:3] for r in found.collect()) == rows
+    plain = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    sinks.write_csv(plain, str(tmp_path / "g"))
+    assert not text.spans_lines(spark, str(tmp_path / "g"))
