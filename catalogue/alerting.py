@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalogue.common import DIRTY_SQL, dirty_orders, query, read, rounded, union_all_sql
 from catalogue.cleaning import _fences
 from gridsight.operators import alerts
+from gridsight.session import shared_folder
 
 
 @query("alert_metrics", f"""
@@ -80,3 +83,23 @@ def breached(spark, sf_dir):
         RULES, "id bigint, metric string, column_name string, operator string, value double, "
                "severity string")
     return rounded(alerts.evaluate(read(spark, sf_dir, "events"), rules), 4, "actual")
+
+
+@query("alert_rules", """
+WITH c AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS id, avg(o_totalprice) AS mean
+           FROM orders GROUP BY o_orderstatus)
+SELECT 'ana' AS owner, id, 'mean' AS metric, 'o_totalprice' AS column_name, '>' AS operator,
+       round(mean / 2, 2) AS value, 'critical' AS severity FROM c WHERE id <> 1
+UNION ALL SELECT 'ben', id, 'max', 'o_totalprice', '<', round(mean, 2), 'warning' FROM c WHERE id = 1""")
+def alert_rules(spark, sf_dir):
+    """Rules with limits from the data: added, replaced, one deleted, one of another owner."""
+    path = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+    means = read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(
+        F.avg("o_totalprice").alias("mean")).orderBy("o_orderstatus").collect()
+    for i, r in enumerate(means, 1):
+        alerts.add_rule(spark, path, "ana", i, "o_totalprice", "<", round(r["mean"], 2))
+        alerts.add_rule(spark, path, "ana", i, "o_totalprice", ">", round(r["mean"] / 2, 2),
+                        severity="critical")
+    alerts.delete_rule(spark, path, "ana", 1)
+    alerts.add_rule(spark, path, "ben", 1, "o_totalprice", "<", round(means[0]["mean"], 2), "max")
+    return alerts.list_rules(spark, path)

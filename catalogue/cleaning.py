@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogue.common import DIRTY_SQL, day_text, dirty_orders, query, read, rounded, union_all_sql
+from catalogue.common import (
+    DIRTY_SQL, ORACLES, day_text, dirty_orders, query, read, rounded, union_all_sql)
+from gridsight.functions import values as V
 from gridsight.operators import clean, profile
+from gridsight.session import shared_folder
+from gridsight.sources import sinks
 
 UNIQUE_SQL = f"{DIRTY_SQL}, u AS (SELECT DISTINCT * FROM dirty_orders)"
 
@@ -170,3 +175,35 @@ SELECT * FROM (
 WHERE affected > 0""")
 def cleaning_log(spark, sf_dir):
     return _cleaned(spark, sf_dir).log.select("action", "column", "affected")
+
+
+@query("clean_stored", ORACLES["clean_pipeline"])
+def clean_stored(spark, sf_dir):
+    """The cleaned table, written and read back."""
+    path = f"{shared_folder(spark)}/cleaned-{uuid.uuid4().hex}"
+    sinks.write_parquet(_cleaned(spark, sf_dir).data, path)
+    return rounded(_dates_as_text(spark.read.parquet(path)), 4, "o_totalprice")
+
+
+@query("clean_without_numbers", f"""
+WITH {UNIQUE_SQL}
+SELECT o_orderkey, o_custkey, coalesce(round(o_totalprice, 4), -1) AS o_totalprice,
+       coalesce(o_orderpriority, {MODE_SQL.format(source="u")}) AS o_orderpriority,
+       strftime({FILLED_DATE_SQL}, '%Y-%m-%d') AS o_orderdate
+FROM u""")
+def clean_without_numbers(spark, sf_dir):
+    """Imputation disabled: missing numbers stay missing (shown as -1)."""
+    df = dirty_orders(spark, sf_dir)
+    found = clean.clean(df, profile.profile_columns(df), "disabled", order_by="o_orderkey").data
+    shown = rounded(_dates_as_text(found), 4, "o_totalprice")
+    return shown.withColumn("o_totalprice", F.coalesce("o_totalprice", F.lit(-1.0)))
+
+
+@query("coerce_numbers", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -1 ELSE o_totalprice END AS price FROM orders""")
+def coerce_numbers(spark, sf_dir):
+    """Text cells as numbers; what is no number becomes missing (shown as -1)."""
+    texts = read(spark, sf_dir, "orders").select("o_orderkey", F.when(
+        F.col("o_orderstatus") == "P", "about 12").otherwise(
+        F.concat(F.lit(" "), F.col("o_totalprice").cast("string"))).alias("price"))
+    return texts.select("o_orderkey", F.coalesce(V.as_number(texts, "price"), F.lit(-1.0)).alias("price"))

@@ -34,9 +34,14 @@ names AS (SELECT column_name AS name, row_number() OVER () AS i
 hits AS (SELECT name, i, kind, rank FROM names JOIN kinds
          ON name = term OR starts_with(name, term || '_') OR ends_with(name, '_' || term)
          QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank) = 1)
-SELECT kind, arg_max(name, i) AS "column" FROM hits GROUP BY kind""")
+SELECT kind, arg_max(name, i) AS "column", max(cells) AS cells
+FROM hits, (SELECT count(*) AS cells FROM sales) GROUP BY kind""")
 def kpi_match(spark, sf_dir):
-    return kpi.kpi_match(sales(spark, sf_dir)).select("kind", "column")
+    """The recognised columns and how many cells each holds."""
+    df = sales(spark, sf_dir)
+    found = kpi.kpi_match(df).select("kind", "column")
+    cells = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "cells")
+    return found.join(cells, "column").select("kind", "column", "cells")
 
 
 def _types(df: DataFrame) -> dict[str, str]:

@@ -182,3 +182,54 @@ def run_load(spark, sf_dir):
     path = _new_path(spark, "runs")
     catalog.append_runs(_runs(spark, sf_dir), path)
     return catalog.load_run(spark, path, "run2").select("run_id", "filename", "content")
+
+
+DOCUMENTS_SQL = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+@query("csv_documents", DOCUMENTS_SQL)
+def csv_documents(spark, sf_dir):
+    """Whole texts, line breaks and quotes included, written and read back."""
+    path = _new_path(spark, "documents-csv")
+    sinks.write_csv(read(spark, sf_dir, "documents"), path)
+    return text.read_csv(spark, path)
+
+
+@query("csv_fallback_encoding", DOCUMENTS_SQL)
+def csv_fallback_encoding(spark, sf_dir):
+    """A file in the fallback encoding."""
+    path = _new_path(spark, "documents-latin1")
+    read(spark, sf_dir, "documents").write.csv(
+        path, header=True, escape='"', encoding=text.FALLBACK_ENCODING,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return text.read_csv(spark, path)
+
+
+@query("csv_headers", """
+SELECT 'key' AS "column", count(n_nationkey) AS cells FROM nation
+UNION ALL SELECT 'Name', count(n_name) FROM nation
+UNION ALL SELECT 'name.1', count(n_name) FROM nation
+UNION ALL SELECT 'Unnamed: 3', count(n_regionkey) FROM nation""")
+def csv_headers(spark, sf_dir):
+    """A repeated and a blank header."""
+    path = _new_path(spark, "nation-headers")
+    nation = read(spark, sf_dir, "nation")
+    lines = nation.select(F.concat_ws(",", "n_nationkey", "n_name", "n_name", "n_regionkey").alias("value"))
+    spark.createDataFrame([("key,Name,name,",)], "value string").unionAll(lines).coalesce(1).write.text(path)
+    cells = text.read_cells(spark, path)
+    return cells.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cells.columns]).unpivot(
+        [], [f"`{c}`" for c in cells.columns], "column", "cells")
+
+
+@query("csv_refusal", """
+SELECT count(*) AS records, 'The dataset contains no records.' AS reason FROM orders WHERE o_totalprice < 0""")
+def csv_refusal(spark, sf_dir):
+    """A file with a header and no record is refused."""
+    path = _new_path(spark, "orders-none")
+    none = read(spark, sf_dir, "orders").where("o_totalprice < 0")
+    sinks.write_csv(none.coalesce(1), path)
+    try:
+        reason, records = "", text.read_csv(spark, path).count()
+    except text.EmptyDataset as refusal:
+        reason, records = str(refusal), none.count()
+    return spark.createDataFrame([(records, reason)], "records long, reason string")

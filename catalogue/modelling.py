@@ -117,66 +117,182 @@ def regression_metrics(spark, sf_dir):
     return rounded(rounded(rounded(found, 6, "r2"), 3, "mae"), 0, "mse")
 
 
-PART_PREDICTORS = ["p_brand", "p_type", "p_size", "p_partkey"]
+# Targets that one column decides exactly, so that SQL knows the answers of a forest with
+# default settings on the rows held out.
+RULE_SQL = f"""ruled AS (
+  SELECT l_quantity, l_linenumber, l_quantity * 100 + 5 AS worth,
+         CASE WHEN l_quantity > 25 THEN 'bulk' ELSE 'single' END AS size,
+         substr(md5('42:' || l_orderkey || '-' || l_linenumber), 1, 4) < '3333' AS is_test,
+         l_orderkey || '-' || l_linenumber AS row_key
+  FROM lineitem)"""
+RULE_PREDICTORS = ["l_quantity", "l_linenumber"]
+
+
+def _ruled(spark, sf_dir):
+    quantity = F.col("l_quantity")
+    return read(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_linenumber", (quantity * 100 + 5).alias("worth"),
+        F.when(quantity > 25, "bulk").otherwise("single").alias("size"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"))
+
+
+@query("rf_classify", f"""
+WITH {RULE_SQL}
+SELECT '0.0' AS label, '0.0' AS guess, count(*) AS n FROM ruled WHERE is_test AND size = 'bulk'
+UNION ALL
+SELECT '1.0', '1.0', count(*) FROM ruled WHERE is_test AND size = 'single'""")
+def rf_classify(spark, sf_dir):
+    """The confusion of a forest on the rows held out."""
+    _, scored = ml.train(_ruled(spark, sf_dir), "size", RULE_PREDICTORS, key="row_key")
+    return ml.confusion_cells(scored)
 
 
-@query("rf_regress")
+@query("rf_regress", f"""
+WITH {RULE_SQL}
+SELECT 1.0 AS r2, 0.0 AS mae, 0.0 AS mse, count(*) AS rows FROM ruled WHERE is_test""")
 def rf_regress(spark, sf_dir):
-    _, scored = ml.train(read(spark, sf_dir, "part"), "p_retailprice", PART_PREDICTORS,
-                         trees=10, depth=8, key="p_partkey")
-    return ml.regression_metrics(scored)
-
-
-@query("rf_classify")
-def rf_classify(spark, sf_dir):
-    _, scored = ml.train(read(spark, sf_dir, "customer"), "c_mktsegment",
-                         ["c_nationkey", "c_acctbal"], trees=10, depth=6, key="c_custkey")
-    return ml.classification_metrics(scored)
+    _, scored = ml.train(_ruled(spark, sf_dir), "worth", RULE_PREDICTORS, key="row_key")
+    found = ml.regression_metrics(scored).withColumn("rows", F.lit(scored.count()))
+    return found.select(*[(F.round(c, 6) + 0.0).alias(c) for c in ("r2", "mae", "mse")], "rows")
 
 
-@query("rf_grid")
+@query("rf_grid", """
+WITH parts AS (
+  SELECT p_size, substr(md5('42:' || p_partkey), 1, 4) < '3333' AS is_test FROM part)
+SELECT 9 AS candidates, true AS deep, 1.0 AS r2, count(*) AS rows FROM parts WHERE is_test""")
 def rf_grid(spark, sf_dir):
-    trained, scored = ml.train(
-        read(spark, sf_dir, "part"), "p_retailprice", PART_PREDICTORS, tune=True,
-        key="p_partkey", tree_grid=(3, 6), depth_grid=(3, 6))
+    """The whole grid; a depth of 5 has too few leaves for the sizes, so a deeper one wins."""
+    parts = read(spark, sf_dir, "part").select(
+        "p_partkey", "p_size", (F.col("p_size") * 10.0).alias("worth"))
+    trained, scored = ml.train(parts, "worth", ["p_size"], tune=True, key="p_partkey", parallelism=4)
     best = trained.params
     return ml.regression_metrics(scored).select(
-        F.lit(int(best["trees"])).alias("trees"), F.lit(int(best["depth"])).alias("depth"), "r2")
+        F.lit(len(best["scores"])).alias("candidates"), F.lit(best["depth"] > 5).alias("deep"),
+        F.round("r2", 2).alias("r2"), F.lit(scored.count()).alias("rows"))
 
 
-@query("importances")
+@query("importances", """
+SELECT 1 AS rank, 'l_quantity' AS feature, true AS leads, count(*) AS rows FROM lineitem""")
 def importances(spark, sf_dir):
-    trained, _ = ml.train(read(spark, sf_dir, "part"), "p_retailprice", PART_PREDICTORS,
-                          trees=10, depth=8, key="p_partkey")
-    return ml.importances(trained, spark)
-
-
-@query("kmeans")
+    """The column that decides the target is the top driver."""
+    ruled = _ruled(spark, sf_dir)
+    trained, _ = ml.train(ruled, "worth", RULE_PREDICTORS, trees=10, key="row_key")
+    return ml.top_drivers(ml.importances(trained, spark), 1).select(
+        "rank", "feature", (F.col("importance") > 0.9).alias("leads"), F.lit(ruled.count()).alias("rows"))
+
+
+# Three groups of lines, far apart.
+PARTED_SQL = """parted AS (
+  SELECT l_returnflag, l_quantity + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 10000 ELSE 30000 END
+         AS place, l_linenumber FROM lineitem)"""
+
+
+def _parted(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    shift = F.when(flag == "A", 0).when(flag == "N", 10_000).otherwise(30_000)
+    return read(spark, sf_dir, "lineitem").select(
+        (F.col("l_quantity") + shift).alias("place"), "l_linenumber",
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"))
+
+
+@query("kmeans", f"""
+WITH {PARTED_SQL}, each AS (
+  SELECT count(*) AS rows, count(*) * (var_pop(place) + var_pop(l_linenumber)) AS inner_spread
+  FROM parted GROUP BY l_returnflag)
+SELECT row_number() OVER (ORDER BY rows) AS nth, rows,
+       round((SELECT sum(inner_spread) FROM each) / (SELECT sum(rows) FROM each), 4) AS inertia_per_row
+FROM each""")
 def kmeans(spark, sf_dir):
-    _, placed = ml.train_clusters(read(spark, sf_dir, "customer"), ["c_acctbal", "c_mktsegment"],
-                                  k=3, key="c_custkey")
-    return placed.groupBy("cluster").agg(F.count("*").alias("rows"))
+    from pyspark.sql import Window
 
+    trained, placed = ml.train_clusters(_parted(spark, sf_dir), ["place", "l_linenumber"], key="row_key")
+    total = placed.count()
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("rows"))
+    return sizes.select(F.row_number().over(Window.orderBy("rows")).alias("nth"), "rows", F.round(
+        F.lit(trained.params["inertia"] / total), 4).alias("inertia_per_row"))
 
-@query("pca_2d")
+
+@query("pca_2d", """
+WITH m AS (
+  SELECT var_samp(l_quantity) AS a, var_samp(l_linenumber) AS b,
+         covar_samp(l_quantity, l_linenumber) AS c, count(*) AS rows FROM lineitem)
+SELECT round((a + b) / 2 + sqrt((a - b) ^ 2 / 4 + c * c), 4) AS spread_x,
+       round((a + b) / 2 - sqrt((a - b) ^ 2 / 4 + c * c), 4) AS spread_y, 0.0 AS together, rows FROM m""")
 def pca_2d(spark, sf_dir):
-    _, placed = ml.train_clusters(read(spark, sf_dir, "customer"), ["c_acctbal", "c_mktsegment"],
-                                  k=3, key="c_custkey")
-    return ml.plot_sample(placed, "c_custkey")
+    """Spread along the two components, by the closed form for two columns."""
+    _, placed = ml.train_clusters(read(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber"),
+                                  ["l_quantity", "l_linenumber"])
+    return placed.agg(F.var_samp("x").alias("x"), F.var_samp("y").alias("y"),
+                      F.covar_samp("x", "y").alias("xy"), F.count("*").alias("rows")).select(
+        F.round("x", 4).alias("spread_x"), F.round("y", 4).alias("spread_y"),
+        F.abs(F.round("xy", 4)).alias("together"), "rows")
 
 
-@query("actual_vs_predicted")
+@query("actual_vs_predicted", """
+SELECT least(150, (SELECT count(*) FROM lineitem)) AS points, true AS on_the_line""")
 def actual_vs_predicted(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    trained, _ = ml.train(part, "p_retailprice", PART_PREDICTORS, trees=10, depth=8,
-                          key="p_partkey")
-    return ml.plot_sample(ml.score(trained, part), "p_partkey").select(
-        "p_partkey", F.col("p_retailprice").alias("actual"), F.col("prediction").alias("predicted"))
+    """The plot's points lie on the diagonal."""
+    ruled = _ruled(spark, sf_dir)
+    trained, _ = ml.train(ruled, "worth", RULE_PREDICTORS, trees=10, key="row_key")
+    return ml.plot_sample(ml.score(trained, ruled), "row_key").agg(
+        F.count("*").alias("points"),
+        F.bool_and(F.abs(F.col("worth") - F.col("prediction")) < 1e-6).alias("on_the_line"))
+
+
+@query("score_batch", f"""
+WITH {RULE_SQL}
+SELECT CASE WHEN l_linenumber = 4 THEN NULL ELSE size END AS predicted, count(*) AS n
+FROM ruled GROUP BY ALL""")
+def score_batch(spark, sf_dir):
+    """Rows with a missing number stay without an answer."""
+    ruled = _ruled(spark, sf_dir)
+    trained, _ = ml.train(ruled, "size", RULE_PREDICTORS, trees=10, key="row_key")
+    gaps = ruled.withColumn("l_quantity", F.when(F.col("l_linenumber") != 4, F.col("l_quantity")))
+    return ml.score(trained, gaps).groupBy("predicted").agg(F.count("*").alias("n"))
+
+
+@query("complete_rows", """
+SELECT count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM (
+  SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price,
+         nullif(o_orderpriority, '1-URGENT') AS priority FROM orders)
+WHERE price IS NOT NULL AND priority IS NOT NULL""")
+def complete_rows(spark, sf_dir):
+    gaps = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"),
+        F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("priority"))
+    return ml.complete_rows(gaps, ["price", "priority", "o_orderkey"]).agg(
+        F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
+TASK_COLUMNS = ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
+
+
+@query("task_choice", """
+SELECT 'o_orderkey' AS target, CASE WHEN count(DISTINCT o_orderkey) < 5 THEN 'classification'
+       ELSE 'regression' END AS task FROM orders
+UNION ALL SELECT 'o_orderstatus', 'classification'
+UNION ALL SELECT 'o_totalprice', CASE WHEN count(DISTINCT o_totalprice) < 5 THEN 'classification'
+       ELSE 'regression' END FROM orders
+UNION ALL SELECT 'o_orderpriority', 'classification' UNION ALL SELECT 'o_orderdate', 'refused'""")
+def task_choice(spark, sf_dir):
+    """What each column of orders would be as a target."""
+    orders = read(spark, sf_dir, "orders")
 
+    def task(column: str) -> str:
+        try:
+            ml.refuse_date_target(orders, column)
+        except ValueError:
+            return "refused"
+        return "classification" if ml.is_classification(orders, column) else "regression"
 
-@query("score_batch")
-def score_batch(spark, sf_dir):
-    customers = read(spark, sf_dir, "customer")
-    trained, _ = ml.train(customers, "c_mktsegment", ["c_nationkey", "c_acctbal"], trees=10,
-                          depth=6, key="c_custkey")
-    return ml.score(trained, customers).select("c_custkey", "predicted", "confidence")
+    return spark.createDataFrame([(c, task(c)) for c in TASK_COLUMNS], "target string, task string")
+
+
+@query("predictor_categories", """
+SELECT 'o_orderpriority' AS feature, o_orderpriority AS category,
+       (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::DOUBLE AS code
+FROM (SELECT DISTINCT o_orderpriority FROM orders)
+UNION ALL SELECT 'o_orderstatus', o_orderstatus, (dense_rank() OVER (ORDER BY o_orderstatus) - 1)::DOUBLE
+FROM (SELECT DISTINCT o_orderstatus FROM orders)""")
+def predictor_categories(spark, sf_dir):
+    return ml.predictor_categories(read(spark, sf_dir, "orders"), ORDER_PREDICTORS)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Standardised CSV: comma, header, UTF-8, doubled quotes."""
-    df.write.mode(mode).csv(path, header=True, escape='"', encoding="UTF-8")
+    """Standardised CSV: comma, header, UTF-8, doubled quotes, white space kept."""
+    df.write.mode(mode).csv(path, header=True, escape='"', encoding="UTF-8",
+                            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
