@@ -23,8 +23,6 @@ COMPARED_COLUMNS = 3
 # Least |r| of a reported pair, and of a strong one.
 MODERATE_R = 0.4
 STRONG_R = 0.7
-# Column pairs per aggregate, to keep one generated method small.
-PAIRS_PER_PASS = 60
 
 MOMENT_FIELDS = ("mean", "min", "max", "range", "std", "var", "skewness", "kurtosis")
 DESCRIBE_SCHEMA = T.StructType(
@@ -153,49 +151,76 @@ def category_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --- relations ------------------------------------------------------------------------------
 
-def _pair_facts(df: DataFrame, columns: Sequence[str]) -> tuple[set[str], set[str]]:
-    """(columns without missing numbers, columns that vary), from one aggregate."""
-    row = df.agg(F.count("*").alias("rows"), *[
+def _pair_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """{column: mean} of the columns whose numbers vary, from one aggregate."""
+    row = df.agg(F.lit(1).alias("one"), *[
         a for i, c in enumerate(columns) for a in (
-            F.count(V.as_number(df, c)).alias(f"n{i}"),
+            F.avg(V.as_number(df, c)).alias(f"m{i}"),
             (F.coalesce(F.max(V.as_number(df, c)) > F.min(V.as_number(df, c)), F.lit(False)))
             .alias(f"v{i}"))]).first()
-    return ({c for i, c in enumerate(columns) if row[f"n{i}"] == row["rows"]},
-            {c for i, c in enumerate(columns) if row[f"v{i}"]})
+    return {c: row[f"m{i}"] for i, c in enumerate(columns) if row[f"v{i}"]}
+
+
+def _pair_sums(df: DataFrame, means: dict[str, float]) -> DataFrame:
+    """(p1, p2, n, sx, sy, sxx, syy, sxy) of every pair of columns, where both have a number.
+
+    One scan whatever the number of columns: each task adds up products of its value and
+    presence matrices, batch by batch, and gives one row per pair. Values are taken from
+    their means, so sums of squares keep their digits.
+    """
+    wide = df.select(*[(V.as_number(df, c) - F.lit(m)).alias(f"x{i}")
+                       for i, (c, m) in enumerate(means.items())])
+    k = len(means)
+    fields = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    schema = "p1 int, p2 int, " + ", ".join(f"{f} double" for f in fields)
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n, first, square, product = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            n += there.T @ there
+            first += x.T @ there
+            square += (x * x).T @ there
+            product += x.T @ x
+        i, j = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, (
+                n[i, j], first[i, j], first[j, i], square[i, j], square[j, i], product[i, j]))],
+            ["p1", "p2", *fields])
+
+    return wide.mapInArrow(add, schema).groupBy("p1", "p2").agg(*[F.sum(f).alias(f) for f in fields])
 
 
 def pair_correlations(df: DataFrame, columns: Sequence[str], facts=None) -> DataFrame:
     """(p1, p2, col1, col2, r) for every pair of columns, pairwise complete.
 
     A constant column has no correlation: r is null instead of a division error.
-    Columns without gaps share one spread; only gaps cost extra per pair.
     """
     spark = df.sparkSession
     schema = "p1 int, p2 int, col1 string, col2 string, r double"
     pairs = list(combinations(enumerate(columns), 2))
     if not pairs:
         return spark.createDataFrame([], schema)
-    complete, varied = facts or _pair_facts(df, columns)
-    numbers = {c: V.as_number(df, c) for c in columns}
-
-    def spread(x: str, y: str):
-        if y in complete:
-            return F.stddev_pop(numbers[x])
-        return F.stddev_pop(F.when(numbers[y].isNotNull(), numbers[x]))
-
-    constant = [(i, j, a, b, None) for (i, a), (j, b) in pairs if not {a, b} <= varied]
+    means = _pair_facts(df, columns) if facts is None else facts
+    constant = [(i, j, a, b, None) for (i, a), (j, b) in pairs if a not in means or b not in means]
     frames = [spark.createDataFrame(constant, schema)] if constant else []
-    live = [p for p in pairs if {p[0][1], p[1][1]} <= varied]
-    for start in range(0, len(live), PAIRS_PER_PASS):
-        part = live[start:start + PAIRS_PER_PASS]
-        aggs = [
-            F.try_divide(F.covar_pop(numbers[a], numbers[b]), spread(a, b) * spread(b, a))
-            .alias(f"r{n}") for n, ((_, a), (_, b)) in enumerate(part)]
-        cells = F.array(*[
-            F.struct(F.lit(i).alias("p1"), F.lit(j).alias("p2"), F.lit(a).alias("col1"),
-                     F.lit(b).alias("col2"), F.col(f"r{n}").alias("r"))
-            for n, ((i, a), (j, b)) in enumerate(part)])
-        frames.append(df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*"))
+    if len(means) > 1:
+        place = {c: i for i, c in enumerate(columns)}
+        at = F.array(*[F.lit(place[c]) for c in means])
+        name = F.array(*[F.lit(c) for c in means])
+        n = F.col("n")
+        both = F.col("sxy") - F.col("sx") * F.col("sy") / n
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.col("sxx") - F.col("sx") * F.col("sx") / n)
+                        * F.greatest(F.lit(0.0), F.col("syy") - F.col("sy") * F.col("sy") / n))
+        r = F.when(n > 0, F.try_divide(both, spread))
+        frames.append(_pair_sums(df, means).select(
+            at[F.col("p1")].alias("p1"), at[F.col("p2")].alias("p2"),
+            name[F.col("p1")].alias("col1"), name[F.col("p2")].alias("col2"), r.alias("r")))
     return frequency.union_all(frames)
 
 
@@ -208,7 +233,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(F.col("p2").alias("p1"), F.col("p1").alias("p2"), F.col("col2").alias("col1"),
                  F.col("col1").alias("col2"), "r"))).alias("c")).select("c.*")
     own = df.sparkSession.createDataFrame(
-        [(i, i, c, c, 1.0 if c in facts[1] else 0.0) for i, c in enumerate(columns)],
+        [(i, i, c, c, 1.0 if c in facts else 0.0) for i, c in enumerate(columns)],
         "p1 int, p2 int, col1 string, col2 string, r double")
     return both.unionByName(own).withColumn("r", F.coalesce("r", F.lit(0.0)))
 

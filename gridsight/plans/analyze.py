@@ -155,10 +155,16 @@ def chart_data(run: Analysis, top: int = charts.TOP_INTERACTIVE) -> ChartData:
 
 
 def save_run(run: Analysis, path: str, filename: str, owner: str | None = None) -> str:
-    """Append the small result tables of a run to the catalog; returns the run id."""
+    """Append the small result and chart tables of a run to the catalog; returns the run id."""
     tables = {"kpis": run.kpis, "insights": run.insights, "outliers": run.outliers,
               "profile": run.profile, "cleaning_log": run.log, "describe": run.describe,
-              "extremes": run.extremes, "strong_pairs": run.strong, "groups": run.groups}
+              "extremes": run.extremes, "strong_pairs": run.strong, "groups": run.groups,
+              "distribution": run.distribution, "correlations": run.pairs,
+              "crosstab": run.crosstab}
+    if run.trends is not None:
+        tables |= {"periods": run.trends.periods, "growth": run.trends.growth,
+                   "peaks": run.trends.peaks}
+    tables |= {f"chart_{name}": table for name, table in chart_data(run)._asdict().items()}
     content = {name: [r.asDict(recursive=True) for r in table.collect()]
                for name, table in tables.items() if table is not None}
     records = content["profile"][0]["row_count"] if content["profile"] else 0
