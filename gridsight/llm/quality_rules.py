@@ -44,7 +44,7 @@ RULES = (
     Rule("letters", "letter_word_ratio", low=0.6),
     Rule("capitals", "capital_ratio", high=0.6),
     Rule("stop_words", "stop_word_ratio", low=0.02),
-    Rule("repeated_lines", "dup_line_ratio", high=0.3),
+    Rule("repeated_lines", "dup_line_ratio", high=0.5),
     Rule("repeated_words", "repeat_word_ratio", high=0.3),
 )
 
@@ -121,7 +121,56 @@ def failures(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*broken))
 
 
-@query("op8_quality_rules")
+def _broken_sql(rule: Rule) -> str:
+    bounds = [f"{rule.measure} < {rule.low}"] if rule.low is not None else []
+    bounds += [f"{rule.measure} > {rule.high}"] if rule.high is not None else []
+    return f"CASE WHEN {' OR '.join(bounds)} THEN '{rule.name}' END"
+
+
+_IN_STOP_WORDS = "lower(x) IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+ORACLE = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+                lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, words[i:i + {WINDOW - 1}] AS words
+  FROM split, unnest(range(1, len(words) - {WINDOW - 2})) u(i) WHERE len(words) >= {WINDOW}),
+twice AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range({WINDOW}) r(k) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
+    len(regexp_extract_all(text, '{SYMBOLS}')) AS n_symbols, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len(list_filter(words, lambda x: {_IN_STOP_WORDS})) AS stops,
+    len(list_filter(words, lambda x: lower(x) <> upper(x))) AS letters,
+    len(list_filter(words, lambda x: upper(x) = x AND lower(x) <> x AND len(x) > 1)) AS capitals
+  FROM split LEFT JOIN covered USING (doc_id)),
+measured AS (
+  SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_length,
+    coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_ratio,
+    coalesce(letters / nullif(n_words, 0), 0) AS letter_word_ratio,
+    coalesce(capitals / nullif(n_words, 0), 0) AS capital_ratio,
+    coalesce(stops / nullif(n_words, 0), 0) AS stop_word_ratio,
+    coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_word_ratio,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM counted),
+judged AS (
+  SELECT *, list_filter([{', '.join(map(_broken_sql, RULES))}], lambda x: x IS NOT NULL) AS broken
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND len(broken) = 0 AS kept, array_to_string(broken, ',') AS failed_rules
+FROM judged
+"""
+
+
+@query("op8_quality_rules", ORACLE)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict for every document."""
     found = measures(read(spark, sf_dir, "documents"))
