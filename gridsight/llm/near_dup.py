@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridsight.llm.registry import query, read
+from gridsight.llm.registry import fresh, query, read
 from gridsight.session import stage
 
 REGISTERS = 192
@@ -271,39 +271,102 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .where(100 * F.col("_both") >= percent * either).select("_a", "_b"))
 
 
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components of a bucket, block by block, that pass the estimate.
+def _open_rows(members: DataFrame, percent: int) -> DataFrame:
+    """(bucket, i, j, block, class, component): classes to compare exactly, by block pair.
 
-    `members`: (bucket, class, component, registers, blocks of its bucket). A class goes to the
-    pairs of its block with every block of the bucket; a pair is made where its blocks meet.
+    `members`: (bucket, class, component, registers, bands, blocks of its bucket). A class goes
+    to the pairs of its block with every block of the bucket. It stays there if some class of
+    the other block is in another component, shares no earlier band with it (else an earlier
+    bucket holds the pair) and passes the estimate.
     """
     mine = F.pmod(F.xxhash64("_class"), F.col("_blocks"))
     spread = (
         members.withColumn("_mine", mine)
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
         .select("_bucket", F.least("_mine", "_other").alias("_i"),
-                F.greatest("_mine", "_other").alias("_j"), "_mine", "_class", "_component", "_registers"))
-    schema = T.StructType([T.StructField("_a", T.BinaryType()), T.StructField("_b", T.BinaryType())])
+                F.greatest("_mine", "_other").alias("_j"), "_mine", "_class", "_component",
+                "_registers", "_bands"))
+    kept = ["_bucket", "_i", "_j", "_mine", "_class", "_component"]
+    schema = T.StructType([spread.schema[c] for c in kept])
 
-    def compare(table: pa.Table) -> pa.Table:
-        block = np.array(table["_mine"].to_pylist())
+    def look(table: pa.Table) -> pa.Table:
+        block = table["_mine"].to_numpy()
         i, j = table["_i"][0].as_py(), table["_j"][0].as_py()
-        classes = table["_class"].to_pylist()
-        _, component = np.unique(np.array(table["_component"].to_pylist(), dtype=object),
-                                 return_inverse=True)
+        bucket = table["_bucket"][0].as_py()
+        component = pc.dictionary_encode(table["_component"].combine_chunks()).indices.to_numpy()
         regs = np.frombuffer(b"".join(table["_registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        keys = np.array(table["_bands"].to_pylist(), np.int64)
         filled = regs != EMPTY
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
+        stays = np.zeros(len(regs), bool)
         for x in left.tolist():
             others = right[(component[right] != component[x]) & ((right > x) | (i != j))]
+            first = np.argmax(keys[others] == keys[x], axis=1)
+            others = others[keys[x][first] == bucket]
             equal = ((regs[others] == regs[x]) & filled[x]).sum(axis=1)
             either = (filled[others] | filled[x]).sum(axis=1)
-            for y in others[similar(equal, either, percent)].tolist():
+            near = others[similar(equal, either, percent)]
+            stays[near] = True
+            stays[x] |= len(near) > 0
+        return table.select(kept).filter(pa.array(stays))
+
+    return spread.groupBy("_bucket", "_i", "_j").applyInArrow(look, schema)
+
+
+def _shared(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray,
+            n: int, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the `left` with the `right` of n sets, by products of
+    their membership matrices, some columns at a time."""
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    common = count > 1
+    column, owner = (np.cumsum(common) - 1)[column[common[column]]], owner[common[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(left), len(right)))
+    for at in range(0, int(common.sum()), columns):
+        part = slice(*np.searchsorted(column, [at, at + columns]))
+        held = np.zeros((n, columns), np.float32)
+        held[owner[part], column[part] - at] = 1
+        both += held[left] @ held[right].T
+    return both
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) across components, block pair by block pair; of the links that
+    join the same components of a block pair one is enough."""
+    full = rows.join(sets, "_class")
+    schema = T.StructType([T.StructField("_a", T.BinaryType()), T.StructField("_b", T.BinaryType())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        block = table["_mine"].to_numpy()
+        left = np.flatnonzero(block == table["_i"][0].as_py())
+        right = np.flatnonzero(block == table["_j"][0].as_py())
+        classes = table["_class"].to_pylist()
+        component = pc.dictionary_encode(table["_component"].combine_chunks()).indices.to_numpy()
+        held = table["_set"].combine_chunks()
+        sizes = pc.list_value_length(held).to_numpy()
+        both = _shared(held.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), left, right,
+                       len(sizes))
+        either = sizes[left][:, None] + sizes[right][None, :] - both
+        linked = (100 * both >= percent * either) & (component[left][:, None] != component[right][None, :])
+        leader = {}
+
+        def top(x: int) -> int:
+            while leader.get(x, x) != x:
+                leader[x] = leader.get(leader[x], leader[x])
+                x = leader[x]
+            return x
+
+        a, b = [], []
+        for x, y in zip(*(side.tolist() for side in np.nonzero(linked))):
+            x, y = left[x], right[y]
+            up, down = top(int(component[x])), top(int(component[y]))
+            if up != down:
+                leader[up] = down
                 a.append(max(classes[x], classes[y])), b.append(min(classes[x], classes[y]))
         return pa.table({"_a": pa.array(a, pa.binary()), "_b": pa.array(b, pa.binary())})
 
-    return spread.groupBy("_bucket", "_i", "_j").applyInArrow(compare, schema)
+    return full.groupBy("_bucket", "_i", "_j").applyInArrow(compare, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,8 +412,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     crowd = shared.select("_class").distinct()
     known = stage(
         filled.join(crowd, "_class", "left_semi")
-        .groupBy("_class").agg(F.min("_id").alias("_wanted_id"), F.first("_registers").alias("_registers")),
-        "classes")
+        .groupBy("_class").agg(F.min("_id").alias("_wanted_id"), F.first("_registers").alias("_registers"),
+                               F.first("_bands").alias("_bands")), "classes")
     sets = stage(class_sets(docs, id_col, text_col, words, known.select("_wanted_id", "_class"))
                  .dropDuplicates(["_class"]), "sets")
 
@@ -375,8 +438,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         "_bucket", F.ceil(F.col("_size") / BLOCK).alias("_blocks"))
     rest = (
         labelled.join(open_buckets, "_bucket")
-        .join(known.select("_class", "_registers"), "_class"))
-    more = stage(_confirmed(_block_pairs(rest, percent).distinct(), sets, percent), "confirmed")
+        .join(known.select("_class", "_registers", "_bands"), "_class"))
+    more = stage(_block_links(_open_rows(rest, percent), sets, percent), "confirmed")
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -401,8 +464,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     dropped = near_duplicates(docs, words, percent, id_col, text_col).where(
         ~F.col("kept") & F.col(id_col).isNotNull())
-    gone = dropped.select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs.columns, "_gone")
+    gone = dropped.select(F.col(id_col).alias(name)).distinct()
+    left = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionAll(
         left.where(F.col(id_col).isNull()))
 
