@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogue.common import query, read, union_all_sql
+from catalogue.common import DIRTY_SQL, dirty_orders, query, read, union_all_sql
 from gridsight.operators import profile
+from gridsight.plans import analyze
 from gridsight.session import shared_folder
 from gridsight.sources import catalog, sinks, text
 
@@ -173,6 +175,36 @@ def run_catalog(spark, sf_dir):
     return catalog.recent_runs(spark, path, "ana")
 
 
+@query("run_catalog_all", f"""
+SELECT run_id, filename, timestamp, record_count FROM {RUNS_SQL} ORDER BY timestamp DESC LIMIT 10""")
+def run_catalog_all(spark, sf_dir):
+    """Without an owner: the ten newest runs of all."""
+    path = _new_path(spark, "runs")
+    catalog.append_runs(_runs(spark, sf_dir), path)
+    return catalog.recent_runs(spark, path)
+
+
+@query("saved_run", f"""
+WITH {DIRTY_SQL}, u AS (SELECT DISTINCT * FROM dirty_orders)
+SELECT 'profile' AS saved, 5 AS rows, (SELECT count(*) FROM u) AS records
+UNION ALL SELECT 'raw copies', (SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM u),
+       (SELECT count(*) FROM u)
+UNION ALL SELECT 'describe', 1, (SELECT count(*) FROM u)
+UNION ALL SELECT 'crosstab', 0, (SELECT count(*) FROM u)""")
+def saved_run(spark, sf_dir):
+    """A whole run on a table with gaps and copies, saved and loaded again."""
+    path = _new_path(spark, "runs")
+    df = dirty_orders(spark, sf_dir)
+    run = analyze.analyze(df, order_by="o_orderkey")
+    run_id = analyze.save_run(run, path, "orders.parquet", owner="ana")
+    record = catalog.load_run(spark, path, run_id).first()
+    content = json.loads(record["content"])
+    removed = next(r["affected"] for r in content["cleaning_log"] if r["action"] == "drop_duplicates")
+    return spark.createDataFrame(
+        [(t, len(content.get(t, [])), record["record_count"]) for t in ("profile", "describe", "crosstab")]
+        + [("raw copies", removed, record["record_count"])], "saved string, rows int, records long")
+
+
 @query("run_load", """
 SELECT 'run2' AS run_id, 'lineitem.parquet' AS filename,
        '{"num_records":' || count(*) || ',"num_features":11,"total_missing":0,"duplicate_count":'
