@@ -47,7 +47,7 @@ MISS = 1e-6
 SIGMAS = 5.0
 BLOCK = 256
 #: Bytes of text hashed at once, of an Arrow batch; a longer text goes alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 WORDS = 5
 PERCENT = 80
 EMPTY = np.uint16(0xFFFF)

@@ -41,7 +41,7 @@ END_ID = 2
 #: Pieces numbered in one window, apart from rows with one id.
 GROUP_ROWS = 2_000
 #: Texts tokenized at once, of an Arrow batch.
-TEXTS = 500
+TEXTS = 200
 
 
 def default_tokenizer() -> str:

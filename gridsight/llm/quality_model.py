@@ -38,7 +38,7 @@ BUCKETS = 1 << 17
 #: Labelled rows to fit on, a documented bound.
 MAX_ROWS = 12_000
 #: Bytes of text whose indicators are made at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 RUN = 8
 COST = 1.0
 EPOCHS = 12

@@ -12,6 +12,7 @@ the tokenizer as they are. Either way gives the same ids.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -21,9 +22,9 @@ from itertools import chain
 import numpy as np
 
 #: Code points worked on at once; longer texts are cut where no pre-token can cross.
-CHUNK = 1_000_000
+CHUNK = 400_000
 #: Pre-tokens kept by a worker before it starts anew.
-CACHE = 2_000_000
+CACHE = 1_000_000
 KNOWN = 0x530
 LETTER, NUMBER, SYMBOL, WHITE, ODD = range(5)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -56,10 +57,9 @@ class Encoder:
     """Ids of whole texts by the tokenizer file `path`, special tokens not added."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
         import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -77,6 +77,13 @@ class Encoder:
         self.up, self.down = _powers(_BASE, CHUNK + 1), _powers(inverse, CHUNK + 1)
         self._forget()
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when the first odd text comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.keys = np.empty(0, np.uint64)      # sorted
         self.starts = np.empty(0, np.int64)
