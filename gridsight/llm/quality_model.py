@@ -13,10 +13,10 @@ only the sample's indicator sets come to the driver. All documents are then scor
 pass, without a shuffle. Labels, language, source and id are no inputs of a score.
 
 Defined results: a null text counts as empty; an empty text has no indicator and gets the
-score of a margin equal to the bias; rows without a label are not learned from, rows
-without an id neither, nor are they held out; of several labels of one id the lowest counts; repeated rows get the same score; without labels
-of both classes every score is the share of label 1 (0.5 without any label); an empty table
-gives no rows.
+score of a margin equal to the bias; rows without a label are not learned from, rows without
+an id neither, nor are they held out; of several labels of one id the lowest counts; repeated
+rows get the same score; without labels of both classes every score is the share of label 1
+(0.5 without any label); an empty table gives no rows.
 """
 
 from __future__ import annotations
