@@ -40,7 +40,8 @@ QUERY_BLOCK = 1024
 #: Pivots, a bounded sample of the points; they steer speed only.
 MAX_PIVOTS = 512
 LEAF = 32
-#: Points multiplied out at once for a query leaf.
+#: Points multiplied out at once for a query leaf: few at first, for a k-th score to prune by.
+FIRST_BATCH = 128
 BATCH = 4096
 
 NODE = np.dtype([("centre", "<i4"), ("radius", "<f8"), ("child", "<i4"), ("child_end", "<i4"),
@@ -153,17 +154,17 @@ def walk(queries: Tree, data: Tree, best: Best) -> None:
         first = np.argsort(-bound, kind="stable")
         leaves, bound = leaves[first], bound[first]
         sizes = np.cumsum(d_nodes["point_end"][leaves] - d_nodes["point"][leaves])
-        at = 0
+        at, batch = 0, FIRST_BATCH
         while at < len(leaves):
             if bound[at] < best.worst(lo, hi).min():  # the highest bound left
                 break
             done = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, done + BATCH)))
+            to = max(at + 1, int(np.searchsorted(sizes, done + batch)))
             part = leaves[at:to]
             rows = np.concatenate([np.arange(a, b) for a, b in zip(
                 d_nodes["point"][part].tolist(), d_nodes["point_end"][part].tolist())])
             best.offer(lo, queries.points[lo:hi] @ data.points[rows].T, data.ids[rows], rows)
-            at = to
+            at, batch = to, min(BATCH, 4 * batch)
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
