@@ -52,9 +52,19 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]+", least=32),
 )
+# A private key: from its BEGIN marker to its END marker, or, where another marker or the end of
+# the text comes first, over the lines that look like a key (header fields, long runs of base64,
+# a short last line). Possessive, so that a text is read once between two markers.
+_BREAK = r"""(?:\\[rnt]|[\s"'`>#*|,;\\-]|\+(?=\s))*+"""
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:"
+    r"(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_BREAK}[A-Za-z][A-Za-z-]*:\x20[^\r\n\\]*+)*+(?:{_BREAK}[A-Za-z0-9+/]{{20,}}+={{0,2}})++"
+    rf"(?:{_BREAK}(?:=[A-Za-z0-9+/]{{4}}|[A-Za-z0-9+/]+=*(?=[\s\"'\\]|\Z)))?"
+    rf"|{_BREAK}[A-Za-z0-9+/]+=*\Z)?")
 #: Published key formats.
 ADDED_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", least=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=24),
     Rule("google", r"AIza[A-Za-z0-9_-]+", least=39),

@@ -92,3 +92,37 @@ def test_redaction(spark):
     assert rows == {1: 'é [assign]" 中 [access]!', 2: "clean", 3: None, 4: "", 5: "[hex]"}
     awkward = ss.redact(corpus_cases.rows(spark))
     assert awkward.columns == corpus_cases.rows(spark).columns and awkward.count() == 12
+
+
+def test_private_keys_are_cut_out_whole(spark):
+    body = "\n".join(["MIIEowIBAAKCAQEA" + c * 48 for c in "abcd"] + ["Xw=="])
+    mark = "-----{} RSA PRIVATE KEY-----"
+    begin, end = mark.format("BEGIN"), mark.format("END")
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n{body}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    quoted = "".join(f'"{line}\\n" +\n' for line in body.split("\n"))
+    texts = {
+        f"a\n{begin}\n{body}\n{end}\nb": "a\n[private_key]\nb",
+        f"a\r\n{begin}\n{fields}{body}\n{end}\nb": "a\r\n[private_key]\nb",
+        f"a {pgp} b": "a [private_key] b",
+        f'{{"key": "{begin}\\n{body}\\n{end}\\n"}}': '{"key": "[private_key]\\n"}',
+        # Without an END marker the key-like lines go; the text after them stays.
+        f"a\n{begin}\n{body}\n\nThis text stays.": "a\n[private_key]\n\nThis text stays.",
+        f"a\n{begin}\n{fields}{body}": "a\n[private_key]",
+        f"{begin}\n> {body[:40]}\n> {body[:30]}": "[private_key]",
+        f"{begin}\nMIIE": "[private_key]",
+        f'k = "{begin}\\n" +\n{quoted}"x y"': 'k = "[private_key]\\n" +\n"x y"',
+        f"{begin}\n{body}\n\nb\n{begin}\n{body}\n{end}": "[private_key]\n\nb\n[private_key]",
+        f"{begin} opens such a file.\nNote: it is text": "[private_key] opens such a file.\nNote: it is text",
+        "-----BEGIN PUBLIC KEY-----\nx\n-----END PUBLIC KEY-----":
+            "-----BEGIN PUBLIC KEY-----\nx\n-----END PUBLIC KEY-----",
+    }
+    docs = corpus_cases.plain(spark, list(enumerate(texts)))
+    rows = {r.doc_id: r.text for r in ss.redact(docs).collect()}
+    assert rows == dict(enumerate(texts.values()))
+
+
+def test_many_markers_are_read_once():
+    [rule] = [r for r in ss.ADDED_RULES if r.kind == "private_key"]
+    text = ("-----BEGIN PRIVATE KEY-----\n" + "word " * 20) * 20_000 + "-" * 100_000
+    assert len(ss.compiled(rule).findall(text)) == 20_000
