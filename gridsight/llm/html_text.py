@@ -48,19 +48,21 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav "
     "ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead "
-    "tr ul button iframe canvas video audio object".split())
+    "tr ul button iframe canvas video audio object noscript".split())
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style template noscript title head svg math iframe object".split())
+SILENT_TAGS = frozenset("script style template title head svg iframe".split())
+#: Elements that leave an open head open; any other element, or text, ends it.
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes noscript script style "
+                      "template title".split())
 RAW_TAGS = frozenset("script style title textarea iframe noembed noframes xmp".split())
 #: Start tags that end an open element of the second set, up to one of the third.
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
-    "body": ({"head"}, {"html"})}
+    "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_PARAGRAPH = BLOCK_TAGS - {"body", "html", "button", "option", "optgroup", "iframe", "canvas",
-                               "video", "audio", "object"}
+                               "video", "audio", "object", "noscript"}
 PARAGRAPH_SCOPE = frozenset("article aside blockquote body div footer form header html li main nav "
                             "section table td th ul ol".split())
 FORMATTING = frozenset("a abbr b big cite code em font i mark q s small span strong sub sup tt u".split())
@@ -173,8 +175,16 @@ def blocks(page: str) -> list[Block]:
                 break
         return -1
 
+    def end_head() -> None:
+        i = last({"head"}, {"template"})
+        while i >= 0:
+            close_to(i)
+            i = last({"head"}, {"template"})
+
     def say(part: str) -> None:
         nonlocal in_links
+        if silent and open_tags[-1].tag == "head" and part.strip():
+            end_head()
         if not silent and part:
             part = entities.unescape(part) if "&" in part else part
             text.append(part)
@@ -201,6 +211,8 @@ def blocks(page: str) -> list[Block]:
             elif tag in BLOCK_TAGS:
                 flush()
             continue
+        if silent and tag not in HEAD_TAGS:
+            end_head()
         if tag in ENDS_PARAGRAPH:
             i = last({"p"}, PARAGRAPH_SCOPE)
             if i >= 0:

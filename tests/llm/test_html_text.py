@@ -26,6 +26,23 @@ def test_blocks(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+    ("<p>a</p><object data=f>no plug-in</object><noscript>no <b>script</b></noscript>b",
+     ["a", "no plug-in", "no script", "b"]),
+    ("<p>a<noscript>b</noscript>c</p>", ["a", "b", "c"]),
+    ("<html><head><title>t</title><meta name=x><p>a<p>b", ["a", "b"]),
+    ("<head><link href=x><style>p{}</style><article><h1>a</h1></article></html>", ["a"]),
+    ("<head><title>t</title>\n a text<p>b", ["a text", "b"]),
+    ("<head><noscript><style>p{}</style></noscript><script>x</script></head><p>a", ["a"]),
+    ("<head><noscript><img src=x></noscript><meta name=x></head><body><p>a", ["a"]),
+    ("<head><template><p>no</p></template><title>t</title></head><body>a", ["a"]),
+    ("<p>a</p><template><p>no</p></template><svg><text>no</text></svg>b", ["a", "b"]),
+])
+def test_only_unseen_text_is_silent(page, want):
+    assert texts(page) == want
+
+
 def test_chain_maximises_likelihood():
     """The gradient agrees with differences of the exact likelihood."""
     import itertools
