@@ -86,6 +86,63 @@ def test_stated_licences_are_found(spark):
                 assert got[r.doc_id] == name
 
 
+def wrapped(text, mark="", width=72):
+    import textwrap
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def gnu_header(name, version, colon=":", mark=" * "):
+    body = [f"This program is free software{colon} you can redistribute it and/or modify it under the terms of the "
+            f"{name} as published by the Free Software Foundation{colon[-1]} either version {version} of the "
+            "License, or (at your option) any later version.",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+            "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the "
+            f"{name} for more details.",
+            f"You should have received a copy of the {name} along with this program.  If not, see "
+            "<https://www.gnu.org/licenses/>."]
+    return f"{mark}Copyright (C) 2015 Some Body\n{mark}\n" + f"\n{mark}\n".join(wrapped(b, mark) for b in body)
+
+
+def test_standard_texts_and_headers(spark, sf_dir):
+    owner = "Copyright (c) 2014, The Regents of Somewhere\nAll rights reserved.\n\n"
+    clauses = licences._BSD_2.split(" Redistributions ")
+    start = "\n\n".join(wrapped(x) for x in [
+        clauses[0], "1. Redistributions " + clauses[1], "2. Redistributions " + clauses[2]])
+    third = wrapped("3. Neither the name of the Regents nor the names of its contributors may be used to endorse or "
+                    "promote products derived from this software without specific prior written permission.")
+    end = wrapped(licences._BSD_END)
+    code = "\n\nint main(void) {\n  return compute_all_values(argc, argv);\n}\n" * 20
+    gnu, affero = "GNU General Public License", "GNU Affero General Public License"
+    terms_of = ("\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but "
+                "changing it is not allowed.\n\n                            Preamble\n\n")
+    want = {
+        "bsd2": ("BSD-2-Clause", f"{owner}{start}\n\n{end}\n"),
+        "bsd3": ("BSD-3-Clause", f"{owner}{start}\n\n{third}\n\n{end}\n"),
+        "bsd3.c": ("BSD-3-Clause", f"{owner}{start}\n\n{third}\n\n{end}{code}"),
+        "gpl2.c": ("GPL-2.0", f"/*\n{gnu_header(gnu, 2, ';')}\n */{code}"),
+        "gpl3.py": ("GPL-3.0", gnu_header(gnu, 3, mark="# ") + code),
+        "gpl3.txt": ("GPL-3.0", gnu_header(gnu, 3, mark="") + code),
+        "agpl.py": ("AGPL-3.0", gnu_header(affero, 3, mark="# ") + code),
+        "lgpl.c": ("LGPL-3.0", gnu_header("GNU Lesser General Public License", 3) + code),
+        "gpl2": ("GPL-2.0", f"      GNU GENERAL PUBLIC LICENSE\n        Version 2, June 1991{terms_of}"
+                            "The licenses for most software are designed to take away your freedom.\n"),
+        "gpl3": ("GPL-3.0", f"      GNU GENERAL PUBLIC LICENSE\n        Version 3, 29 June 2007{terms_of}"
+                            "The GNU General Public License is a free, copyleft license for\nsoftware.\n"),
+        "agpl": ("AGPL-3.0", f"    GNU AFFERO GENERAL PUBLIC LICENSE\n       Version 3, 19 November 2007{terms_of}"),
+        "isc": ("ISC", f"ISC License\n\n{owner}{wrapped(licences._ISC)}\n\n{wrapped(licences._ISC_END)}\n"),
+        "mit": ("MIT", f"{owner}{wrapped(licences._MIT)}\n\n{wrapped(licences._MIT_END)}\n"),
+        "apache.js": ("Apache-2.0", owner + wrapped(licences._APACHE) + code),
+        "epl.java": ("EPL-2.0", owner + wrapped(licences.TEMPLATES["EPL-2.0"][1]) + code),
+        "free.c": ("Unlicense", wrapped(licences._UNLICENSE) + "\n\n" + wrapped(licences._UNLICENSE_END)),
+        "mine": ("Proprietary", owner + code), "none": (None, code),
+    }
+    files = [(path, text) for path, (_, text) in want.items()]
+    files += [(f"docs/{r.doc_id}", r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.path: r.licence for r in licences.scan(
+        spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {path: got[path] for path in want} == {path: name for path, (name, _) in want.items()}
+
+
 def test_fill_matches_turns():
     names, slots = [f"n{i}" for i in range(7)], 101
     number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
