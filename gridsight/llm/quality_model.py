@@ -209,7 +209,7 @@ def _parts(texts: pa.Array) -> Iterator[list[bytes]]:
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str,
            text_col: str) -> tuple[list[np.ndarray], np.ndarray]:
     """Indicator sets and labels of about `max_rows` labelled documents outside the fold
-    held out, in the order of their ids' digests."""
+    held out, one for each id, in the order of their ids' digests."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()
                          & (fold(F.col(id_col)) != HELD_OUT)).select(
         F.col(id_col).alias("_id"), F.col(label).alias("_label"), F.xxhash64(id_col).alias("_digest"))
@@ -219,7 +219,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col
         known = known.where(F.col("_digest") < int(-2 ** 63 + 2 ** 64 * (max_rows / n)))
     chosen = known.groupBy("_id", "_digest").agg(F.min("_label").alias("_label"))
     mine = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("_text")).join(
-        F.broadcast(chosen), F.col("_of") == F.col("_id")).select("_digest", "_label", "_text")
+        F.broadcast(chosen), F.col("_of") == F.col("_id"))
+    # One row for each id, that of the smallest text digest, however many carry the id.
+    mine = mine.groupBy("_id", "_digest", "_label").agg(
+        F.min_by("_text", F.sha2(F.coalesce("_text", F.lit("")), 256)).alias("_text"))
+    mine = mine.select("_digest", "_label", "_text").repartition(32, "_digest")
     schema = T.StructType([T.StructField("_digest", T.LongType()), T.StructField("_good", T.BooleanType()),
                            T.StructField("_found", T.BinaryType())])
 

@@ -69,6 +69,18 @@ def test_sample_is_bounded(spark):
     assert 220 < len(rows) < 380 and len(good) == len(rows)
 
 
+def test_repeated_ids_count_once(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    first = docs.join(labels, "doc_id").where(qm.fold(F.col("doc_id")) != qm.HELD_OUT).select(docs["*"]).limit(1)
+    copies = first.crossJoin(spark.range(300)).withColumn(
+        "text", F.concat(F.lit("copy "), F.col("id").cast("string"))).drop("id")
+    rows, good = qm.sample(docs, labels, "quality", 10 ** 6, "doc_id", "text")
+    more, again = qm.sample(docs.unionByName(copies), labels, "quality", 10 ** 6, "doc_id", "text")
+    assert len(more) == len(rows) and (again == good).all()
+    assert sum(a.tolist() != b.tolist() for a, b in zip(rows, more)) <= 1
+
+
 def test_without_two_classes(spark):
     docs = corpus_cases.rows(spark)
     for labels, score in (([], 0.5), ([(1, 1)], 1.0), ([(1, 0)], 0.0)):
