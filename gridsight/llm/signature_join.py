@@ -15,10 +15,13 @@ more than the smaller of the largest sizes; pairs of nodes whose best case is un
 threshold are dropped with all below them, and pairs of sets that remain are confirmed on full
 sets. Pairs of nodes that lie in one component already are dropped likewise.
 
-Large groups of near copies do not become all pairs of rows. Each class first goes to the
-fullest of its keys, where blocks of a bounded number of tokens are joined with themselves. Then
-only keys that still hold several components stay open, each set of members once, and their
-blocks are joined pair by pair, across components alone. Every pair that could join two
+Sets meet in groups: a key's sets belong to the least of them, their hub, so that sets which
+share many keys, or share them with the same others, meet once or a few times instead of once a
+key. Large groups of near copies do not become all pairs of rows. First every set goes to its
+least hub, where blocks of a bounded number of sets and tokens are joined with themselves; then
+one set of each component found does. What remains are groups that still hold several
+components. Their largest component is cut into blocks that meet the blocks of all others, and
+these meet each other, but the largest one never meets itself: every pair that could join two
 components is tested, whatever the size of a group.
 
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased; a text with
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +52,10 @@ from gridsight.session import stage
 WORDS = 4
 PERCENT = 85
 #: Sets and tokens of a block.
-BLOCK = 256
+BLOCK = 1024
 BLOCK_TOKENS = 500_000
+#: Bits of a bitmap for each token of the largest set.
+BITS = 8
 #: Children of a tree node, and the widest bitmap in bits.
 FAN = 8
 MAX_BITS = 1 << 16
@@ -195,7 +200,7 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, component: np.
     pairs found before holds already are not looked for."""
     n = len(left)
     largest = max((len(s) for s in [*left, *(right or [])]), default=1)
-    bits = min(MAX_BITS, max(64, 1 << (4 * largest - 1).bit_length()))
+    bits = min(MAX_BITS, max(64, 1 << (BITS * largest - 1).bit_length()))
     a = SignatureTree(left, bits, component[:n])
     b = a if right is None else SignatureTree(right, bits, component[n:])
     if not a.sets or not b.sets:
@@ -278,7 +283,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataF
 
 
 def _joined(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Forest links (a, b) of every group (bucket, i, j) of (node, mine, component): of block i
+    """Forest links (a, b) of every group (hub, i, j) of (node, mine, component): of block i
     with block j, or of a block with itself."""
     schema = T.StructType([T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType())])
 
@@ -286,27 +291,76 @@ def _joined(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         table = table.combine_chunks()
         i, j = table["_i"][0].as_py(), table["_j"][0].as_py()
         block = table["_mine"].to_numpy()
-        order = np.concatenate([np.flatnonzero(block == i), np.flatnonzero(block == j) if i != j else []])
-        order = order.astype(np.int64)
-        n = int((block == i).sum())
+        left = np.flatnonzero(block == i)
+        order = left if i == j else np.concatenate([left, np.flatnonzero(block == j)])
         held = table["_set"].chunk(0)
         flat, ends = held.flatten().to_numpy(), np.cumsum(np.append(0, pc.list_value_length(held).to_numpy()))
         sets = [flat[ends[r]:ends[r + 1]] for r in order.tolist()]
         component = pc.dictionary_encode(table["_component"].chunk(0)).indices.to_numpy()[order]
-        nodes = table["_node"].to_numpy()[order]
-        found = np.array(links(sets[:n], sets[n:] if i != j else None, component, percent), np.int64)
-        found = nodes[found.reshape(-1, 2)]
+        found = np.array(links(sets[:len(left)], sets[len(left):] if i != j else None, component, percent),
+                         np.int64)
+        found = table["_node"].to_numpy()[order][found.reshape(-1, 2)]
         return pa.table({"_a": pa.array(found.max(axis=1)), "_b": pa.array(found.min(axis=1))})
 
     return rows.join(sets, "_node").select(
-        "_bucket", "_i", "_j", "_mine", "_node", "_component", "_set").groupBy(
-        "_bucket", "_i", "_j").applyInArrow(join, schema)
+        "_hub", "_i", "_j", "_mine", "_node", "_component", "_set").groupBy(
+        "_hub", "_i", "_j").applyInArrow(join, schema)
 
 
-def _blocks(size: str, tokens: str):
+def _blocks(size: str, tokens: str) -> Column:
     return F.greatest(F.ceil(F.col(size) / BLOCK), F.ceil(F.col(tokens) / BLOCK_TOKENS), F.lit(1))
 
 
+def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the groups (hub, node, n) that hold several components, with `_component`."""
+    if labels is None:
+        return groups.withColumn("_component", F.col("_node"))
+    labelled = (
+        groups.join(labels.select(F.col("_node").alias("_of"), "_label"), F.col("_node") == F.col("_of"), "left")
+        .select("_hub", "_node", "_n", F.coalesce("_label", "_node").alias("_component")))
+    several = labelled.groupBy(F.col("_hub").alias("_of")).agg(
+        F.min("_component").alias("_low"), F.max("_component").alias("_high")
+    ).where(F.col("_low") < F.col("_high"))
+    return labelled.join(several, F.col("_hub") == F.col("_of"), "left_semi")
+
+
+def _homes(rows: DataFrame) -> DataFrame:
+    """One set of each component of the open `rows`, in blocks of its component's least hub."""
+    chosen = rows.groupBy("_component").agg(F.min(F.struct("_hub", "_node", "_n")).alias("_least")).select(
+        "_component", "_least.*")
+    sizes = chosen.groupBy(F.col("_hub").alias("_of")).agg(
+        F.count(F.lit(1)).alias("_size"), F.sum("_n").alias("_tokens")).where(F.col("_size") > 1)
+    return (
+        chosen.join(sizes, F.col("_hub") == F.col("_of"))
+        .withColumn("_i", F.pmod(F.xxhash64("_node"), _blocks("_size", "_tokens")))
+        .select("_hub", "_i", F.col("_i").alias("_j"), F.col("_i").alias("_mine"), "_node", "_component"))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """All sets of the open `rows` in all pairs of blocks but those inside the largest component."""
+    counts = rows.groupBy(F.col("_hub").alias("_of"), "_component").agg(
+        F.count(F.lit(1)).alias("_size"), F.sum("_n").alias("_tokens"))
+    sizes = counts.groupBy("_of").agg(
+        F.max(F.struct("_size", "_component", "_tokens")).alias("_main"),
+        F.sum("_size").alias("_all"), F.sum("_tokens").alias("_all_tokens")).select(
+        "_of", F.col("_main._component").alias("_largest"),
+        _blocks("_main._size", "_main._tokens").alias("_inner"),
+        (F.col("_all") - F.col("_main._size")).alias("_rest"),
+        (F.col("_all_tokens") - F.col("_main._tokens")).alias("_rest_tokens")).withColumn(
+        "_outer", _blocks("_rest", "_rest_tokens"))
+    # Blocks 0 to inner - 1 hold the largest component, the next ones all others.
+    digest, main = F.xxhash64("_node"), F.col("_component") == F.col("_largest")
+    return (
+        rows.join(sizes, F.col("_hub") == F.col("_of"))
+        .withColumn("_mine", F.when(main, F.pmod(digest, "_inner")).otherwise(
+            F.col("_inner") + F.pmod(digest, "_outer")))
+        .withColumn("_other", F.explode(F.sequence(
+            F.when(main, F.col("_inner")).otherwise(F.lit(0).cast("long")),
+            F.col("_inner") + F.col("_outer") - 1)))
+        .select("_hub", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"),
+                "_mine", "_node", "_component"))
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): components of texts linked at `percent`."""
@@ -316,58 +370,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     filled = sketched.where(F.col("_class").isNotNull())
     # Equal sets are one node, named by the least of their row numbers.
     nodes = stage(filled.groupBy("_class").agg(F.min("_row").alias("_node")), "nodes")
+    key = Window.partitionBy("_key")
     held = (
         filled.select("_row", "_n", "_keys")
         .join(nodes.select("_node"), F.col("_row") == F.col("_node"))
-        .select("_node", "_n", F.explode("_keys").alias("_bucket")))
-    bucket = Window.partitionBy("_bucket")
-    shared = stage(
-        held.withColumn("_size", F.count(F.lit(1)).over(bucket)).where(F.col("_size") > 1), "shared")
-    crowd = shared.groupBy("_node").agg(
-        F.first("_n").alias("_n"), F.max(F.struct("_size", "_bucket")).alias("_best"))
-    crowd = stage(crowd, "crowd")
+        .select("_node", "_n", F.explode("_keys").alias("_key"))
+        .withColumn("_size", F.count(F.lit(1)).over(key)).withColumn("_hub", F.min("_node").over(key)))
+    groups = stage(held.where(F.col("_size") > 1).groupBy("_hub", "_node").agg(F.first("_n").alias("_n")), "groups")
     wanted = (
         filled.select("_row", "_class", "_hash", "_id")
-        .join(crowd.select("_node"), F.col("_row") == F.col("_node"))
+        .join(groups.select("_node").distinct(), F.col("_row") == F.col("_node"))
         .select("_node", "_class", "_hash", F.col("_id").alias("_wanted")))
     sets = stage(_sets(docs, id_col, text_col, words, wanted), "sets")
 
-    # Every node in the fullest of its buckets, block by block.
-    chosen = crowd.select("_node", "_n", F.col("_best._bucket").alias("_bucket"))
-    sizes = chosen.groupBy(F.col("_bucket").alias("_of")).agg(
-        F.count(F.lit(1)).alias("_size"), F.sum("_n").alias("_tokens")).where(F.col("_size") > 1)
-    homes = (
-        chosen.join(sizes, F.col("_bucket") == F.col("_of"))
-        .withColumn("_i", F.pmod(F.xxhash64("_node"), _blocks("_size", "_tokens")))
-        .select("_bucket", "_i", F.col("_i").alias("_j"), F.col("_i").alias("_mine"), "_node",
-                F.col("_node").alias("_component")))
-    first = stage(_joined(homes, sets, percent), "links")
-    labels = components(first)
-
-    # Buckets that still hold several components, each set of members once.
-    labelled = (
-        shared.select("_bucket", "_node", "_n")
-        .join(labels.select(F.col("_node").alias("_of"), "_label"), F.col("_node") == F.col("_of"), "left")
-        .select("_bucket", "_node", "_n", F.coalesce("_label", "_node").alias("_component")))
-    open_buckets = (
-        labelled.groupBy("_bucket").agg(
-            F.min("_component").alias("_low"), F.max("_component").alias("_high"),
-            F.count(F.lit(1)).alias("_size"), F.sum("_n").alias("_tokens"),
-            F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("_one"),
-            F.sum(F.xxhash64("_node", F.lit(1)).cast("decimal(20,0)")).alias("_two"))
-        .where(F.col("_low") < F.col("_high"))
-        .groupBy("_one", "_two", "_size", "_tokens").agg(F.min("_bucket").alias("_of"))
-        .select("_of", _blocks("_size", "_tokens").alias("_blocks")))
-    mine = F.pmod(F.xxhash64("_node"), F.col("_blocks"))
-    rest = (
-        labelled.join(open_buckets, F.col("_bucket") == F.col("_of"))
-        .withColumn("_mine", mine)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-        .select("_bucket", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"),
-                "_mine", "_node", "_component"))
-    more = stage(_joined(rest, sets, percent), "links")
-    if not more.isEmpty():
-        labels = components(first.union(more))
+    every, labels = None, None
+    for rows_of in (_homes, _homes, _across):
+        found = stage(_joined(rows_of(_open(groups, labels)), sets, percent), "links")
+        every = found if every is None else every.unionAll(found)
+        if labels is None or not found.isEmpty():
+            labels = components(every)
 
     named = stage(
         sketched.select("_id", "_n", "_class")
