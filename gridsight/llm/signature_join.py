@@ -8,19 +8,21 @@ pair, so each set takes part with the sizes from its own interval up and with th
 interval below. A set with too many empty segments adds a prefix filter: the first of its
 hashes in order, one of which a partner must share. No pair that links fails to share a key.
 
-The sets under a key are joined by signature trees. A node holds the OR of the token bitmaps
-of its sets, the range of their sizes, and how many tokens may hide behind one bit. For two
-nodes no pair of sets can share more tokens than the bits common to both, plus those hidden, nor
-more than the smaller of the largest sizes; pairs of nodes whose best case is under the
+Sets that meet are joined by signature trees. Tokens that several sets of the two trees hold get
+a bit each, as far as BITS times the largest set go; beyond, several tokens share one. A node holds the OR of the
+bitmaps of its sets, the range of their sizes, and how many tokens may hide behind one bit. For
+two nodes no pair of sets can share more tokens than the bits common to both, plus those hidden,
+nor more than the smaller of the largest sizes; pairs of nodes whose best case is under the
 threshold are dropped with all below them, and pairs of sets that remain are confirmed on full
-sets. Pairs of nodes that lie in one component already are dropped likewise.
-
-Sets meet in groups: a key's sets belong to the least of them, their hub, so that sets which
-share many keys, or share them with the same others, meet once or a few times instead of once a
-key. Large groups of near copies do not become all pairs of rows. First every set goes to its
-least hub, where blocks of a bounded number of sets and tokens are joined with themselves; then
-one set of each component found does. What remains are groups that still hold several
-components. Their largest component is cut into blocks that meet the blocks of all others, and
+sets (where no token is hidden, their bitmaps are the full sets). Pairs of nodes that lie in one
+component already are dropped likewise.
+
+Sets meet in groups: a key's sets belong to the least of them, their hub, and with that hub to
+its own least hub, so that sets which share many keys, or share them with the same others, meet
+once or a few times instead of once a key. Large groups of near copies do not become all pairs of rows. First every set goes to its
+least hub, where blocks of a bounded number of sets and tokens are joined with themselves; in
+groups of several blocks one set of each component found does so again. What remains are groups
+not wholly compared that still hold several components. Their largest component is cut into blocks that meet the blocks of all others, and
 these meet each other, but the largest one never meets itself: every pair that could join two
 components is tested, whatever the size of a group.
 
@@ -54,13 +56,12 @@ PERCENT = 85
 #: Sets and tokens of a block.
 BLOCK = 1024
 BLOCK_TOKENS = 500_000
-#: Bits of a bitmap for each token of the largest set.
-BITS = 8
-#: Children of a tree node, and the widest bitmap in bits.
+#: Children of a tree node; bits of a bitmap for each token of the largest set, and at most.
 FAN = 8
+BITS = 8
 MAX_BITS = 1 << 16
-#: Node pairs looked at together.
-CHUNK = 4096
+#: Words of bitmaps looked at together.
+CHUNK = 1 << 21
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -127,21 +128,36 @@ def keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
+def bit_numbers(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """For each set the bits of its tokens that some other set holds too, and the bits in use."""
+    if not sets:
+        return [], 64
+    sizes = [len(s) for s in sets]
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count > 1
+    useful = max(1, min(int(common.sum()), BITS * max(sizes), MAX_BITS))
+    bits = max(64, 1 << (useful - 1).bit_length())
+    number = (np.cumsum(common) - 1) % bits
+    ends = np.cumsum([0, *sizes])
+    parts = [token[lo:hi] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return [number[t[common[t]]] for t in parts], bits
+
+
 class SignatureTree:
     """Bitmaps, size ranges and hidden tokens of sets, level by level; level 0 are the sets."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int, component: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], numbers: list[np.ndarray], bits: int, component: np.ndarray):
         # Sets with a smallest hash in common are likely alike and get one parent.
         self.order = np.lexsort(([s[0] for s in sets], [len(s) for s in sets])) if sets else np.empty(0, int)
-        sets = [sets[i] for i in self.order]
-        sizes = np.array([len(s) for s in sets])
+        self.sets = [sets[i] for i in self.order]
+        sizes = np.array([len(s) for s in self.sets])
         words = np.zeros((len(sets), bits // 64), np.uint64)
-        for row, tokens in zip(words, sets):
+        for row, i in zip(words, self.order):
             held = np.zeros(bits, bool)
-            held[_mix(tokens.view(np.uint64)) & np.uint64(bits - 1)] = True
+            held[numbers[i]] = True
             row[:] = np.packbits(held).view(np.uint64)
-        hidden = sizes - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
-        self.sets = sets
+        marked = np.array([len(numbers[i]) for i in self.order])
+        hidden = marked - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
         one = component[self.order]
         #: (bitmaps, least size, largest size, most hidden tokens, component or -1) of a level
         self.levels = [(words, sizes, sizes, hidden, one)]
@@ -159,13 +175,14 @@ def may_link(left: tuple, right: tuple, i: np.ndarray, j: np.ndarray, percent: i
     """The largest possible overlap of node pairs, or -1 where it is under the threshold."""
     (wa, la, ma, ha, ca), (wb, lb, mb, hb, cb) = left, right
     out = np.full(len(i), -1, np.int64)
-    for at in range(0, len(i), CHUNK):
-        x, y = i[at:at + CHUNK], j[at:at + CHUNK]
+    step = max(1, CHUNK // wa.shape[1])
+    for at in range(0, len(i), step):
+        x, y = i[at:at + step], j[at:at + step]
         shared = np.bitwise_count(wa[x] & wb[y]).sum(axis=1, dtype=np.int64) + np.minimum(ha[x], hb[y])
         most = np.minimum(shared, np.minimum(ma[x], mb[y]))
         fits = (100 + percent) * most >= percent * (la[x] + lb[y])
         fits &= (ca[x] != cb[y]) | (ca[x] < 0)
-        out[at:at + CHUNK] = np.where(fits, most, -1)
+        out[at:at + step] = np.where(fits, most, -1)
     return out
 
 
@@ -199,16 +216,15 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, component: np.
     block with each other if `right` is None, else of two blocks. Links that a forest of the
     pairs found before holds already are not looked for."""
     n = len(left)
-    largest = max((len(s) for s in [*left, *(right or [])]), default=1)
-    bits = min(MAX_BITS, max(64, 1 << (BITS * largest - 1).bit_length()))
-    a = SignatureTree(left, bits, component[:n])
-    b = a if right is None else SignatureTree(right, bits, component[n:])
+    numbers, bits = bit_numbers([*left, *(right or [])])
+    a = SignatureTree(left, numbers[:n], bits, component[:n])
+    b = a if right is None else SignatureTree(right, numbers[n:], bits, component[n:])
     if not a.sets or not b.sets:
         return []
     x, y, most = candidates(a, b, percent)
+    sure = (a.levels[0][3][x] == 0) | (b.levels[0][3][y] == 0)
     # Best first: pairs that almost surely link save the others in their component.
-    size_a, size_b = a.levels[0][1][x], b.levels[0][1][y]
-    best = np.argsort(-most / (size_a + size_b), kind="stable")
+    best = np.argsort(-most / (a.levels[0][1][x] + b.levels[0][1][y]), kind="stable")
     leader: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -219,17 +235,18 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, component: np.
 
     out = []
     one, two = a.levels[0][4].tolist(), b.levels[0][4].tolist()
-    for p, q in zip(x[best].tolist(), y[best].tolist()):
+    open_ = len({*one, *two}) - 1
+    for p, q, known in zip(x[best].tolist(), y[best].tolist(), sure[best].tolist()):
         up, down = top(one[p]), top(two[q])
         if up == down:
             continue
         s, t = a.sets[p], b.sets[q]
-        both = np.concatenate([s, t])
-        both.sort(kind="stable")
-        shared = int((both[1:] == both[:-1]).sum())
-        if 100 * shared >= percent * (len(s) + len(t) - shared):
+        shared = 0 if known else len(np.intersect1d(s, t, assume_unique=True))
+        if known or 100 * shared >= percent * (len(s) + len(t) - shared):
             leader[up] = down
             out.append((int(a.order[p]), int(b.order[q]) + (0 if right is None else n)))
+            if len(out) == open_:
+                break
     return out
 
 
@@ -258,31 +275,26 @@ def class_of(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(node, set): full sets of `wanted` (node, class, id, text hash), from their texts."""
-    chosen = (
+def _texts_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, text): a text of every `wanted` (node, class, id, text hash)."""
+    found = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                     F.xxhash64(text_col).alias("_of"))
         .join(wanted, (F.col("_of") == F.col("_hash")) & F.col("_id").eqNullSafe(F.col("_wanted")))
         .select("_text", "_class", "_node"))
-    schema = T.StructType([T.StructField("_node", T.LongType()),
-                           T.StructField("_set", T.ArrayType(T.LongType(), False))])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Another text may have the same id and hash; the class tells them apart.
         for batch in batches:
             for first, texts in _texts(batch.column(0)):
-                asked = batch.column(1).slice(first, len(texts)).to_pylist()
-                nodes = batch.column(2).slice(first, len(texts)).to_pylist()
-                found = [(n, s.view(np.int64)) for n, c, s in zip(nodes, asked, shingle_sets(texts, words))
-                         if c == class_of(s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n, _ in found], pa.int64()),
-                     pa.array([s for _, s in found], pa.list_(pa.int64()))], [f.name for f in schema])
+                part = batch.slice(first, len(texts))
+                same = [class_of(s) == c for s, c in zip(shingle_sets(texts, words), part.column(1).to_pylist())]
+                yield part.filter(pa.array(same, pa.bool_())).select(["_node", "_text"])
 
-    return chosen.mapInArrow(build, schema).dropDuplicates(["_node"])
+    return found.mapInArrow(check, "_node long, _text string").dropDuplicates(["_node"])
 
 
-def _joined(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _joined(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Forest links (a, b) of every group (hub, i, j) of (node, mine, component): of block i
     with block j, or of a block with itself."""
     schema = T.StructType([T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType())])
@@ -293,17 +305,17 @@ def _joined(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         block = table["_mine"].to_numpy()
         left = np.flatnonzero(block == i)
         order = left if i == j else np.concatenate([left, np.flatnonzero(block == j)])
-        held = table["_set"].chunk(0)
-        flat, ends = held.flatten().to_numpy(), np.cumsum(np.append(0, pc.list_value_length(held).to_numpy()))
-        sets = [flat[ends[r]:ends[r + 1]] for r in order.tolist()]
+        sets: list[np.ndarray] = []
+        for _, part in _texts(table["_text"].chunk(0).take(pa.array(order))):
+            sets.extend(shingle_sets(part, words))
         component = pc.dictionary_encode(table["_component"].chunk(0)).indices.to_numpy()[order]
         found = np.array(links(sets[:len(left)], sets[len(left):] if i != j else None, component, percent),
                          np.int64)
         found = table["_node"].to_numpy()[order][found.reshape(-1, 2)]
         return pa.table({"_a": pa.array(found.max(axis=1)), "_b": pa.array(found.min(axis=1))})
 
-    return rows.join(sets, "_node").select(
-        "_hub", "_i", "_j", "_mine", "_node", "_component", "_set").groupBy(
+    return rows.join(texts, "_node").select(
+        "_hub", "_i", "_j", "_mine", "_node", "_component", "_text").groupBy(
         "_hub", "_i", "_j").applyInArrow(join, schema)
 
 
@@ -311,10 +323,8 @@ def _blocks(size: str, tokens: str) -> Column:
     return F.greatest(F.ceil(F.col(size) / BLOCK), F.ceil(F.col(tokens) / BLOCK_TOKENS), F.lit(1))
 
 
-def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the groups (hub, node, n) that hold several components, with `_component`."""
-    if labels is None:
-        return groups.withColumn("_component", F.col("_node"))
     labelled = (
         groups.join(labels.select(F.col("_node").alias("_of"), "_label"), F.col("_node") == F.col("_of"), "left")
         .select("_hub", "_node", "_n", F.coalesce("_label", "_node").alias("_component")))
@@ -332,8 +342,10 @@ def _homes(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_size"), F.sum("_n").alias("_tokens")).where(F.col("_size") > 1)
     return (
         chosen.join(sizes, F.col("_hub") == F.col("_of"))
-        .withColumn("_i", F.pmod(F.xxhash64("_node"), _blocks("_size", "_tokens")))
-        .select("_hub", "_i", F.col("_i").alias("_j"), F.col("_i").alias("_mine"), "_node", "_component"))
+        .withColumn("_parts", _blocks("_size", "_tokens"))
+        .withColumn("_i", F.pmod(F.xxhash64("_node"), F.col("_parts")))
+        .select("_hub", "_i", F.col("_i").alias("_j"), F.col("_i").alias("_mine"), "_node", "_component",
+                "_parts"))
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -376,19 +388,39 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         .join(nodes.select("_node"), F.col("_row") == F.col("_node"))
         .select("_node", "_n", F.explode("_keys").alias("_key"))
         .withColumn("_size", F.count(F.lit(1)).over(key)).withColumn("_hub", F.min("_node").over(key)))
-    groups = stage(held.where(F.col("_size") > 1).groupBy("_hub", "_node").agg(F.first("_n").alias("_n")), "groups")
+    hubs = stage(held.where(F.col("_size") > 1).groupBy("_hub", "_node").agg(F.first("_n").alias("_n")), "hubs")
+    # A hub's group joins that of the hub's own least hub.
+    above = hubs.groupBy(F.col("_node").alias("_of")).agg(F.min("_hub").alias("_root"))
+    groups = stage(
+        hubs.join(above, F.col("_hub") == F.col("_of"))
+        .groupBy(F.col("_root").alias("_hub"), "_node").agg(F.first("_n").alias("_n")), "groups")
     wanted = (
         filled.select("_row", "_class", "_hash", "_id")
         .join(groups.select("_node").distinct(), F.col("_row") == F.col("_node"))
         .select("_node", "_class", "_hash", F.col("_id").alias("_wanted")))
-    sets = stage(_sets(docs, id_col, text_col, words, wanted), "sets")
-
-    every, labels = None, None
-    for rows_of in (_homes, _homes, _across):
-        found = stage(_joined(rows_of(_open(groups, labels)), sets, percent), "links")
-        every = found if every is None else every.unionAll(found)
-        if labels is None or not found.isEmpty():
+    texts = stage(_texts_of(docs, id_col, text_col, wanted, words), "texts")
+
+    homes = stage(_homes(groups.withColumn("_component", F.col("_node"))), "homes")
+    first = stage(_joined(homes, texts, words, percent), "links")
+    labels = components(first)
+    # Groups that were one block have met as a whole.
+    met = homes.groupBy("_hub").agg(F.max("_parts").alias("_parts"), F.count(F.lit(1)).alias("_there")).where(
+        F.col("_parts") == 1)
+    sizes = groups.groupBy("_hub").agg(F.count(F.lit(1)).alias("_size"), F.sum("_n").alias("_tokens"))
+    left = stage(
+        sizes.join(met, "_hub", "left").where(F.coalesce("_there", F.lit(0)) < F.col("_size"))
+        .select("_hub", (_blocks("_size", "_tokens") > 1).alias("_crowded")), "left")
+    rest = stage(groups.join(left, "_hub"), "rest")
+    crowded = rest.where("_crowded")
+    every = first
+    if not crowded.isEmpty():
+        second = stage(_joined(_homes(_open(crowded, labels)), texts, words, percent), "links")
+        if not second.isEmpty():
+            every = every.unionAll(second)
             labels = components(every)
+    last = stage(_joined(_across(_open(rest, labels)), texts, words, percent), "links")
+    if not last.isEmpty():
+        labels = components(every.unionAll(last))
 
     named = stage(
         sketched.select("_id", "_n", "_class")

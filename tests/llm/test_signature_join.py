@@ -69,8 +69,9 @@ def test_intervals():
             assert sj.interval(100 * size // percent, percent) <= at + 1
 
 
-@pytest.mark.parametrize("bits", [64, 1024])
-def test_traversal_loses_no_link_and_prunes(bits):
+@pytest.mark.parametrize("bits", [64, 1024, 1 << 16])
+def test_traversal_loses_no_link_and_prunes(bits, monkeypatch):
+    monkeypatch.setattr(sj, "MAX_BITS", bits)
     pick = np.random.default_rng(3)
     sets = []
     for _ in range(30):
@@ -78,7 +79,9 @@ def test_traversal_loses_no_link_and_prunes(bits):
         for _ in range(6):
             keep = pick.random(len(base)) > pick.choice([0, 0.05, 0.3])
             sets.append(np.union1d(base[keep], random_set(pick, 3)).view(np.int64))
-    tree = sj.SignatureTree(sets, bits, np.arange(len(sets)))
+    numbers, used = sj.bit_numbers(sets)
+    assert used == min(bits, 1024)
+    tree = sj.SignatureTree(sets, numbers, used, np.arange(len(sets)))
     x, y, most = sj.candidates(tree, tree, 85)
     found = set(zip(x.tolist(), y.tolist()))
     linked = 0
@@ -88,7 +91,8 @@ def test_traversal_loses_no_link_and_prunes(bits):
             if 100 * both >= 85 * len(np.union1d(a, tree.sets[j])):
                 linked += 1
                 assert (i, j) in found
-    if bits == 1024:
+    if bits > 64:
+        assert linked <= len(found)
         assert len(found) < 0.1 * len(sets) ** 2 / 2 and linked
 
 
