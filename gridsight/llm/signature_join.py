@@ -375,18 +375,24 @@ def _across(rows: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id): components of texts linked at `percent`."""
+    """(id, n_shingles, component_id): components of texts linked at `percent`.
+
+    `docs` is read three times: for the classes, for their keys, and for the texts that meet.
+    """
     sketched = stage(
-        _sketched(docs, id_col, text_col, words, percent)
+        _sketched(docs, id_col, text_col, words, percent).drop("_keys")
         .withColumn("_row", F.monotonically_increasing_id()), "signatures")
     filled = sketched.where(F.col("_class").isNotNull())
     # Equal sets are one node, named by the least of their row numbers.
-    nodes = stage(filled.groupBy("_class").agg(F.min("_row").alias("_node")), "nodes")
+    nodes = stage(filled.groupBy("_class").agg(
+        F.min("_row").alias("_node"), F.first("_n").alias("_n")), "nodes")
+    # Keys are as large as the texts: they are made again rather than stored.
+    keyed = (
+        _sketched(docs, id_col, text_col, words, percent).where(F.col("_class").isNotNull())
+        .groupBy("_class").agg(F.first("_keys").alias("_keys")))
     key = Window.partitionBy("_key")
     held = (
-        filled.select("_row", "_n", "_keys")
-        .join(nodes.select("_node"), F.col("_row") == F.col("_node"))
-        .select("_node", "_n", F.explode("_keys").alias("_key"))
+        keyed.join(nodes, "_class").select("_node", "_n", F.explode("_keys").alias("_key"))
         .withColumn("_size", F.count(F.lit(1)).over(key)).withColumn("_hub", F.min("_node").over(key)))
     hubs = stage(held.where(F.col("_size") > 1).groupBy("_hub", "_node").agg(F.first("_n").alias("_n")), "hubs")
     # A hub's group joins that of the hub's own least hub.
@@ -424,7 +430,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     named = stage(
         sketched.select("_id", "_n", "_class")
-        .join(nodes.withColumnRenamed("_class", "_of"), F.col("_class") == F.col("_of"), "left")
+        .join(nodes.select(F.col("_class").alias("_of"), "_node"), F.col("_class") == F.col("_of"), "left")
         .join(labels.select(F.col("_node").alias("_labelled"), "_label"),
               F.col("_node") == F.col("_labelled"), "left")
         .select("_id", "_n", F.coalesce("_label", "_node").alias("_component")), "named")
