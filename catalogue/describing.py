@@ -164,6 +164,39 @@ def strong_pairs(spark, sf_dir):
     return rounded(describe.strong_pairs(pairs), 6, "r")
 
 
+# Gaps in one column, infinite cells in two, and a column that is constant where another is not missing.
+GAPPED_SQL = """gapped AS (
+  SELECT CASE WHEN l_linenumber <> 3 THEN l_quantity END AS quantity,
+         CASE WHEN l_orderkey % 97 = 0 THEN 'infinity'::DOUBLE ELSE l_extendedprice END AS price,
+         CASE WHEN l_orderkey % 89 = 0 THEN '-infinity'::DOUBLE
+              WHEN l_linenumber <> 2 THEN l_extendedprice * (1 - l_discount) END AS net,
+         CASE WHEN l_linenumber = 3 THEN l_tax ELSE 1.0 END AS flat FROM lineitem)"""
+GAPPED = ["quantity", "price", "net", "flat"]
+
+
+def _gapped(spark, sf_dir) -> DataFrame:
+    price, line, key = F.col("l_extendedprice"), F.col("l_linenumber"), F.col("l_orderkey")
+    return read(spark, sf_dir, "lineitem").select(
+        F.when(line != 3, F.col("l_quantity")).alias("quantity"),
+        F.when(key % 97 == 0, float("inf")).otherwise(price).alias("price"),
+        F.when(key % 89 == 0, float("-inf")).when(line != 2, price * (1 - F.col("l_discount"))).alias("net"),
+        F.when(line == 3, F.col("l_tax")).otherwise(1.0).alias("flat"))
+
+
+def _finite_r(a: str, b: str) -> str:
+    both = f"isfinite({a}) AND isfinite({b})"
+    varies = " AND ".join(f"max({c}) FILTER ({both}) > min({c}) FILTER ({both})" for c in (a, b))
+    return f"CASE WHEN {varies} THEN corr({a}, {b}) FILTER ({both}) ELSE 0 END"
+
+
+@query("correlation_gaps", f"WITH {GAPPED_SQL}" + union_all_sql([
+    f"SELECT '{a}' AS col1, '{b}' AS col2, round(({_finite_r(a, b)})::DOUBLE, 6) + 0.0 AS r FROM gapped"
+    for a in GAPPED for b in GAPPED]))
+def correlation_gaps(spark, sf_dir):
+    found = describe.correlation_matrix(_gapped(spark, sf_dir), GAPPED)
+    return rounded(found, 6, "r").select("col1", "col2", "r")
+
+
 def _group_sql(table: str, cat: str, num: str) -> str:
     return f"""
 SELECT '{cat}' AS cat_column, '{num}' AS num_column, rank, category, round(mean, 4) AS mean,

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement, permutations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +23,9 @@ OTHERS_LABEL = "Others"
 TOP_VALUES = 10
 TOP_GROUPS = 10
 TOP_PAIRS = 10
+#: Pairs of columns that one aggregate of plain sums, and one of own means, holds.
+DIRECT_PAIRS = 40
+FEW_PAIRS = 6
 CROSSTAB_ROWS = 30
 COMPARED_COLUMNS = 3
 # Least |r| of a reported pair, and of a strong one.
@@ -151,91 +159,109 @@ def category_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --- relations ------------------------------------------------------------------------------
 
-def _pair_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """{column: mean} of the columns whose numbers vary, from one aggregate."""
-    row = df.agg(F.lit(1).alias("one"), *[
-        a for i, c in enumerate(columns) for a in (
-            F.avg(V.as_number(df, c)).alias(f"m{i}"),
-            (F.coalesce(F.max(V.as_number(df, c)) > F.min(V.as_number(df, c)), F.lit(False)))
-            .alias(f"v{i}"))]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns) if row[f"v{i}"]}
+def _finite(df: DataFrame, name: str) -> Column:
+    """The number in a cell; infinities count as missing, as they have no deviation."""
+    number = V.as_number(df, name)
+    return F.when(F.abs(number) < float("inf"), number)
 
 
-def _pair_sums(df: DataFrame, means: dict[str, float]) -> DataFrame:
-    """(p1, p2, n, sx, sy, sxx, syy, sxy) of every pair of columns, where both have a number.
+def _direct(df: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
+    """(p1, p2, col1, col2, r) of the pairs ((i, a), (j, b)), each an aggregate of its own."""
+    cells = []
+    for (i, a), (j, b) in pairs:
+        x, y = _finite(df, a), _finite(df, b)
+        # corr itself fails where a spread is 0.
+        spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y)))
+        r = F.try_divide(F.covar_pop(x, y), spread)
+        r = F.when((spread > 0) & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+        cells.append(F.struct(F.lit(i).alias("p1"), F.lit(j).alias("p2"), F.lit(a).alias("col1"),
+                              F.lit(b).alias("col2"), r.alias("r")))
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
-    One scan whatever the number of columns: each task adds up products of its value and
-    presence matrices, batch by batch, and gives one row per pair. Values are taken from
-    their means, so sums of squares keep their digits.
+
+def _pair_sums(df: DataFrame, means: dict[str, float]) -> np.ndarray:
+    """n, sums of x, x squared and x * y over the rows where both columns have a number, as
+    four matrices [x, y]. Values are taken from their means, so that squares keep their digits.
+
+    One scan in the JVM: plain sums for few pairs; for more, each row is one vector of values,
+    squares and presences, and tasks add up its outer products.
     """
-    wide = df.select(*[(V.as_number(df, c) - F.lit(m)).alias(f"x{i}")
-                       for i, (c, m) in enumerate(means.items())])
     k = len(means)
-    fields = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    schema = "p1 int, p2 int, " + ", ".join(f"{f} double" for f in fields)
-
-    def add(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        n, first, square, product = np.zeros((4, k, k))
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            there = ~np.isnan(x)
-            x, there = np.where(there, x, 0.0), there.astype(float)
-            n += there.T @ there
-            first += x.T @ there
-            square += (x * x).T @ there
-            product += x.T @ x
-        i, j = np.triu_indices(k, 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, (
-                n[i, j], first[i, j], first[j, i], square[i, j], square[j, i], product[i, j]))],
-            ["p1", "p2", *fields])
-
-    return wide.mapInArrow(add, schema).groupBy("p1", "p2").agg(*[F.sum(f).alias(f) for f in fields])
-
-
-def pair_correlations(df: DataFrame, columns: Sequence[str], facts=None) -> DataFrame:
+    values = df.select(*[(_finite(df, c) - F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(means.items())])
+    x = [F.col(f"x{i}") for i in range(k)]
+    if k * (k - 1) // 2 > DIRECT_PAIRS:
+        known = [F.coalesce(v, F.lit(0.0)) for v in x]
+        parts = [*known, *[v * v for v in known], *[v.isNotNull().cast("double") for v in x]]
+        vectors = values.select(array_to_vector(F.array(*parts)).alias("v"))
+        rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v"), numCols=len(parts))
+        sums = rows.computeGramianMatrix().toArray()
+        return np.array([sums[2 * k:, 2 * k:], sums[:k, 2 * k:], sums[k:2 * k, 2 * k:], sums[:k, :k]])
+    out, cells, places = np.zeros((4, k, k)), [], []
+    for i, j in permutations(range(k), 2):
+        mine = F.when(x[j].isNotNull(), x[i])
+        cells += [F.sum(mine), F.sum(mine * mine)]
+        places += [(1, i, j), (2, i, j)]
+        if i < j:
+            cells += [F.count(x[i] + x[j]).cast("double"), F.sum(x[i] * x[j])]
+            places += [(0, i, j), (3, i, j)]
+    for place, value in zip(places, values.agg(*[c.alias(f"s{n}") for n, c in enumerate(cells)]).first()):
+        out[place] = value or 0.0
+    for both in (0, 3):
+        out[both] += out[both].T
+    return out
+
+
+def _coefficients(n: np.ndarray, first: np.ndarray, square: np.ndarray,
+                  product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """r of all pairs of columns, and the pairs in which a spread may be rounding only."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = square - first * first / n
+        r = (product - first * first.T / n) / np.sqrt(spread * spread.T)
+    flat = spread <= 1e-7 * square
+    return r, flat | flat.T
+
+
+def pair_correlations(df: DataFrame, columns: Sequence[str], diagonal: bool = False) -> DataFrame:
     """(p1, p2, col1, col2, r) for every pair of columns, pairwise complete.
 
-    A constant column has no correlation: r is null instead of a division error.
+    A cell counts where both columns hold a finite number. r is null where it is not defined:
+    beside a constant column, or where the rows of a pair do not vary. Pairs whose spread cannot
+    be told from rounding are computed once more, each from its own means.
     """
     spark = df.sparkSession
     schema = "p1 int, p2 int, col1 string, col2 string, r double"
-    pairs = list(combinations(enumerate(columns), 2))
+    numbered = list(enumerate(columns))
+    pairs = list(combinations_with_replacement(numbered, 2) if diagonal else combinations(numbered, 2))
     if not pairs:
         return spark.createDataFrame([], schema)
-    means = _pair_facts(df, columns) if facts is None else facts
-    constant = [(i, j, a, b, None) for (i, a), (j, b) in pairs if a not in means or b not in means]
-    frames = [spark.createDataFrame(constant, schema)] if constant else []
-    if len(means) > 1:
-        place = {c: i for i, c in enumerate(columns)}
-        at = F.array(*[F.lit(place[c]) for c in means])
-        name = F.array(*[F.lit(c) for c in means])
-        n = F.col("n")
-        both = F.col("sxy") - F.col("sx") * F.col("sy") / n
-        spread = F.sqrt(F.greatest(F.lit(0.0), F.col("sxx") - F.col("sx") * F.col("sx") / n)
-                        * F.greatest(F.lit(0.0), F.col("syy") - F.col("sy") * F.col("sy") / n))
-        r = F.when(n > 0, F.try_divide(both, spread))
-        frames.append(_pair_sums(df, means).select(
-            at[F.col("p1")].alias("p1"), at[F.col("p2")].alias("p2"),
-            name[F.col("p1")].alias("col1"), name[F.col("p2")].alias("col2"), r.alias("r")))
-    return frequency.union_all(frames)
+    facts = df.agg(*[F.struct(F.avg(_finite(df, c)), F.coalesce(
+        F.max(_finite(df, c)) > F.min(_finite(df, c)), F.lit(False))) for c in columns]).first()
+    means = {c: facts[i][0] for i, c in numbered if facts[i][1]}
+    at = {c: i for i, c in enumerate(means)}
+    r, unsure = _coefficients(*_pair_sums(df, means)) if len(means) > 1 else (None, None)
+    found, direct = [], []
+    for (i, a), (j, b) in pairs:
+        if a not in at or b not in at:
+            found.append((i, j, a, b, None))
+        elif i == j:
+            found.append((i, j, a, b, 1.0))
+        elif unsure[at[a], at[b]]:
+            direct.append(((i, a), (j, b)))
+        else:
+            value = float(r[at[a], at[b]])
+            found.append((i, j, a, b, max(-1.0, min(1.0, value)) if math.isfinite(value) else None))
+    return frequency.union_all([spark.createDataFrame(found, schema), *[
+        _direct(df, direct[k:k + FEW_PAIRS]) for k in range(0, len(direct), FEW_PAIRS)]])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(p1, p2, col1, col2, r) for all ordered pairs; undefined values are 0."""
-    facts = _pair_facts(df, columns)
-    pairs = pair_correlations(df, columns, facts)
-    both = pairs.select(F.explode(F.array(
-        F.struct("p1", "p2", "col1", "col2", "r"),
-        F.struct(F.col("p2").alias("p1"), F.col("p1").alias("p2"), F.col("col2").alias("col1"),
-                 F.col("col1").alias("col2"), "r"))).alias("c")).select("c.*")
-    own = df.sparkSession.createDataFrame(
-        [(i, i, c, c, 1.0 if c in facts else 0.0) for i, c in enumerate(columns)],
-        "p1 int, p2 int, col1 string, col2 string, r double")
-    return both.unionByName(own).withColumn("r", F.coalesce("r", F.lit(0.0)))
+    both = F.when(F.col("p1") == F.col("p2"), F.array(F.struct("p1", "p2", "col1", "col2", "r"))).otherwise(
+        F.array(F.struct("p1", "p2", "col1", "col2", "r"),
+                F.struct(F.col("p2").alias("p1"), F.col("p1").alias("p2"), F.col("col2").alias("col1"),
+                         F.col("col1").alias("col2"), "r")))
+    return pair_correlations(df, columns, diagonal=True).select(F.inline(both)).withColumn(
+        "r", F.coalesce("r", F.lit(0.0)))
 
 
 def strong_pairs(pairs: DataFrame, top: int = TOP_PAIRS) -> DataFrame:

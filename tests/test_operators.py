@@ -440,5 +440,24 @@ def test_wide_correlations_take_one_scan(spark):
     assert len(rows) == 63 * 62 // 2
     for r in rows:
         assert r["r"] is None if 62 in (r["p1"], r["p2"]) else abs(r["r"] - want[r["p1"], r["p2"]]) < 1e-9
-    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("MapInArrow") == 1
+    described = describe.correlation_matrix(df, df.columns)
+    assert "Arrow" not in described._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_infinite_cells_have_no_correlation(spark):
+    """They are left out like missing ones, pair by pair; what is undefined is 0 and not strong."""
+    import numpy as np
+    import pandas as pd
+
+    inf, nan = float("inf"), float("nan")
+    rows = [(1.0, 2.0, inf, 3.0, nan), (2.0, 4.0, -inf, 3.0, 1.0), (inf, 7.0, 1.0, 3.0, 2.0),
+            (3.0, None, 2.0, -inf, 5.0), (5.0, 2.0, 4.0, 3.0, inf), (-inf, inf, 9.0, 3.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    want = pd.DataFrame(rows, columns=df.columns).astype(float).corr().fillna(0.0)
+    got = {(r["col1"], r["col2"]): r["r"] for r in describe.correlation_matrix(df, df.columns).collect()}
+    for (a, b), r in got.items():
+        assert r == pytest.approx(want.loc[a, b], abs=1e-12), (a, b)
+    strong = describe.strong_pairs(describe.pair_correlations(df, df.columns)).collect()
+    assert {(r["col1"], r["col2"]) for r in strong} == {
+        (a, b) for a in want for b in want if a < b and abs(want.loc[a, b]) >= 0.4}
+    assert all(np.isfinite(r["r"]) for r in strong)
