@@ -176,7 +176,7 @@ SELECT 1 AS rank, 'l_quantity' AS feature, true AS leads, count(*) AS rows FROM
 def importances(spark, sf_dir):
     """The column that decides the target is the top driver."""
     ruled = _ruled(spark, sf_dir)
-    trained, _ = ml.train(ruled, "worth", RULE_PREDICTORS, trees=10, key="row_key")
+    trained, _ = ml.train(ruled, "worth", RULE_PREDICTORS, key="row_key")
     return ml.top_drivers(ml.importances(trained, spark), 1).select(
         "rank", "feature", (F.col("importance") > 0.9).alias("leads"), F.lit(ruled.count()).alias("rows"))
 
@@ -233,7 +233,7 @@ SELECT least(150, (SELECT count(*) FROM lineitem)) AS points, true AS on_the_lin
 def actual_vs_predicted(spark, sf_dir):
     """The plot's points lie on the diagonal."""
     ruled = _ruled(spark, sf_dir)
-    trained, _ = ml.train(ruled, "worth", RULE_PREDICTORS, trees=10, key="row_key")
+    trained, _ = ml.train(ruled, "worth", RULE_PREDICTORS, key="row_key")
     return ml.plot_sample(ml.score(trained, ruled), "row_key").agg(
         F.count("*").alias("points"),
         F.bool_and(F.abs(F.col("worth") - F.col("prediction")) < 1e-6).alias("on_the_line"))
@@ -246,11 +246,60 @@ FROM ruled GROUP BY ALL""")
 def score_batch(spark, sf_dir):
     """Rows with a missing number stay without an answer."""
     ruled = _ruled(spark, sf_dir)
-    trained, _ = ml.train(ruled, "size", RULE_PREDICTORS, trees=10, key="row_key")
+    trained, _ = ml.train(ruled, "size", RULE_PREDICTORS, key="row_key")
     gaps = ruled.withColumn("l_quantity", F.when(F.col("l_linenumber") != 4, F.col("l_quantity")))
     return ml.score(trained, gaps).groupBy("predicted").agg(F.count("*").alias("n"))
 
 
+@query("importances_all", """
+SELECT 1 AS rank, 'l_quantity' AS feature, 1.0 AS importance
+UNION ALL SELECT 2, 'l_linenumber', 0.0""")
+def importances_all(spark, sf_dir):
+    """Every importance: one column decides the target, the other says nothing about it."""
+    trained, _ = ml.train(_ruled(spark, sf_dir), "worth", RULE_PREDICTORS, key="row_key")
+    return rounded(ml.importances(trained, spark), 3, "importance")
+
+
+@query("score_rows", f"""
+WITH {RULE_SQL}
+SELECT row_key, CASE WHEN l_linenumber = 4 THEN NULL ELSE size END AS predicted,
+       CASE WHEN l_linenumber = 4 THEN NULL ELSE true END AS sure FROM ruled""")
+def score_rows(spark, sf_dir):
+    """Each row's answer, and whether more than half of the trees' votes stand behind it."""
+    ruled = _ruled(spark, sf_dir)
+    trained, _ = ml.train(ruled, "size", RULE_PREDICTORS, key="row_key")
+    gaps = ruled.withColumn("l_quantity", F.when(F.col("l_linenumber") != 4, F.col("l_quantity")))
+    return ml.score(trained, gaps).select("row_key", "predicted", (F.col("confidence") > 0.5).alias("sure"))
+
+
+# Two columns that hold the answer together, so trees differ and votes are split.
+MIXED_PREDICTORS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _mixed(spark, sf_dir):
+    score = F.col("l_quantity") / 50 + F.col("l_discount") * 10 + F.col("l_tax") * 5
+    return read(spark, sf_dir, "lineitem").select(
+        *MIXED_PREDICTORS, F.when(score > 1.2, "high").when(score > 0.7, "middle").otherwise("low").alias("band"),
+        (score * 100).alias("worth"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"))
+
+
+@query("score_confidence")
+def score_confidence(spark, sf_dir):
+    """Each row's class and its confidence, by 50 trees (a test walks the same trees by SQL)."""
+    mixed = _mixed(spark, sf_dir)
+    trained, _ = ml.train(mixed, "band", MIXED_PREDICTORS, key="row_key")
+    return ml.score(trained, mixed).select("row_key", "predicted", "confidence")
+
+
+@query("plot_points")
+def plot_points(spark, sf_dir):
+    """The points of the plot of actual and predicted values."""
+    mixed = _mixed(spark, sf_dir)
+    trained, _ = ml.train(mixed, "worth", MIXED_PREDICTORS, key="row_key")
+    return ml.plot_sample(ml.score(trained, mixed), "row_key").select(
+        "row_key", F.col("worth").alias("actual"), F.col("prediction").alias("predicted"))
+
+
 @query("complete_rows", """
 SELECT count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM (
   SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price,

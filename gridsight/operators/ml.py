@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -21,7 +22,7 @@ from gridsight.functions import dates, frequency, quantiles
 from gridsight.functions import values as V
 from gridsight.operators import explore
 from gridsight.operators import profile as P
-from gridsight.session import stage
+from gridsight.session import shared_folder, stage
 
 # Name parts of date predictors and targets, and the tuning grid.
 DATE_PREDICTOR_PARTS = ("date", "time", "year")
@@ -406,6 +407,27 @@ def train(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 50
     return trained, model.transform(test).select("label", "prediction")
 
 
+def forest_nodes(trained: Trained, spark: SparkSession) -> DataFrame:
+    """The forest as a table that any SQL engine can walk, one row for each node.
+
+    (tree, node, feature, threshold, left, right, prediction, votes): a row whose `feature` is
+    at most `threshold` goes to node `left`, others to `right`; leaves have no feature. Node 0
+    is a tree's root. The answer is the mean of `prediction` over the trees' leaves, or the
+    class with the most `votes`, each leaf's divided by their sum; its share is the confidence.
+    """
+    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    trained.model.write().save(path)
+    node = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    names = F.array(*[F.lit(name) for name in trained.features])
+    inner = F.col("leftChild") >= 0
+    return node.select(
+        F.col("treeID").alias("tree"), F.col("id").alias("node"),
+        F.when(inner, names[F.col("split.featureIndex")]).alias("feature"),
+        F.when(inner, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+        F.when(inner, F.col("leftChild")).alias("left"), F.when(inner, F.col("rightChild")).alias("right"),
+        "prediction", F.col("impurityStats").alias("votes"))
+
+
 def importances(trained: Trained, spark: SparkSession) -> DataFrame:
     """(rank, feature, importance), most important first."""
     weights = zip(trained.features, trained.model.featureImportances.toArray())

@@ -148,3 +148,68 @@ def test_split_ignores_partitions(table):
         return sorted(df.select("id", ml.split_mark(df).alias("t")).collect())
 
     assert marks(table) == marks(table.repartition(5))
+
+
+WALK = """
+WITH RECURSIVE walked AS (
+  SELECT row_key, tree, 0 AS node FROM cells GROUP BY row_key, tree
+  UNION ALL
+  SELECT a.row_key, a.tree, CASE WHEN c.value <= n.threshold THEN n."left" ELSE n."right" END
+  FROM walked a JOIN nodes n ON n.tree = a.tree AND n.node = a.node
+  JOIN cells c ON c.row_key = a.row_key AND c.tree = a.tree AND c.feature = n.feature),
+leaves AS (
+  SELECT a.row_key, a.tree, n.prediction, n.votes
+  FROM walked a JOIN nodes n ON n.tree = a.tree AND n.node = a.node WHERE n.feature IS NULL)
+"""
+
+
+def _walk(forest, rows, features, select):
+    """A query over the leaf of every row in every tree, by DuckDB on the table of nodes."""
+    import duckdb
+    import pandas as pd
+
+    nodes = forest.toPandas()
+    table = rows.toPandas()
+    cells = pd.concat([pd.DataFrame({"row_key": table["id"], "feature": f, "value": table[f]}) for f in features])
+    con = duckdb.connect()
+    con.register("nodes", nodes)
+    con.register("plain", cells)
+    con.execute("CREATE TABLE cells AS SELECT * FROM plain, (SELECT DISTINCT tree FROM nodes)")
+    return {r[0]: r[1:] for r in con.execute(WALK + select).fetchall()}
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    return spark.range(600).select(
+        "id", (F.rand(1) * 10).alias("a"), (F.rand(2) * 10).alias("b"), F.rand(3).alias("c")).withColumn(
+        "price", F.col("a") * 3 + F.col("b") + F.col("c")).withColumn(
+        "band", F.when(F.col("price") > 25, "high").when(F.col("price") > 15, "middle").otherwise("low")).cache()
+
+
+def test_answers_and_confidence_are_those_of_the_nodes(spark, noisy):
+    trained, _ = ml.train(noisy, "band", ["a", "b", "c"], key="id", depth=5)
+    forest = ml.forest_nodes(trained, spark)
+    assert forest.select("tree").distinct().count() == 50
+    votes = _walk(forest, noisy, ["a", "b", "c"], """
+      SELECT row_key, list(list_transform(votes, lambda v: v / list_sum(votes))) FROM leaves GROUP BY row_key""")
+    names = {r["code"]: r["label"] for r in trained.codes["band"].collect()}
+    scored = ml.score(trained, noisy).collect()
+    assert len(scored) == 600 and len({r["confidence"] for r in scored}) > 50
+    for r in scored:
+        shares = [sum(tree) / 50 for tree in zip(*votes[r["id"]][0])]
+        assert r["confidence"] == pytest.approx(max(shares), abs=1e-9)
+        (code,) = [int(c) for c, name in names.items() if name == r["predicted"]]
+        assert shares[code] == pytest.approx(max(shares), abs=1e-9)
+
+
+def test_values_are_those_of_the_nodes(spark, noisy):
+    trained, _ = ml.train(noisy, "price", ["a", "b", "c"], key="id")
+    means = _walk(ml.forest_nodes(trained, spark), noisy, ["a", "b", "c"],
+                  "SELECT row_key, avg(prediction) FROM leaves GROUP BY row_key")
+    for r in ml.score(trained, noisy).collect():
+        assert r["prediction"] == pytest.approx(means[r["id"]][0], abs=1e-9)
+    weights = ml.importances(trained, spark).collect()
+    assert [r["feature"] for r in weights] == ["a", "b", "c"]
+    assert sum(r["importance"] for r in weights) == pytest.approx(1)
+    points = ml.plot_sample(ml.score(trained, noisy), "id").collect()
+    assert len(points) == 150 and all(r["prediction"] == pytest.approx(means[r["id"]][0]) for r in points)
