@@ -26,6 +26,8 @@ TOP_PAIRS = 10
 #: Pairs of columns that one aggregate of plain sums, and one of own means, holds.
 DIRECT_PAIRS = 40
 FEW_PAIRS = 6
+#: Category columns of one scan; a grouping set has a bit for each.
+MAX_GROUPINGS = 60
 CROSSTAB_ROWS = 30
 COMPARED_COLUMNS = 3
 # Least |r| of a reported pair, and of a strong one.
@@ -289,7 +291,8 @@ def group_stats(df: DataFrame, categories: Sequence[str], numbers: Sequence[str]
                 top: int = TOP_GROUPS) -> DataFrame:
     """Mean, median, sum, count of each number per category value; the best means per pair.
 
-    Means decide which groups are shown, and they combine map-side. Exact
+    Means decide which groups are shown, and they combine map-side; all category columns
+    share one scan, as grouping sets. Exact
     medians are then taken for the shown groups alone, so their number stays
     small however many categories there are.
     """
@@ -297,22 +300,8 @@ def group_stats(df: DataFrame, categories: Sequence[str], numbers: Sequence[str]
     shown: list[tuple] = []
     if not numbers:
         return spark.createDataFrame([], GROUP_SCHEMA)
-    for ci, cat in enumerate(categories):
-        cells = [F.struct(F.lit(ni).alias("num"), V.as_number(df, num).alias("x"))
-                 for ni, num in enumerate(numbers)]
-        label = V.native(df, cat)
-        by_value = df.where(label.isNotNull()).groupBy(label.alias("label")).agg(*[
-            F.struct(F.lit(ni).alias("num"), F.avg(c.getField("x")).alias("mean"),
-                     F.sum(c.getField("x")).alias("sum"),
-                     F.count(c.getField("x")).alias("count")).alias(f"g{ni}")
-            for ni, c in enumerate(cells)])
-        text = V.text_of(F.col("label"), V.family(V.dtype_of(df, cat))).alias("category")
-        flat = by_value.select("label", text, F.explode(F.array(
-            *[F.col(f"g{ni}") for ni in range(len(numbers))])).alias("g")).select(
-            "label", "category", "g.*").where(F.col("count") > 0)
-        best = Window.partitionBy("num").orderBy(F.col("mean").desc(), "category")
-        ranked = flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-        shown += [(ci, r) for r in ranked.collect()]
+    for at in range(0, len(categories), MAX_GROUPINGS):
+        shown += _best_groups(df, categories[at:at + MAX_GROUPINGS], at, numbers, top)
 
     medians = _shown_medians(df, categories, numbers, shown)
     rows = [
@@ -323,6 +312,31 @@ def group_stats(df: DataFrame, categories: Sequence[str], numbers: Sequence[str]
     return spark.createDataFrame(rows, GROUP_SCHEMA)
 
 
+def _best_groups(df, categories, first, numbers, top) -> list[tuple]:
+    """(place of the category column, row) of the groups with the best means, of all columns."""
+    k = len(categories)
+    label = [F.col(f"l{i}") for i in range(k)]
+    narrow = df.select(
+        *[V.native(df, c).alias(f"l{i}") for i, c in enumerate(categories)],
+        *[V.as_number(df, n).alias(f"x{i}") for i, n in enumerate(numbers)])
+    grouped = narrow.groupingSets([[c] for c in label], *label).agg(
+        F.grouping_id().alias("set"), *[
+            F.struct(F.lit(i).alias("num"), F.avg(f"x{i}").alias("mean"), F.sum(f"x{i}").alias("sum"),
+                     F.count(f"x{i}").alias("count")).alias(f"g{i}") for i in range(len(numbers))])
+    # A set's number has a bit for every column it leaves out, the first column's highest.
+    mine = [F.col("set") == F.lit((1 << k) - 1 - (1 << (k - 1 - i))) for i in range(k)]
+    place = F.coalesce(*[F.when(mine[i] & label[i].isNotNull(), F.lit(i)) for i in range(k)])
+    text = F.coalesce(*[F.when(mine[i], V.text_of(label[i], V.family(V.dtype_of(df, c))))
+                        for i, c in enumerate(categories)])
+    flat = (
+        grouped.select(place.alias("cat"), text.alias("category"), *label, F.explode(F.array(
+            *[F.col(f"g{i}") for i in range(len(numbers))])).alias("g"))
+        .select("cat", "category", *label, "g.*").where(F.col("cat").isNotNull() & (F.col("count") > 0)))
+    best = Window.partitionBy("cat", "num").orderBy(F.col("mean").desc(), "category")
+    ranked = flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return [(first + r["cat"], r.asDict() | {"label": r[f"l{r['cat']}"]}) for r in ranked.collect()]
+
+
 def _shown_medians(df, categories, numbers, shown):
     """Exact medians of at most `top` groups for each pair of columns."""
     frames, counts, names = [], {}, {}
