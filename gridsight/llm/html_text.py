@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -68,6 +69,7 @@ PARAGRAPH_SCOPE = frozenset("article aside blockquote body div footer form heade
 FORMATTING = frozenset("a abbr b big cite code em font i mark q s small span strong sub sup tt u".split())
 #: Landmark elements that never hold the article's own text.
 APART = frozenset("nav footer aside form button select textarea dialog menu".split())
+APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 #: Word stems in names of elements, by what they tell.
 HINTS = {
@@ -101,7 +103,8 @@ _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    parent: str
     names: frozenset[str]  # kinds of HINTS around the block
     linked: float  # share of characters inside links
     main: bool = False  # inside article, main or role=main
@@ -137,6 +140,11 @@ def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in page order."""
     out: list[Block] = []
     open_tags: list[_Open] = []
+    # What is open, counted as it opens and closes, so that depth costs a block nothing.
+    tag_counts: Counter[str] = Counter()
+    name_counts: Counter[str] = Counter()
+    role_counts: Counter[str] = Counter()
+    parents = [""]  # open elements that are no mere formatting
     text: list[str] = []
     in_links = 0
     silent = links = 0  # open elements of these kinds
@@ -146,28 +154,45 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                tags = tuple(o.tag for o in open_tags if o.tag not in FORMATTING)
-                names = frozenset().union(*(o.names for o in open_tags)) if open_tags else frozenset()
-                roles = {o.role for o in open_tags}
+                tags = frozenset(tag_counts) - FORMATTING
                 out.append(Block(
-                    words, tags, names, min(1.0, in_links / len(words)),
-                    bool({"article", "main"} & set(tags)) or "main" in roles,
-                    bool(APART & set(tags)) or bool(
-                        roles & {"navigation", "banner", "contentinfo", "complementary", "search", "form",
-                                 "dialog", "alert"})))
+                    words, tags, parents[-1], frozenset(name_counts), min(1.0, in_links / len(words)),
+                    bool({"article", "main"} & tags) or "main" in role_counts,
+                    bool(APART & tags) or not APART_ROLES.isdisjoint(role_counts)))
             text.clear()
         in_links = 0
 
+    def count(element: _Open, step: int) -> None:
+        for counts, keys in ((tag_counts, (element.tag,)), (name_counts, element.names),
+                             (role_counts, (element.role,))):
+            for key in keys:
+                counts[key] += step
+                if not counts[key]:
+                    del counts[key]
+
+    def open_element(tag: str, attributes: str) -> None:
+        element = _Open(tag, *_names(attributes))
+        open_tags.append(element)
+        count(element, 1)
+        if tag not in FORMATTING:
+            parents.append(tag)
+
     def close_to(n: int) -> None:
         nonlocal silent, links
         while len(open_tags) > n:
             if open_tags[-1].tag in BLOCK_TAGS:
                 flush()
-            tag = open_tags.pop().tag
+            gone = open_tags.pop()
+            tag = gone.tag
+            count(gone, -1)
+            if tag not in FORMATTING:
+                parents.pop()
             silent -= tag in SILENT_TAGS
             links -= tag == "a"
 
     def last(wanted: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> int:
+        if not any(t in tag_counts for t in wanted):
+            return -1
         for i in range(len(open_tags) - 1, -1, -1):
             if open_tags[i].tag in wanted:
                 return i
@@ -232,14 +257,12 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else len(page)
             if tag == "textarea":
-                names, role = _names(m.group(3))
-                open_tags.append(_Open(tag, names, role))
+                open_element(tag, m.group(3))
                 say(page[at:stop])
                 close_to(len(open_tags) - 1)
             at = (page.find(">", stop) + 1 or len(page)) if end else len(page)
             continue
-        names, role = _names(m.group(3))
-        open_tags.append(_Open(tag, names, role))
+        open_element(tag, m.group(3))
         silent += tag in SILENT_TAGS
         links += tag == "a"
     flush()
@@ -252,9 +275,8 @@ def features(page: list[Block]) -> list[list[str]]:
     for i, b in enumerate(page):
         words = b.text.split()
         n = len(words)
-        tags = set(b.tags)
-        found = [f"in:{t}" for t in tags] + [f"name:{k}" for k in b.names]
-        found.append(f"parent:{b.tags[-1] if b.tags else ''}")
+        found = [f"in:{t}" for t in b.tags] + [f"name:{k}" for k in b.names]
+        found.append(f"parent:{b.parent}")
         found.append("words:" + str(min(6, n.bit_length())))
         found.append("linked:" + str(int(b.linked * 4)))
         found.append("ends:" + ("stop" if b.text[-1] in ".!?…:;\"”" else "other"))
@@ -431,7 +453,7 @@ def variant(paragraphs: list[str], other: list[str], pick: random.Random) -> lis
     page = ("<html><body>" + some(["notice", "head", "menu", "advert", "form"], 0.6) + opening
             + "".join(inside) + (tail if within else "") + closing + ("" if within else tail)
             + some(["side", "advert", "notice", "foot"], 0.6) + "</body></html>")
-    return [(Block(b.text.replace(_MARK, ""), b.tags, b.names, b.linked, b.main, b.apart), _MARK in b.text)
+    return [(Block(b.text.replace(_MARK, ""), b.tags, b.parent, b.names, b.linked, b.main, b.apart), _MARK in b.text)
             for b in blocks(page)]
 
 

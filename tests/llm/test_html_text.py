@@ -130,3 +130,16 @@ def test_without_labelled_pages():
     model = h.train(h.labelled([]))
     assert h.main_text("<nav><a href=x>a</a></nav><article><p>Some text of the page.</p></article>", model) \
         == "Some text of the page."
+
+
+def test_deep_pages_take_linear_time():
+    """200,000 open elements, with text in each, and end tags that close nothing."""
+    import time
+
+    began = time.time()
+    deep = h.blocks("<article>" + "<div class=story><b>x</b></section>" * 200_000)
+    assert len(deep) == 200_000 and time.time() - began < 60
+    assert deep[-1].tags == {"article", "div"} and deep[-1].parent == "div" and deep[-1].main
+    assert deep[-1].names == {"content"}
+    closed = h.blocks("<nav>" * 1000 + "m" + "</nav>" * 1000 + "<p>free")
+    assert closed[0].apart and not closed[-1].apart and closed[-1].tags == {"p"}
