@@ -52,6 +52,10 @@ def folder(spark: SparkSession, path: str, none: bool = False) -> str:
         (4, "u", "<article>" + "<p>long text here</p>" * 20_000, 1)]
     spark.createDataFrame(pages, "page_id long, url string, html string, text int") \
         .write.parquet(f"{path}/pages.parquet")
+    items = [] if none else [
+        (1, "the cat", 1), (1, "the cat", 1), (2, None, 1), (None, "Words 中文", None), (3, "", 1), (4, "w5 and", 2)]
+    spark.createDataFrame(items, "item_id long, text string, rank int") \
+        .write.parquet(f"{path}/benchmark.parquet")
     nan, inf = float("nan"), float("inf")
     vectors = [] if none else [
         (0, [1.0, 0.5], 1), (50, [0.5, 0.25], 1), (50, [0.5, 0.25], 1), (1, [1.0, 0.5], None),
