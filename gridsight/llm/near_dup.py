@@ -12,9 +12,11 @@ full sets.
 Groups of copies never become all pairs:
 
 * equal sets are one class from the start, so exact copies cost one row each;
-* in every band bucket all classes are compared with its first and its last class only, and
-  links make components;
-* buckets that still hold several components are compared in blocks of BLOCK classes, block
+* every class is compared with one hub, that of the first and last classes of its band buckets
+  which it meets most often, and links make components;
+* in buckets that still hold several components, classes are compared with the first and the
+  last class of the bucket, if these are of another component;
+* buckets that are open even then are compared in blocks of BLOCK classes, block
   pair by block pair in tasks of their own, but only across components. No link between
   different components of a bucket is left untested, whatever the size of the bucket.
 
@@ -22,7 +24,8 @@ Defined results: words are runs of anything but ASCII white space, A-Z lower-cas
 with fewer words than a shingle has its whole sequence as one; a text without words, and a
 null text, has the empty set and is linked with nothing, its component is its own id;
 repeated rows fall into one class; a null id takes part, but never names a component unless
-all ids of the component are null; an empty table gives no rows.
+all ids of the component are null; rows are told apart by id and text, so an id may be reused;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -190,10 +193,16 @@ def _class(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def text_key(text_col: str) -> Column:
+    """Tells the texts of rows apart that share an id, or have none."""
+    return F.xxhash64(F.col(text_col))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int) -> DataFrame:
-    """(id, n_shingles, class, bands, registers); the last three null for empty sets."""
+    """(id, text key, n_shingles, class, bands, registers); the last three null for empty sets."""
     schema = T.StructType([
-        T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_n", T.LongType()),
+        T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_key", T.LongType()),
+        T.StructField("_n", T.LongType()),
         T.StructField("_class", T.BinaryType()),
         T.StructField("_bands", T.ArrayType(T.LongType(), False)),
         T.StructField("_registers", T.BinaryType())])
@@ -212,25 +221,28 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int)
                     else:
                         classes.append(None), keys.append(None), regs.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()),
-                     pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                    [batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)),
+                     pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                      pa.array(regs, pa.binary())],
                     [f.name for f in schema])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(sketch, schema)
+    return docs.select(F.col(id_col), F.col(text_col), text_key(text_col)).mapInArrow(sketch, schema)
 
 
 def class_sets(docs: DataFrame, id_col: str, text_col: str, words: int,
                wanted: DataFrame) -> DataFrame:
-    """(class, set): full shingle sets of the `wanted` (id, class) rows, from their texts."""
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
-        wanted, F.col("_id").eqNullSafe(F.col("_wanted_id"))).select("_text", "_class")
+    """(class, set): full shingle sets of the `wanted` (row: id and key, class), from their texts."""
+    row = F.col("_row")
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+                         text_key(text_col).alias("_key")).join(
+        wanted, (F.col("_key") == row["_key"]) & F.col("_id").eqNullSafe(row["_id"])
+    ).select("_text", "_class")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in _texts(batch.column(0)):
                 classes = batch.column(1).slice(first, len(texts)).to_pylist()
-                # Of rows that share an id, only the class asked for.
+                # Of rows that share an id and a key, only the class asked for.
                 found = [(c, s.view(np.int64)) for c, s in zip(classes, shingle_sets(texts, words))
                          if c == _class(s)]
                 yield pa.RecordBatch.from_arrays(
@@ -394,9 +406,31 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("_node", "_label")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept): components of texts linked at `percent`.
+def _star_links(star: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of the pairs (x, y), each taken once."""
+    pairs = star.select(F.greatest("_x", "_y").alias("_a"), F.least("_x", "_y").alias("_b")).distinct()
+    a = known.select(F.col("_class").alias("_a"), F.col("_registers").alias("_ra"))
+    b = known.select(F.col("_class").alias("_b"), F.col("_registers").alias("_rb"))
+    near = _agreement(pairs.join(a, "_a").join(b, "_b"), percent)
+    return stage(_confirmed(near, sets, percent), "confirmed")
+
+
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, class, first, last, component, size) of buckets that hold several components."""
+    labelled = (
+        shared.join(labels, F.col("_class") == F.col("_node"), "left")
+        .select("_bucket", "_class", "_first", "_last",
+                F.coalesce("_label", "_class").alias("_component")))
+    several = labelled.groupBy("_bucket").agg(
+        F.min("_component").alias("_least"), F.max("_component").alias("_most"),
+        F.count(F.lit(1)).alias("_size")).where(F.col("_least") < F.col("_most"))
+    return labelled.join(several.select("_bucket", "_size"), "_bucket")
+
+
+def labelled_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text key, n_shingles, class, label) of every row; label: a class that stands for the
+    component, null without words.
 
     `docs` is read twice: once for the sketches, once for the texts of classes that share a
     bucket with another class.
@@ -412,41 +446,53 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     crowd = shared.select("_class").distinct()
     known = stage(
         filled.join(crowd, "_class", "left_semi")
-        .groupBy("_class").agg(F.min("_id").alias("_wanted_id"), F.first("_registers").alias("_registers"),
+        .groupBy("_class").agg(F.min(F.struct("_id", "_key")).alias("_row"),
+                               F.first("_registers").alias("_registers"),
                                F.first("_bands").alias("_bands")), "classes")
-    sets = stage(class_sets(docs, id_col, text_col, words, known.select("_wanted_id", "_class"))
+    sets = stage(class_sets(docs, id_col, text_col, words, known.select("_row", "_class"))
                  .dropDuplicates(["_class"]), "sets")
 
-    star = (
+    # One hub for each class: the one it shares most buckets with is the likeliest to be linked.
+    hubs = (
         shared.select(F.col("_class").alias("_x"), F.explode(F.array("_first", "_last")).alias("_y"))
         .where(F.col("_x") != F.col("_y"))
-        .select(F.greatest("_x", "_y").alias("_a"), F.least("_x", "_y").alias("_b")).distinct())
-    a = known.select(F.col("_class").alias("_a"), F.col("_registers").alias("_ra"))
-    b = known.select(F.col("_class").alias("_b"), F.col("_registers").alias("_rb"))
-    near = _agreement(star.join(a, "_a").join(b, "_b"), percent)
-    links = stage(_confirmed(near, sets, percent), "confirmed")
+        .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_met"))
+        .groupBy("_x").agg(F.max(F.struct("_met", "_y")).alias("_hub"))
+        .select("_x", F.col("_hub")["_y"].alias("_y")))
+    links = _star_links(hubs, known, sets, percent)
     labels = components(links)
 
-    # Buckets that the first links left in several components.
-    labelled = (
-        shared.select("_bucket", "_class")
-        .join(labels, F.col("_class") == F.col("_node"), "left")
-        .select("_bucket", "_class", F.coalesce("_label", "_class").alias("_component")))
-    open_buckets = labelled.groupBy("_bucket").agg(
-        F.min("_component").alias("_least"), F.max("_component").alias("_most"),
-        F.count(F.lit(1)).alias("_size")).where(F.col("_least") < F.col("_most")).select(
-        "_bucket", F.ceil(F.col("_size") / BLOCK).alias("_blocks"))
+    # What that left open meets both ends of its buckets, across components only.
+    apart = _open(shared, labels)
+    end = (
+        apart.select(F.col("_class").alias("_x"), F.col("_component").alias("_of"),
+                     F.explode(F.array("_first", "_last")).alias("_y")).distinct()
+        .join(labels.select(F.col("_node").alias("_y"), F.col("_label").alias("_other")), "_y", "left")
+        .where(F.col("_of") != F.coalesce("_other", "_y")))
+    more = _star_links(end, known, sets, percent)
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
+
+    # Buckets that are open even now, in blocks.
     rest = (
-        labelled.join(open_buckets, "_bucket")
+        _open(shared, labels)
+        .select("_bucket", "_class", "_component", F.ceil(F.col("_size") / BLOCK).alias("_blocks"))
         .join(known.select("_class", "_registers", "_bands"), "_class"))
     more = stage(_block_links(_open_rows(rest, percent), sets, percent), "confirmed")
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    labelled = stage(
-        sketched.select("_id", "_n", "_class")
+    return stage(
+        sketched.select("_id", "_key", "_n", "_class")
         .join(labels, F.col("_class") == F.col("_node"), "left")
-        .select("_id", "_n", F.coalesce("_label", "_class").alias("_label")), "labelled")
+        .select("_id", "_key", "_n", "_class", F.coalesce("_label", "_class").alias("_label")), "labelled")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept): components of texts linked at `percent`."""
+    labelled = labelled_rows(docs, words, percent, id_col, text_col)
     least = stage(labelled.where(F.col("_label").isNotNull())
                   .groupBy(F.col("_label").alias("_of")).agg(F.min("_id").alias("_least")), "least")
     named = labelled.join(least, F.col("_label") == F.col("_of"), "left")
@@ -458,17 +504,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of `docs` for each component: that with the component's id, once.
+    """One row of `docs` for each component: the first by id (null last), shingles and text.
 
-    Rows without an id cannot be told apart from others by it, and stay.
+    Rows are told apart by id and text: a reused id takes nothing away from other texts, and
+    rows without an id are copies like any other. Texts without words stay, repeated ones of
+    one id once.
     """
-    dropped = near_duplicates(docs, words, percent, id_col, text_col).where(
-        ~F.col("kept") & F.col(id_col).isNotNull())
-    name = fresh(docs.columns, "_gone")
-    gone = dropped.select(F.col(id_col).alias(name)).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionAll(
-        left.where(F.col(id_col).isNull()))
+    labelled = labelled_rows(docs, words, percent, id_col, text_col)
+    rows = labelled.groupBy("_id", "_key", "_class", "_label").agg(F.count(F.lit(1)).alias("_copies"))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_class", "_key")
+    first = stage(rows.where(F.col("_label").isNotNull()).groupBy(F.col("_label").alias("_of"))
+                  .agg(F.min(order).alias("_first")), "first")
+    told = rows.join(first, F.col("_label") == F.col("_of"), "left").select(
+        "_id", "_key", (F.col("_label").isNotNull() & (order != F.col("_first"))).alias("_gone"),
+        ((F.col("_copies") > 1) & (F.col("_label").isNotNull() | F.col("_id").isNotNull())).alias("_again"))
+    told = stage(told.where(F.coalesce(F.col("_gone"), F.lit(False)) | F.col("_again")), "told")
+
+    names = {c: fresh(docs.columns, c) for c in ("_of_id", "_of_key", "_out", "_repeats")}
+    verdicts = told.select(
+        F.col("_id").alias(names["_of_id"]), F.col("_key").alias(names["_of_key"]),
+        F.col("_gone").alias(names["_out"]), F.col("_again").alias(names["_repeats"]))
+    judged = docs.join(
+        verdicts, (text_key(text_col) == F.col(names["_of_key"]))
+        & F.col(id_col).eqNullSafe(F.col(names["_of_id"])), "left")
+    stays = ~F.coalesce(F.col(names["_out"]), F.lit(False))
+    repeats = F.coalesce(F.col(names["_repeats"]), F.lit(False))
+    return judged.where(stays & ~repeats).select(*docs.columns).unionAll(
+        judged.where(stays & repeats).dropDuplicates([names["_of_id"], names["_of_key"]])
+        .select(*docs.columns))
 
 
 ORACLE = r"""

@@ -105,3 +105,30 @@ def test_one_of_each(spark):
     assert kept.columns == docs.columns
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted(
         [1, 3, 4, 5, 6, 7, 8, None, 10], key=str)  # 8 and 9 have the same words
+
+
+def test_one_of_each_tells_rows_apart_by_id_and_text(spark):
+    x, y, z = (" ".join(f"{name}{i}" for i in range(40)) for name in "xyz")
+    rows = [(1, x), (2, x), (2, y), *[(None, z)] * 5, (7, z + " more"), (None, y), (3, None), (3, None), (None, "")]
+    left = nd.one_of_each(corpus_cases.plain(spark, rows), 5, 80).collect()
+    assert sorted([tuple(r) for r in left], key=str) == sorted(
+        [(1, x), (2, y), (7, z + " more"), (3, None), (None, "")], key=str)
+    # Without any id one row of the group stays all the same.
+    left = nd.one_of_each(corpus_cases.plain(spark, [(None, z)] * 5 + [(None, z + " more")]), 5, 80).collect()
+    assert len(left) == 1
+
+
+def test_a_group_of_near_copies_needs_about_one_pair_each(spark, monkeypatch):
+    pick = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    docs = corpus_cases.plain(spark, [(i, " ".join(edited(base, pick, 2))) for i in range(300)])
+    pairs, confirm = [], nd._confirmed
+
+    def counting(near, sets, percent):
+        pairs.append(near.count())
+        return confirm(near, sets, percent)
+
+    monkeypatch.setattr(nd, "_confirmed", counting)
+    found = nd.near_duplicates(docs, 3, 85)
+    assert {r.component_id for r in found.collect()} == {0}
+    assert sum(pairs) < 2 * 300
