@@ -17,12 +17,16 @@ repeated elsewhere.
 Defined results: vectors that are null or hold a null or non-finite component, and rows
 without an id, take no part; repeated rows count once; shorter vectors count as padded with
 zeros; ties go to the smaller id; with fewer candidates than k all are returned; an empty
-table gives no rows. Components must stay below 2**31 after scaling.
+table gives no rows. Where products may leave the whole numbers of a double (2**53), points
+whose rounded score could be among the best are scored once more in whole numbers, and scores
+travel as decimals; one that does not fit a long is returned as null, at its right rank.
+Components beyond 2**60 after scaling count as 2**60.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,10 @@ LEAF = 32
 #: Points multiplied out at once for a query leaf: few at first, for a k-th score to prune by.
 FIRST_BATCH = 128
 BATCH = 4096
+#: Relative rounding error allowed for in sums of products of doubles.
+SLACK = 1e-11
+#: Largest component after scaling, so that sums of products fit a decimal of 38 digits.
+LARGEST = 2 ** 60
 
 NODE = np.dtype([("centre", "<i4"), ("radius", "<f8"), ("child", "<i4"), ("child_end", "<i4"),
                  ("point", "<i4"), ("point_end", "<i4")])
@@ -52,11 +60,9 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, nodes): `points[order]` puts the points of every node next to each other;
     nodes hold rows of that order and ranges of their children. Node 0 is the root."""
     n = len(points)
-    square = (points * points).sum(axis=1)
 
     def distances(rows: np.ndarray, centre: int) -> np.ndarray:
-        d = square[rows] - 2 * (points[rows] @ points[centre]) + square[centre]
-        return np.sqrt(np.maximum(d, 0))
+        return np.sqrt(((points[rows] - points[centre]) ** 2).sum(axis=1))
 
     order = np.empty(n, np.int64)
     every = np.arange(n)
@@ -94,23 +100,40 @@ class Tree:
     """A block's points in tree order, its nodes, and the first id of each point."""
 
     def __init__(self, points: np.ndarray, nodes: np.ndarray, ids: np.ndarray):
-        self.points, self.nodes, self.ids = points.astype(np.float64), nodes, ids
+        self.whole, self.nodes, self.ids = points, nodes, ids
+        self.points = points.astype(np.float64)
+        self.lengths = np.sqrt((self.points ** 2).sum(axis=1))
         self.centres = self.points[nodes["centre"]]
-        self.norms = np.sqrt((self.centres ** 2).sum(axis=1))
-        self.radii = nodes["radius"] * (1 + 1e-9)
+        self.norms = self.lengths[nodes["centre"]]
+        self.radii = nodes["radius"] * (1 + 1e-9) + SLACK * self.lengths.max(initial=0)
 
 
 class Best:
-    """The k best (score, id, point) of every query point so far."""
+    """The k best (score, id, point) of every query point so far; whole numbers if `wide`."""
 
-    def __init__(self, n: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor  # floor: a k-th score known from elsewhere
-        self.scores = np.full((n, k), -np.inf)
+    def __init__(self, n: int, k: int, floor: np.ndarray, wide: bool = False):
+        self.k, self.floor, self.wide = k, floor, wide  # floor: a k-th score known from elsewhere
+        self.scores = np.full((n, k), -np.inf, object if wide else np.float64)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
         self.points = np.full((n, k), -1)
 
     def worst(self, lo: int, hi: int) -> np.ndarray:
-        return np.maximum(self.scores[lo:hi, -1], self.floor[lo:hi])
+        return np.maximum(self.scores[lo:hi, -1].astype(np.float64), self.floor[lo:hi])
+
+    def meet(self, queries: Tree, lo: int, hi: int, data: Tree, rows: np.ndarray) -> None:
+        """Offer the points `rows` of `data` to the query points lo to hi."""
+        scores = queries.points[lo:hi] @ data.points[rows].T
+        if not self.wide:
+            self.offer(lo, scores, data.ids[rows], rows)
+            return
+        doubt = SLACK * queries.lengths[lo:hi, None] * data.lengths[rows]
+        worst = self.worst(lo, hi)
+        for i in range(hi - lo):
+            low, high = scores[i] - doubt[i], scores[i] + doubt[i]
+            least = np.partition(low, -self.k)[-self.k] if len(rows) > self.k else -np.inf
+            near = rows[high >= max(worst[i] - SLACK * abs(worst[i]), least)]
+            exact = data.whole[near].astype(object) @ queries.whole[lo + i].astype(object)
+            self._keep(lo + i, exact, data.ids[near], near)
 
     def offer(self, lo: int, scores: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
         worst = self.worst(lo, lo + len(scores))
@@ -120,11 +143,17 @@ class Best:
             if len(row) > 8 * self.k:
                 least = max(least, np.partition(row, -self.k)[-self.k])
             new = np.flatnonzero(row >= least)
-            s = np.concatenate([self.scores[lo + i], row[new]])
-            j = np.concatenate([self.ids[lo + i], ids[new]])
-            p = np.concatenate([self.points[lo + i], points[new]])
+            self._keep(lo + i, row[new], ids[new], points[new])
+
+    def _keep(self, at: int, scores: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
+        s = np.concatenate([self.scores[at], scores])
+        j = np.concatenate([self.ids[at], ids])
+        p = np.concatenate([self.points[at], points])
+        if self.wide:
+            top = sorted(range(len(s)), key=lambda x: (-s[x], j[x]))[:self.k]
+        else:
             top = np.lexsort((j, -s))[:self.k]
-            self.scores[lo + i], self.ids[lo + i], self.points[lo + i] = s[top], j[top], p[top]
+        self.scores[at], self.ids[at], self.points[at] = s[top], j[top], p[top]
 
 
 def walk(queries: Tree, data: Tree, best: Best) -> None:
@@ -136,7 +165,8 @@ def walk(queries: Tree, data: Tree, best: Best) -> None:
         lo, hi = int(q_nodes["point"][q]), int(q_nodes["point_end"][q])
         bound = (data.centres[pairs] @ queries.centres[q] + queries.norms[q] * data.radii[pairs]
                  + queries.radii[q] * (data.norms[pairs] + data.radii[pairs]))
-        bound += 1e-9 * np.abs(bound) + 0.5  # against rounding; scores are whole numbers
+        # Against rounding, of the bound and of large scores; scores are whole numbers.
+        bound += 1e-9 * np.abs(bound) + 0.5 + SLACK * data.norms[pairs] * queries.norms[q]
         keep = bound >= best.worst(lo, hi).min()
         pairs, bound = pairs[keep], bound[keep]
         if not len(pairs):
@@ -163,12 +193,15 @@ def walk(queries: Tree, data: Tree, best: Best) -> None:
             part = leaves[at:to]
             rows = np.concatenate([np.arange(a, b) for a, b in zip(
                 d_nodes["point"][part].tolist(), d_nodes["point_end"][part].tolist())])
-            best.offer(lo, queries.points[lo:hi] @ data.points[rows].T, data.ids[rows], rows)
+            best.meet(queries, lo, hi, data, rows)
             at, batch = to, min(BATCH, 4 * batch)
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * factor))
+    """floor(factor * x) of every component, within -LARGEST and LARGEST."""
+    edge = float(LARGEST)
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-edge), F.least(
+        F.lit(edge), x.cast("double") * factor))))
 
 
 def usable(vector: Column) -> Column:
@@ -206,7 +239,12 @@ def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _blocks(points: DataFrame, size: int, width: int, label: str) -> DataFrame:
+def _bytes(wide: bool) -> str:
+    """The type of stored components."""
+    return "<i8" if wide else "<i4"
+
+
+def _blocks(points: DataFrame, size: int, width: int, wide: bool, label: str) -> DataFrame:
     """One row per block: (cell, part, vectors, ids, first ids, nodes), in tree order.
 
     Cells are cut by hash into parts of about `size` points, so no group grows with the data.
@@ -232,7 +270,7 @@ def _blocks(points: DataFrame, size: int, width: int, label: str) -> DataFrame:
         take = pa.array(order)
         return pa.table({
             "_cell": table["_cell"].slice(0, 1), "_part": table["_part"].slice(0, 1),
-            "_points": pa.array([points[order].astype("<i4").tobytes()], pa.binary()),
+            "_points": pa.array([points[order].astype(_bytes(wide)).tobytes()], pa.binary()),
             "_vecs": pa.array([vectors.take(take).to_pylist()], pa.list_(pa.list_(pa.int64()))),
             "_ids": pa.array([table["_ids"].chunk(0).take(take).to_pylist()],
                              pa.list_(pa.list_(pa.int64()))),
@@ -241,16 +279,19 @@ def _blocks(points: DataFrame, size: int, width: int, label: str) -> DataFrame:
     return stage(parted.groupBy("_cell", "_part").applyInArrow(build, schema), label)
 
 
-def _walked(pairs: DataFrame, k: int, width: int) -> DataFrame:
+def _walked(pairs: DataFrame, k: int, width: int, wide: bool) -> DataFrame:
     """Walk every row's two blocks: (vec, score, ids) of the best points, and per query
     point at most k of them. `_floors` holds a known k-th score for each query point."""
     schema = T.StructType([
         T.StructField("_q_cell", T.IntegerType()), T.StructField("_q_part", T.LongType()),
-        T.StructField("_at", T.IntegerType()), T.StructField("_score", T.LongType()),
+        T.StructField("_at", T.IntegerType()),
+        T.StructField("_score", T.DecimalType(38, 0) if wide else T.LongType()),
         T.StructField("_ids", T.ArrayType(T.LongType()))])
 
+    stored = np.dtype(_bytes(wide))
+
     def tree(points: bytes, nodes: bytes, ids: list[list[int]]) -> Tree:
-        return Tree(np.frombuffer(points, "<i4").reshape(-1, width), np.frombuffer(nodes, NODE),
+        return Tree(np.frombuffer(points, stored).reshape(-1, width), np.frombuffer(nodes, NODE),
                     np.array([x[0] for x in ids], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,17 +299,18 @@ def _walked(pairs: DataFrame, k: int, width: int) -> DataFrame:
             for row in range(batch.num_rows):
                 r = {f: batch.column(f)[row].as_py() for f in batch.schema.names}
                 # Query points need no ids in a walk.
-                n = len(r["_q_points"]) // (4 * width)
+                n = len(r["_q_points"]) // (stored.itemsize * width)
                 queries = tree(r["_q_points"], r["_q_nodes"], [[0]] * n)
                 data = tree(r["_points"], r["_nodes"], r["_ids"])
                 floor = np.array(r["_floors"] or [], np.float64)
-                best = Best(n, k, floor if len(floor) else np.full(n, -np.inf))
+                best = Best(n, k, floor if len(floor) else np.full(n, -np.inf), wide)
                 walk(queries, data, best)
                 at, rank = np.nonzero(best.points >= 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["_q_cell"]] * len(at), pa.int32()),
                      pa.array([r["_q_part"]] * len(at), pa.int64()), pa.array(at, pa.int32()),
-                     pa.array(best.scores[at, rank].astype(np.int64), pa.int64()),
+                     pa.array([Decimal(s) for s in best.scores[at, rank].tolist()], pa.decimal128(38, 0))
+                     if wide else pa.array(best.scores[at, rank].astype(np.int64), pa.int64()),
                      pa.array([r["_ids"][p] for p in best.points[at, rank].tolist()],
                               pa.list_(pa.int64()))], [f.name for f in schema])
 
@@ -290,12 +332,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec
         vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("_id"), scaled(F.col(vec_col)).alias("_vec"),
                 F.coalesce(is_query, F.lit(False)).alias("_asks")), "vectors")
-    size = rows.agg(F.max(F.size("_vec")).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    size = rows.agg(
+        F.max(F.size("_vec")).alias("width"), F.count(F.lit(1)).alias("n"),
+        F.max(F.array_max(F.transform("_vec", F.abs))).alias("most")).first()
     result = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()),
                            T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     if not size["n"]:
         return rows.sparkSession.createDataFrame([], result)
     width = max(1, size["width"])
+    wide = width * (size["most"] or 0) ** 2 >= 2 ** 53
 
     # One point for equal vectors, with their smallest ids; the limit runs before the shuffle.
     same = Window.partitionBy("_vec").orderBy("_id")
@@ -309,9 +354,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec
     for pivot, row in zip(pivots, chosen):
         pivot[:len(row["_vec"])] = row["_vec"]
 
-    data = _blocks(_celled(points, pivots, width), block, width, "data-blocks")
+    data = _blocks(_celled(points, pivots, width), block, width, wide, "data-blocks")
     asking = rows.where("_asks").select("_vec").distinct().withColumn("_ids", F.array(F.lit(0).cast("long")))
-    asked = _blocks(_celled(asking, pivots, width), query_block, width, "query-blocks")
+    asked = _blocks(_celled(asking, pivots, width), query_block, width, wide, "query-blocks")
     q_side = asked.select(
         F.col("_cell").alias("_q_cell"), F.col("_part").alias("_q_part"),
         F.col("_points").alias("_q_points"), F.col("_nodes").alias("_q_nodes"))
@@ -321,7 +366,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec
         q_side.join(d_side.where(F.col("_part") == 0), F.col("_q_cell") == F.col("_cell"))
         .withColumn("_floors", F.lit(None).cast("array<double>")))
     key = ["_q_cell", "_q_part", "_at"]
-    found = stage(_walked(home, deep, width), "home")
+    found = stage(_walked(home, deep, width, wide), "home")
     kth = (
         _first(found.withColumn("_id", F.explode("_ids")), key, deep)
         .where(F.col("_rank") == deep).select(*key, F.col("_score").alias("_kth")))
@@ -339,7 +384,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec
         .join(d_side, "_cell").where((F.col("_cell") != F.col("_q_cell")) | (F.col("_part") != 0))
         .join(q_side, ["_q_cell", "_q_part"])
         .repartition("_q_cell", "_q_part", "_cell", "_part"))
-    walked = found.union(_walked(pairs, deep, width))
+    walked = found.union(_walked(pairs, deep, width, wide))
 
     best = _first(walked.withColumn("_id", F.explode("_ids")), key, deep)
     of_point = best.groupBy(*key).agg(F.collect_list(F.struct("_score", "_id")).alias("_best"))
@@ -354,7 +399,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec
             lambda b: b["id"] != F.col("_id")).alias("_top")))
     return own.select("query_id", F.posexplode(F.slice("_top", 1, k)).alias("rank", "_hit")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), F.col("_hit")["id"].alias("vec_id"),
-        (-F.col("_hit")["down"]).alias("score"))
+        (-F.col("_hit")["down"]).try_cast("long").alias("score"))
 
 
 ORACLE = """

@@ -32,6 +32,26 @@ def test_matches_brute_force(spark, kind):
     assert [tuple(r) for r in got.collect()] == brute(rows, 10, 5)
 
 
+@pytest.mark.parametrize("size", [1e7, 1e12])
+def test_large_components_are_exact(spark, size):
+    pick = random.Random(11)
+    rows = [(i, [float(pick.choice([0.5, 1.0, size, -size, size + pick.randint(0, 3)])) for _ in range(3)])
+            for i in range(200)]
+    rows += [(200, [1.0, 0.0, 0.0]), (201, [size, 0.0, 0.0]), (202, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, block=40, query_block=9).orderBy("query_id", "rank")
+    fits = [(q, n, j, s if -2 ** 63 <= s < 2 ** 63 else None) for q, n, j, s in brute(rows, 10, 5)]
+    assert [tuple(r) for r in got.collect()] == fits
+
+
+def test_a_large_component_wins(spark):
+    rows = [(0, [1.0]), (1, [1e7]), (2, [2.0]), (3, [0.5]), (4, [1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [
+        (4, None), (1, 655360000000), (2, 131072), (3, 32768)]
+
+
 def test_trees_cover_their_points():
     points = np.random.default_rng(5).integers(-100, 100, (700, 4)).astype(float)
     order, nodes = topk.cover_tree(points)
