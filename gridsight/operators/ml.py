@@ -30,6 +30,9 @@ DATE_TARGET_PARTS = ("date", "time")
 TREE_GRID = (10, 50, 100)
 DEPTH_GRID = (5, 10, None)
 FOLDS = 3
+# Tasks that the learner sees: they must not depend on how the input was cut.
+ROWS_PER_TASK = 100_000
+LEAST_TASKS = 8
 SEED = 42
 MIN_ROWS = 10
 FEWEST_VALUES = 5
@@ -378,8 +381,10 @@ def train(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 50
     else:
         labelled = rows.withColumn("label", V.as_number(rows, target))
     marked = labelled.withColumn("is_test", split_mark(rows, key))
-    data = stage(_assembled(marked, plan, codes).select("features", "label", "is_test"),
-                 "features")
+    place = F.xxhash64(*[V.as_text(rows, c) for c in ([key] if key else used)])
+    data = stage(_assembled(marked.withColumn("__place", place), plan, codes).select(
+        "features", "label", "is_test", "__place"), "features")
+    data = _laid_out(data)
     if classify:  # the learner takes the number of classes from here
         classes = codes[target].count()
         data = data.withColumn("label", F.col("label").alias("label", metadata={
@@ -396,7 +401,11 @@ def train(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 50
                  else RegressionEvaluator(metricName="r2"))
         search = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=judge,
                                 numFolds=FOLDS, parallelism=parallelism, seed=SEED)
-        fitted = search.fit(training)
+        folds = training.withColumn("fold", F.pmod(
+            F.xxhash64(F.lit(SEED), "__place"), F.lit(FOLDS)).cast("int"))
+        if folds.select("fold").distinct().count() == FOLDS:  # else too few keys to go round
+            search.setFoldCol("fold")
+        fitted = search.fit(folds)
         model = fitted.bestModel
         params |= {"trees": model.getNumTrees, "depth": model.getOrDefault("maxDepth"),
                    "scores": list(fitted.avgMetrics)}
@@ -407,6 +416,13 @@ def train(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 50
     return trained, model.transform(test).select("label", "prediction")
 
 
+def _laid_out(data: DataFrame) -> DataFrame:
+    """The same rows in the same tasks and order, however the input was cut: the learner draws
+    its bags by task and place. The number of tasks follows the number of rows."""
+    tasks = max(LEAST_TASKS, -(-data.count() // ROWS_PER_TASK))
+    return data.repartition(tasks, "__place").sortWithinPartitions("__place", "label")
+
+
 def forest_nodes(trained: Trained, spark: SparkSession) -> DataFrame:
     """The forest as a table that any SQL engine can walk, one row for each node.
 

@@ -213,3 +213,18 @@ def test_values_are_those_of_the_nodes(spark, noisy):
     assert sum(r["importance"] for r in weights) == pytest.approx(1)
     points = ml.plot_sample(ml.score(trained, noisy), "id").collect()
     assert len(points) == 150 and all(r["prediction"] == pytest.approx(means[r["id"]][0]) for r in points)
+
+
+def test_grid_scores_do_not_depend_on_partitions(spark, table):
+    def scores(df):
+        trained, _ = ml.train(df, "price", ["a", "kind"], tune=True, key="id", tree_grid=(3, 5),
+                              depth_grid=(2, 5), parallelism=2)
+        return trained.params["scores"]
+
+    assert scores(table.repartition(1)) == pytest.approx(scores(table.repartition(40)), abs=1e-12)
+
+
+def test_grid_with_too_few_keys_for_all_folds(spark, table):
+    trained, _ = ml.train(table.withColumn("id", F.col("id") % 2), "price", ["a"], tune=True, key="id",
+                          tree_grid=(2,), depth_grid=(2,))
+    assert len(trained.params["scores"]) == 1
