@@ -18,8 +18,9 @@ FILL_TEXT = "Unknown"
 IMPUTATIONS = ("auto", "mean", "median", "disabled")
 HIGH_NULL_PCT = 80
 
-# Rows per range that one fill-forward task sorts.
+# Rows per range that one fill-forward task sorts, and the most ranges; beyond them ranges grow.
 ROWS_PER_RANGE = 1_000_000
+MOST_RANGES = 4096
 
 LOG_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -119,28 +120,30 @@ def fill_forward_backward(df: DataFrame, columns: Sequence[str], order_by: str,
                           ranges: int | None = None) -> DataFrame:
     """Missing cells take the last earlier value by `order_by`, leading ones the first later.
 
-    The table is sorted into even ranges of the (unique) order key, compared in its
-    own type, and written, so that ranges cannot change later. A window runs inside
-    each range only; what enters a range from earlier ones comes from a table with
-    one row per range. Their number follows the number of rows.
+    The key and the columns to fill, nothing else, are sorted into even ranges of the
+    (unique) order key, compared in its own type, and written, so that ranges cannot
+    change later. A window runs inside each range only; what enters a range from earlier
+    ones comes from a table with one row per range, of at most MOST_RANGES rows. The
+    filled cells of rows with gaps are then looked up by key: few of them are broadcast
+    by Spark, so that other columns stay where they are.
     """
     columns = list(columns)
     if not columns:
         return df
     key = V.col(order_by)
     if ranges is None:
-        ranges = max(1, -(-df.count() // ROWS_PER_RANGE))
-    rows = stage(df.repartitionByRange(ranges, key).withColumn(
+        ranges = _ranges(df.count())
+    places = range(len(columns))
+    present = {c: V.present(df, c) for c in columns}
+    narrow = df.select(key.alias("__key"), *[present[c].alias(f"__v{i}") for i, c in enumerate(columns)])
+    rows = stage(narrow.repartitionByRange(ranges, "__key").withColumn(
         "__range", F.spark_partition_id()), "ranges")
 
-    present = {c: V.present(df, c) for c in columns}
+    where = [F.when(F.col(f"__v{i}").isNotNull(), F.col("__key")) for i in places]
     ends = rows.groupBy("__range").agg(
-        *[F.max_by(present[c], F.when(present[c].isNotNull(), key)).alias(f"__l{i}")
-          for i, c in enumerate(columns)],
-        *[F.min_by(present[c], F.when(present[c].isNotNull(), key)).alias(f"__f{i}")
-          for i, c in enumerate(columns)],
+        *[F.max_by(f"__v{i}", where[i]).alias(f"__l{i}") for i in places],
+        *[F.min_by(f"__v{i}", where[i]).alias(f"__f{i}") for i in places],
     )
-    # One row for each million rows of the table.
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("__range").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
@@ -149,17 +152,26 @@ def fill_forward_backward(df: DataFrame, columns: Sequence[str], order_by: str,
         "__range",
         *[F.coalesce(F.last(f"__l{i}", ignorenulls=True).over(earlier),
                      F.first(f"__f{i}", ignorenulls=True).over(whole)).alias(f"__c{i}")
-          for i in range(len(columns))],
+          for i in places],
     )
-    inside = Window.partitionBy("__range").orderBy(key).rowsBetween(
+    inside = Window.partitionBy("__range").orderBy("__key").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(carried, "__range")
-    return joined.select(*[
-        F.coalesce(F.last(present[c], ignorenulls=True).over(inside),
-                   F.col(f"__c{columns.index(c)}")).alias(c) if c in present else V.col(c)
+    gap = frequency.any_of([F.col(f"__v{i}").isNull() for i in places])
+    filled = rows.select("*", *[
+        F.last(f"__v{i}", ignorenulls=True).over(inside).alias(f"__w{i}") for i in places])
+    fills = stage(
+        filled.where(gap).join(carried, "__range")
+        .select("__key", *[F.coalesce(f"__w{i}", f"__c{i}").alias(f"__w{i}") for i in places])
+        .dropDuplicates(["__key"]), "fills")
+    return df.join(fills, key.eqNullSafe(F.col("__key")), "left").select(*[
+        F.coalesce(present[c], F.col(f"__w{columns.index(c)}")).alias(c) if c in present else V.col(c)
         for c in df.columns])
 
 
+def _ranges(rows: int) -> int:
+    return min(MOST_RANGES, max(1, -(-rows // ROWS_PER_RANGE)))
+
+
 # --- outliers -------------------------------------------------------------------------------
 
 def outlier_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5,
@@ -269,7 +281,7 @@ def clean(df: DataFrame, profile: DataFrame, imputation: str = "auto",
     if moments:
         if order_by is None:
             raise ValueError(f"date columns {moments} need order_by to be filled")
-        ranges = max(1, -(-kept // ROWS_PER_RANGE))
+        ranges = _ranges(kept)
         filled = fill_forward_backward(filled, moments, order_by, ranges)
 
     for c, n in gaps.items():
