@@ -86,6 +86,14 @@ def pivot_sum(spark, sf_dir):
     return _pivot(spark, sf_dir, "sum")
 
 
+@query("pivot_cells", """
+SELECT o_orderpriority AS "row", o_orderkey AS "column", sum(o_totalprice) AS cell
+FROM orders GROUP BY o_orderpriority, o_orderkey""")
+def pivot_cells(spark, sf_dir):
+    """One column for each order: more than a wide pivot holds."""
+    return explore.pivot_cells(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", "o_totalprice")
+
+
 @query("pivot_mean", _pivot_sql("avg({x})", 4))
 def pivot_mean(spark, sf_dir):
     return _pivot(spark, sf_dir, "mean", 4)

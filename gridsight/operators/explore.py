@@ -176,20 +176,29 @@ def _axis(df, row, column, value, how, cells) -> DataFrame:
     return df.where(frequency.all_of(filled)).select(V.col(column).alias("k1")).distinct()
 
 
+def pivot_cells(df: DataFrame, row: str, column: str, value: str, how: str = "sum") -> DataFrame:
+    """(row, column, cell): the filled cells of a pivot as a long table, of any width."""
+    return _grouped(df, [row, column], value, how).where(F.col("cell").isNotNull()).select(
+        F.col("k0").alias("row"), F.col("k1").alias("column"), "cell")
+
+
 def pivot(df: DataFrame, row: str, column: str, value: str, how: str = "sum") -> DataFrame:
     """Row by column matrix of an aggregate; missing cells are 0, both axes sorted.
 
     Cells are aggregated first, so the pivot itself sees one row per cell. Rows
-    and columns without any cell are dropped.
+    and columns without any cell are dropped. Wider ones than Spark's limit of pivot
+    columns are to be had as `pivot_cells`.
     """
-    cells = _grouped(df, [row, column], value, how).where(F.col("cell").isNotNull())
+    cells = pivot_cells(df, row, column, value, how).select(
+        F.col("row").alias("k0"), F.col("column").alias("k1"), "cell")
     kind = V.family(V.dtype_of(df, column))
     label = V.text_of(F.col("k1").cast(kind), kind)
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     axis = (_axis(df, row, column, value, how, cells)
             .select("k1", label.alias("label")).orderBy("k1").limit(limit + 1).collect())
     if len(axis) > limit:
-        raise ValueError(f"'{column}' has more than {limit} values (spark.sql.pivotMaxValues)")
+        raise ValueError(f"'{column}' has more than {limit} values (spark.sql.pivotMaxValues); "
+                         "pivot_cells has no limit")
     labels = [r["label"] for r in axis]
     wide = cells.select("k0", label.alias("label"), "cell").groupBy("k0").pivot(
         "label", labels).agg(F.first("cell")) if labels else cells.select("k0").distinct()
