@@ -36,6 +36,7 @@ TABLES = {
                       "text": "string"},
     "pages": {"page_id": "bigint", "url": "string", "html": "string"},
     "benchmark": {"item_id": "bigint", "text": "string"},
+    "embeddings": {"vec_id": "bigint", "embedding": "list", "label": "int"},
 }
 
 # The rules by name and type, over distinct values u, non-missing cells nn, all rows n.

@@ -104,6 +104,25 @@ def first_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]
     return {c: [r[j] for r in found if r[j] is not None] for j, c in enumerate(names)}
 
 
+def first_filled(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] | None = None,
+                 size: int = SAMPLE_SIZE) -> DataFrame:
+    """(column, position, value): the first non-missing cells of each column, in one pass.
+
+    Without `order_by` in scan order. Ranks are limited in every task before the shuffle, so
+    at most `size` cells of a column and task are moved, whatever the number of columns.
+    """
+    names = list(columns)
+    keys = [V.col(k) for k in order_by] if order_by else [F.monotonically_increasing_id()]
+    ranked = [f"__k{i}" for i in range(len(keys))]
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), V.as_text(df, c).alias("value"))
+                      for i, c in enumerate(names)])
+    rows = df.select(*[k.alias(n) for k, n in zip(keys, ranked)], F.inline(F.filter(
+        cells, lambda x: x["value"].isNotNull())))
+    place = F.row_number().over(Window.partitionBy("pos").orderBy(*ranked))
+    top = rows.withColumn("position", place).where(F.col("position") <= size)
+    return V.with_names(top.select("pos", "position", "value"), names)
+
+
 def date_layouts(df: DataFrame, samples: dict[str, list[str]]) -> dict[str, str]:
     """{column: layout} of the text columns whose every cell follows one date layout.
 
@@ -138,18 +157,8 @@ def date_layouts(df: DataFrame, samples: dict[str, list[str]]) -> dict[str, str]
 
 def sample_values(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
                   size: int = SAMPLE_SIZE) -> DataFrame:
-    """(column, position, value): the first non-missing values of every column.
-
-    One bounded top-k per column, so a sparse column costs a scan of itself only.
-    """
-    keys = [V.col(k) for k in order_by]
-    frames = []
-    for c in columns or df.columns:
-        top = df.where(V.present(df, c).isNotNull()).orderBy(*keys).limit(size)
-        frames.append(top.select(
-            F.lit(c).alias("column"), F.row_number().over(Window.orderBy(*keys)).alias("position"),
-            V.as_text(top, c).alias("value")))
-    return frequency.union_all(frames)
+    """(column, position, value): the first non-missing values of every column."""
+    return first_filled(df, columns or df.columns, order_by, size)
 
 
 def infer_type(name: str, dtype: T.DataType, stats: Row, dated_text: bool,
@@ -192,11 +201,12 @@ def profile_columns(df: DataFrame, order_by: Sequence[str] | None = None, approx
     names = list(columns or df.columns)
     stats = {r["column"]: r for r in column_stats(df, names, approx).collect()}
     head = first_values(df, names, order_by)
-    for c in names:
-        if c in stats and len(head[c]) < min(SAMPLE_SIZE, stats[c]["non_null"]):
-            # Too few values in the first rows: look further in this column alone.
-            head.update(first_values(
-                df.where(V.present(df, c).isNotNull()), [c], order_by, SAMPLE_SIZE))
+    sparse = [c for c in names
+              if c in stats and len(head[c]) < min(SAMPLE_SIZE, stats[c]["non_null"])]
+    if sparse:  # too few values in the first rows: one pass over all these columns
+        head |= {c: [] for c in sparse}
+        for r in first_filled(df, sparse, order_by).orderBy("position").collect():
+            head[r["column"]].append(r["value"])
     sample = {c: head[c][:SAMPLE_SIZE] for c in names}
     texts = {c: v for c, v in sample.items() if isinstance(V.dtype_of(df, c), T.StringType)}
     dated = date_layouts(df, texts)

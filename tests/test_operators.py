@@ -461,3 +461,61 @@ def test_infinite_cells_have_no_correlation(spark):
     assert {(r["col1"], r["col2"]) for r in strong} == {
         (a, b) for a in want for b in want if a < b and abs(want.loc[a, b]) >= 0.4}
     assert all(np.isfinite(r["r"]) for r in strong)
+
+
+def test_fill_forward_moves_only_what_it_fills(spark):
+    """Other columns are read once; the fills are looked up by a broadcast of the gap rows."""
+    df = spark.range(300).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 50 != 3, F.col("id")).alias("v"),
+        F.repeat(F.lit("x"), 50).alias("wide"))
+    filled = clean.fill_forward_backward(df, ["v"], "k", 4)
+    assert filled.columns == df.columns and filled.count() == 300
+    assert {r["k"]: r["v"] for r in filled.where(F.col("k") % 50 == 3).collect()} == {
+        k: k - 1 for k in range(3, 300, 50)}
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    # The same rows where Spark has to shuffle both sides, and with most cells missing.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sparse = df.withColumn("v", F.when(F.col("k") % 100 == 10, F.col("k")))
+        got = clean.fill_forward_backward(sparse, ["v"], "k", 4).orderBy("k").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r["v"] for r in got] == [max(10, (k - 10) // 100 * 100 + 10) for k in range(300)]
+
+
+def test_fill_ranges_are_bounded():
+    assert [clean._ranges(n) for n in (0, 1, 1_000_001, 10 ** 12)] == [1, 1, 2, clean.MOST_RANGES]
+
+
+def test_sparse_columns_share_one_pass(spark):
+    """The jobs of a profile do not depend on the number of sparse columns."""
+    def sparse(columns):
+        return spark.range(0, 2000, numPartitions=3).select("id", *[
+            F.when(F.col("id") >= 1000 + 100 * i, F.col("id")).alias(f"c{i}") for i in range(columns)])
+
+    def jobs(df, group):
+        spark.sparkContext.setJobGroup(group, group)
+        rows = {r["column"]: r["sample_values"]
+                for r in profile.profile_columns(df, ["id"], columns=df.columns[1:]).collect()}
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, one = jobs(sparse(1), "sparse-1")
+    many, eight = jobs(sparse(8), "sparse-8")
+    spark.sparkContext.setJobGroup("", "")
+    assert many == {f"c{i}": [str(1000 + 100 * i + j) for j in range(10)] for i in range(8)}
+    assert few["c0"] == many["c0"] and one == eight
+
+
+def test_pivot_wider_than_sparks_limit(spark):
+    spark.conf.set("spark.sql.pivotMaxValues", "10")
+    try:
+        df = spark.range(60).select((F.col("id") % 2).alias("r"), (F.col("id") % 30).alias("c"),
+                                    F.when(F.col("id") % 30 != 7, F.col("id")).alias("x"))
+        with pytest.raises(ValueError, match="pivot_cells"):
+            explore.pivot(df, "r", "c", "x")
+        got = {(r["row"], r["column"]): r["cell"]
+               for r in explore.pivot_cells(df, "r", "c", "x", "max").collect()}
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+    assert got == {(c % 2, c): c + 30 for c in range(30) if c != 7}
