@@ -7,8 +7,11 @@ gives the prefix sum of expected copies; with one random offset per source, a do
 is emitted once for each whole number that its step crosses.
 
 Ranks do not need a source in one place: rows are counted per (source, size, digest
-prefix), these counts are added up, and rows are numbered inside such a group only. The
-prefix grows with the largest (source, size) group, so a hot source is split.
+prefix); these counts are added up over the sizes of a source first and over the prefixes
+of one size second, and rows are numbered inside such a group only. The prefix grows with
+the largest (source, size) group, so a hot source is split at any size. What one task adds
+up is one row for each size of a source, or for each prefix of a size; targets take one
+row for each source.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; a source of size 0 has target 0 and emits nothing; an empty table gives no rows;
@@ -30,6 +33,10 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 #: Rows numbered in one task's window, apart from rows with one id.
 GROUP_ROWS = 2_000
+#: Hex digits of the prefix that rows are counted by, and the most there can be. Only a
+#: size with more than 16^PREFIX_DIGITS groups is counted again, by more digits.
+PREFIX_DIGITS = 4
+MAX_DIGITS = 10
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS,
@@ -79,29 +86,43 @@ def mix(docs: DataFrame, size: str, id_col: str = "doc_id", source_col: str = "s
         F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_id"),
         F.col(source_col).alias("_of"), F.col(size).alias("_words"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_digest"))
-    groups = stage(
-        keyed.groupBy(F.col("_of").alias("_source"), F.col("_words").alias("_each"),
-                      F.substring("_digest", 1, 4).alias("_prefix"))
-        .agg(F.count(F.lit(1)).alias("_rows")), "mix-groups")
-    largest = groups.groupBy("_source", "_each").agg(F.sum("_rows").alias("n")).agg(F.max("n"))
-    rows = largest.first()[0] or 0
-    digits = min(4, max(0, math.ceil(math.log(max(1, rows / group_rows), 16))))
-
-    by_source = groups.groupBy("_source").agg(
+
+    def counted(digits: int) -> DataFrame:
+        return stage(
+            keyed.groupBy(F.col("_of").alias("_source"), F.col("_words").alias("_each"),
+                          F.substring("_digest", 1, digits).alias("_prefix"))
+            .agg(F.count(F.lit(1)).alias("_rows")), "mix-groups")
+
+    groups = counted(PREFIX_DIGITS)
+    sizes = groups.groupBy("_source", "_each").agg(F.sum("_rows").alias("_rows"))
+    rows = sizes.agg(F.max("_rows")).first()[0] or 0
+    digits = min(MAX_DIGITS, max(0, math.ceil(math.log(max(1, rows / group_rows), 16))))
+    if digits > PREFIX_DIGITS:
+        groups = counted(digits)
+
+    by_source = sizes.groupBy("_source").agg(
         F.sum(F.col("_rows") * F.col("_each")).alias("_size"))
     plan = targets(by_source, weights, max_repeat).select(
         F.col("_source").alias("_plan_source"), F.col("_size").alias("_source_size"), "_target",
         F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(0.0).alias("_rate"),
         offset(F.col("_source"), seed).alias("_start"))
-    earlier = (
-        Window.partitionBy("_source").orderBy("_each", "_prefix")
-        .rowsBetween(Window.unboundedPreceding, -1))
+
+    def earlier(window) -> Column:
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_rows").over(before), F.lit(0))
+
+    smaller = (
+        sizes.withColumn("_smaller", earlier(Window.partitionBy("_source").orderBy("_each")))
+        .join(plan, F.col("_source").eqNullSafe(F.col("_plan_source")))
+        .select(F.col("_source").alias("_size_source"), F.col("_each").alias("_size_each"),
+                "_smaller", "_source_size", "_target", "_rate", "_start"))
     steps = (
         groups.groupBy("_source", "_each", F.substring("_prefix", 1, digits).alias("_prefix"))
         .agg(F.sum("_rows").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .join(plan, F.col("_source").eqNullSafe(F.col("_plan_source")))
-        .drop("_plan_source", "_rows"))
+        .withColumn("_lower", earlier(Window.partitionBy("_source", "_each").orderBy("_prefix")))
+        .join(smaller, F.col("_source").eqNullSafe(F.col("_size_source"))
+              & (F.col("_each") == F.col("_size_each")))
+        .withColumn("_before", F.col("_smaller") + F.col("_lower")))
 
     inside = (
         Window.partitionBy("_of", "_words", "_prefix").orderBy("_digest", "_id"))
