@@ -2,7 +2,7 @@
 
 From the parse tree of each rule's pattern a Boolean query over trigrams is derived that
 every match must satisfy. For each block of texts the index holds one posting bitmap per
-trigram that some rule asks for. Queries are evaluated by intersecting and uniting
+trigram that some rule asks for, made in one pass over the trigrams of the block. Queries are evaluated by intersecting and uniting
 postings, and the pattern itself is run on the candidates only. A rule whose pattern has
 no mandatory trigram (long runs of hex digits) is run on every text.
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from re import _constants as op  # the standard library's own pattern parser
 from re import _parser as parser
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,11 +34,15 @@ from gridsight.llm.registry import fresh, query, read
 #: Most literal texts followed at once while a pattern is read; beyond it the text so far
 #: is turned into trigrams. Only the sharpness of the filter depends on it.
 MAX_TEXTS = 24
+#: Bytes of a block whose trigrams are looked up at once.
+SLICE = 1 << 20
+#: The byte that stands for each byte in folded texts: only A-Z are lowered.
+LOWERED = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.int32)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of `pattern` whose `group` has `least` characters or more."""
+    """Matches of `pattern` whose `group` took part and has `least` characters or more."""
     kind: str
     pattern: str
     group: int = 0
@@ -62,6 +67,10 @@ _PRIVATE_KEY = (
     rf"|(?:{_BREAK}[A-Za-z][A-Za-z-]*:\x20[^\r\n\\]*+)*+(?:{_BREAK}[A-Za-z0-9+/]{{20,}}+={{0,2}})++"
     rf"(?:{_BREAK}(?:=[A-Za-z0-9+/]{{4}}|[A-Za-z0-9+/]+=*(?=[\s\"'\\]|\Z)))?"
     rf"|{_BREAK}[A-Za-z0-9+/]+=*\Z)?")
+# Three joined runs; a run that no other one follows is passed over whole, as a later start in it
+# would fail too. So a text is read a fixed number of times, however often a run says "eyJ".
+_RUN = r"eyJ[A-Za-z0-9_-]++"
+_JWT = rf"({_RUN}\.{_RUN}\.[A-Za-z0-9_-]+)|{_RUN}"
 #: Published key formats.
 ADDED_RULES = (
     Rule("private_key", _PRIVATE_KEY),
@@ -69,7 +78,7 @@ ADDED_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=24),
     Rule("google", r"AIza[A-Za-z0-9_-]+", least=39),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", least=24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=30),
+    Rule("jwt", _JWT, group=1, least=30),
 )
 RULES = BASE_RULES + ADDED_RULES
 
@@ -86,6 +95,11 @@ def _any_of(parts: list) -> object:
     return True if True in parts or not parts else parts[0] if len(parts) == 1 else ("or", tuple(parts))
 
 
+def _folded(point: int) -> str:
+    """The character as it stands in folded texts: only A-Z are lowered."""
+    return chr(point).lower() if point < 128 else chr(point)
+
+
 def _of_texts(texts: frozenset[str]) -> object:
     """The query of a part that reads as one of `texts`."""
     return _any_of([_all_of([t[i:i + 3] for i in range(len(t) - 2)]) for t in sorted(texts)])
@@ -105,9 +119,9 @@ def _read(items) -> tuple[frozenset[str] | None, object]:
         inner: frozenset[str] | None = None
         demand: object = True
         if code is op.LITERAL:
-            inner = frozenset([chr(value).lower()])
+            inner = frozenset([_folded(value)])
         elif code is op.IN and value[0][0] is not op.NEGATE and all(c is op.LITERAL for c, _ in value):
-            inner = frozenset(chr(v).lower() for _, v in value)
+            inner = frozenset(_folded(v) for _, v in value)
         elif code is op.SUBPATTERN:
             inner, demand = _read(value[-1])
         elif code is op.BRANCH:
@@ -148,10 +162,39 @@ def trigrams_of(wanted: object) -> set[str]:
     return {wanted} if isinstance(wanted, str) else set().union(*map(trigrams_of, wanted[1]))
 
 
-def postings(texts: pa.Array, trigrams: set[str]) -> dict[str, pa.Array]:
-    """The inverted index of a block: for each trigram, the bitmap of texts that have it."""
-    folded = pc.ascii_lower(texts)
-    return {t: pc.match_substring(folded, t) for t in sorted(trigrams)}
+class Trigrams:
+    """The trigrams that rules ask for, as a table over all codes of three bytes."""
+
+    def __init__(self, trigrams: set[str]):
+        # The first three bytes of a trigram beyond ASCII are a demand as well.
+        codes = {t: int.from_bytes(t.encode()[:3], "big") for t in sorted(trigrams)}
+        numbers = {code: i + 1 for i, code in enumerate(dict.fromkeys(codes.values()))}
+        self.number = {t: numbers[code] for t, code in codes.items()}
+        self.table = np.zeros(1 << 24, np.min_scalar_type(len(numbers)))
+        self.table[list(numbers)] = list(numbers.values())
+        self.size = len(numbers)
+
+    def postings(self, texts: pa.Array) -> dict[str, pa.Array]:
+        """The inverted index of a block: for each trigram, the bitmap of texts that have it.
+
+        Every trigram of the block is looked up once, however many are asked for.
+        """
+        found = np.zeros((self.size + 1, len(texts)), bool)
+        _, ends, content = texts.buffers()
+        if len(texts) and content is not None:
+            wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+            ends = np.frombuffer(ends, wide)[texts.offset:texts.offset + len(texts) + 1]
+            data = np.frombuffer(content, np.uint8)[:ends[-1]]
+            for begin in range(ends[0], len(data) - 2, SLICE):
+                part = LOWERED[data[begin:begin + SLICE + 2]]
+                number = self.table[(part[:-2] << 16) | (part[1:-1] << 8) | part[2:]]
+                at = np.flatnonzero(number)
+                number = number[at]
+                at += begin
+                row = np.searchsorted(ends, at, "right") - 1
+                inside = at + 3 <= ends[row + 1]
+                found[number[inside], row[inside]] = True
+        return {t: pa.array(found[i]) for t, i in self.number.items()}
 
 
 def candidates(wanted: object, index: dict[str, pa.Array], rows: int) -> pa.Array:
@@ -192,15 +235,17 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     n = len(keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted_trigrams = Trigrams(trigrams)
         for batch in batches:
             texts = pc.fill_null(batch.column(n), "")
-            index = postings(texts, trigrams)
+            index = wanted_trigrams.postings(texts)
             spans: list[list[tuple[int, int, str, int]]] = [[] for _ in range(batch.num_rows)]
             for order, (rule, demand, pattern) in enumerate(zip(rules, wanted, patterns)):
                 hits = pc.indices_nonzero(candidates(demand, index, batch.num_rows))
                 for row in hits.to_pylist():
                     for m in pattern.finditer(texts[row].as_py()):
-                        if len(m.group(rule.group)) >= rule.least:
+                        found = m.group(rule.group)
+                        if found is not None and len(found) >= rule.least:
                             spans[row].append((m.start(), order, rule.kind, m.end()))
             out = [[{"kind": k, "start": s, "end": e} for s, _, k, e in sorted(x)] for x in spans]
             yield pa.RecordBatch.from_arrays(

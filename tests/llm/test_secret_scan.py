@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import corpus_cases
+import pyarrow as pa
 from gridsight.llm import secret_scan as ss
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -52,6 +54,39 @@ def test_no_match_lacks_its_trigrams():
                 assert holds(wanted, folded)
 
 
+def test_postings_match_plain_search():
+    texts = [t or "" for t in [*some_texts(300), "", "AK", "IA", "éab", "x" * 5 + "AKI", "", "A"]]
+    wanted = {"aki", "kia", "sec", "pas", "é中", "éab", "éac", "-be"}
+    for size in (7, ss.SLICE):
+        ss.SLICE, before = size, ss.SLICE
+        index = ss.Trigrams({t for t in wanted if len(t) == 3}).postings(pa.array(texts[:1] + texts)[1:])
+        ss.SLICE = before
+        for t, bits in index.items():
+            plain = [t in "".join(c.lower() if c.isascii() else c for c in x) for x in texts]
+            # Beyond ASCII a posting may hold more texts, never fewer.
+            assert all(b >= p for b, p in zip(bits.to_pylist(), plain))
+            assert not t.isascii() or bits.to_pylist() == plain
+    assert ss.Trigrams(set()).postings(pa.array(["abc"])) == {}
+
+
+def test_jwt_spans_and_time():
+    rule = next(r for r in ss.RULES if r.kind == "jwt")
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+
+    def spans(pattern, group, text):
+        return [m.span() for m in pattern.finditer(text) if m[group] is not None and len(m[group]) >= rule.least]
+
+    pick = random.Random(9)
+    parts = ["eyJ", "eyJ", ".", ".eyJ", "a" * 9, "_-", " ", "\n", "é"]
+    for _ in range(3000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(0, 20)))
+        assert spans(ss.compiled(rule), 1, text) == spans(plain, 0, text)
+    start = time.monotonic()
+    assert spans(ss.compiled(rule), 1, "eyJ" * 350_000 + " .eyJa") == []
+    assert spans(ss.compiled(rule), 1, "eyJa.eyJ" * 130_000 + " ") == []
+    assert time.monotonic() - start < 5
+
+
 def test_spans_match_brute_force(spark, sf_dir):
     texts = [*some_texts(1500), None, "", corpus_cases.LONG]
     texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
