@@ -16,8 +16,10 @@ FACET_LIMIT = 15
 HIDDEN_FACET = "Unknown"
 TOP_COUNTS = 10
 # Up to this many keys are skipped in a bounded heap; deeper pages start at a found key.
-SHALLOW_OFFSET = 100
-KEY_RANGES = 256
+SHALLOW_OFFSET = 1000
+# Ranges that keys are counted in at once, and the sampled keys for each.
+KEY_RANGES = 64
+EDGE_SAMPLE = 32
 MAX_ZEROS = 8
 
 
@@ -56,30 +58,45 @@ def page_rows(df: DataFrame, key: str, page: int, size: int = 10) -> DataFrame:
     return df.where((k >= ends["low"]) & (k <= ends["high"])).orderBy(k)
 
 
+def _range_of(key: Column, edges: list) -> Column:
+    """How many of the sorted `edges` are at or below the key, by bisection."""
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < F.lit(edges[middle]), part(low, middle)).otherwise(
+            part(middle + 1, high))
+    return part(0, len(edges))
+
+
 def first_key_near(keys: DataFrame, rank: int, ranges: int = KEY_RANGES,
                    near: int = SHALLOW_OFFSET) -> tuple:
     """(start key, offset behind it) of the key at `rank`; (None, None) past the end.
 
-    The keys are cut into even sorted ranges and counted, and the range that
-    holds the rank is cut again until the offset in it is small. One row per
-    range is read.
+    A bounded sample of the keys, the first ones in hash order, cuts them into ranges,
+    which are counted where the rows lie: one row per range and task is shuffled, no key.
+    The range that holds the rank is cut again until the offset in it is small.
     """
-    start = None
-    inside = keys
+    k = F.col("k")
+    start, inside = None, keys
     while rank > near:
-        parts = inside.repartitionByRange(ranges, "k").groupBy(
-            F.spark_partition_id().alias("part")).agg(
+        sample = [r["k"] for r in inside.orderBy(F.xxhash64(k), k).limit(
+            ranges * EDGE_SAMPLE).orderBy(k).collect()]
+        step = max(1, len(sample) // ranges)
+        edges = sample[step::step]
+        counts = inside.groupBy(_range_of(k, edges).alias("part")).agg(
             F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).collect()
-        for r in sorted(parts, key=lambda r: r["part"]):
+        size = sum(r["n"] for r in counts)
+        for r in sorted(counts, key=lambda r: r["part"]):
             if rank < r["n"]:
                 break
             rank -= r["n"]
         else:
             return None, None
         start = r["low"]
-        if r["low"] == r["high"]:
+        if r["low"] == r["high"] or r["n"] == size:
             break
-        inside = keys.where((F.col("k") >= r["low"]) & (F.col("k") <= r["high"]))
+        inside = keys.where((k >= r["low"]) & (k <= r["high"]))
     return start, rank
 
 

@@ -325,6 +325,24 @@ def test_page_search_narrows(keyed):
     assert offset <= 10 and start + 3 * offset == 3 * 5432
 
 
+@pytest.mark.parametrize("key", [
+    "CAST(k AS DECIMAL(20, 3))", "timestamp_seconds(k * 86400)",
+    "CAST(timestamp_seconds(k * 86400) AS TIMESTAMP_NTZ)",
+    "date_add(DATE'1999-12-31', CAST(k AS INT))", "CAST(name AS BINARY)",
+    "CASE WHEN k = 17997 THEN CAST('nan' AS DOUBLE) WHEN k = 0 THEN CAST('-inf' AS DOUBLE) ELSE k / 7 END"])
+def test_pages_of_any_key_type(keyed, key):
+    rows = keyed.select(F.expr(key).alias("key"), "k")
+    for page in (0, 250, 599):
+        found = explore.page_rows(rows, "key", page, 10).collect()
+        assert [r["k"] for r in found] == [3 * i for i in range(page * 10, page * 10 + 10)]
+
+
+def test_pages_of_repeated_keys_end(spark):
+    rows = spark.range(5000).select(F.lit(7).alias("k"))
+    assert explore.first_key_near(rows, 4000, near=10) == (7, 4000)
+    assert explore.first_key_near(rows, 5000, near=10) == (None, None)
+
+
 def test_sample_is_stable(keyed):
     one = explore.column_sample(keyed, "name", "k", 100)
     two = explore.column_sample(keyed.repartition(3), "name", "k", 100)
