@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridsight.functions import values as V
+from gridsight.session import stage
 
 # Largest number of bracketed values that one window partition sorts.
 BRACKET_LIMIT = 5_000_000
@@ -27,6 +29,8 @@ SKETCH_SIZE = 4096
 MARGIN = 0.003
 REFINE_STEPS = 256
 EDGE_SKETCH_SIZE = 32_768
+# Ranges that one group's middle is cut into at once.
+PIECE_STEPS = 64
 
 
 def _ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
@@ -212,6 +216,27 @@ def column_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float]
     return {names[g[0]]: q for g, q in sorted(found.items())}
 
 
+def _edges(df: DataFrame, key: str, buckets: int) -> tuple[list[float], int | None]:
+    """(edges of even ranges of a numeric key, number of keys if they were counted)."""
+    if buckets < 2:
+        return [], None
+    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    sketch = df.where(F.col(key).isNotNull()).agg(
+        F.kll_sketch_agg_double(key, EDGE_SKETCH_SIZE).alias("s"), F.count(key).alias("n"))
+    found = sketch.select("n", F.when(
+        F.col("n") > 0, F.kll_sketch_get_quantile_double("s", steps)).alias("q")).first()
+    return sorted({e for e in found["q"] or [] if math.isfinite(e)}), found["n"]
+
+
+def _cut(df: DataFrame, key: str, edges: list[float], output: str) -> DataFrame:
+    splits = [-math.inf, *edges, math.inf]
+    if len(splits) < 3:  # nothing to cut
+        return df.withColumn(output, F.lit(0))
+    placed = Bucketizer(splits=splits, inputCol=key, outputCol=output,
+                        handleInvalid="keep").transform(df)
+    return placed.withColumn(output, F.coalesce(F.col(output).cast("int"), F.lit(-1)))
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, output: str = "bucket") -> DataFrame:
     """Assign every row to one of at most `buckets` even ranges of a numeric key.
 
@@ -219,66 +244,103 @@ def bucketed(df: DataFrame, key: str, buckets: int, output: str = "bucket") -> D
     recomputed partition puts its rows into the same buckets. Rows without a
     key form bucket -1.
     """
-    edges = []
-    if buckets > 1:
-        steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        sketch = df.where(F.col(key).isNotNull()).agg(
-            F.kll_sketch_agg_double(key, EDGE_SKETCH_SIZE).alias("s"), F.count(key).alias("n"))
-        edges = sketch.select(F.when(
-            F.col("n") > 0, F.kll_sketch_get_quantile_double("s", steps))).first()[0] or []
-    splits = [-math.inf, *sorted({e for e in edges if math.isfinite(e)}), math.inf]
-    if len(splits) < 3:  # nothing to cut
-        return df.withColumn(output, F.lit(0))
-    placed = Bucketizer(splits=splits, inputCol=key, outputCol=output,
-                        handleInvalid="keep").transform(df)
-    return placed.withColumn(output, F.coalesce(F.col(output).cast("int"), F.lit(-1)))
+    return _cut(df, key, _edges(df, key, buckets)[0], output)
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str,
-                   output: str, buckets: int = 1024) -> DataFrame:
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, output: str,
+                   buckets: int = 1024, limit: int = BRACKET_LIMIT) -> DataFrame:
     """Exact median of `value` for any number of groups, hot groups included.
 
     Values are counted per (group, value), counts are added up per value range,
-    and only the ranges holding a middle rank are sorted. No window partition
-    holds more than one range of one group.
+    and only the ranges holding a middle rank are sorted. A range of more than
+    `limit` values is cut by its own quantiles first, again and again, so no
+    window partition grows with the group.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("__v"))
+    edges, size = _edges(rows, "__v", buckets)
     counted = (
-        bucketed(rows, "__v", buckets, "__b")
-        .groupBy(*keys, "__b", "__v").agg(F.count("*").alias("__n"))
-    )
-    by_range = Window.partitionBy(*keys).orderBy("__b")
-    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
+        _cut(rows, "__v", edges, "__b")
+        .groupBy(*keys, F.lit(0).alias("__p"), "__b", "__v").agg(F.count("*").alias("__n")))
+    open_ended = size is None or size > limit
+    if open_ended:
+        counted = stage(counted, "median-counts")
+    total = F.sum("__in").over(Window.partitionBy(*keys))
+    middle = _middle_ranges(counted, keys, F.floor((total - 1) / 2), F.ceil((total - 1) / 2))
+    found = []
+    while open_ended:
+        middle = stage(middle, "median-ranges")
+        wide = F.col("__values") > limit
+        if middle.where(wide).isEmpty():
+            break
+        found.append(_middle_values(counted, middle.where(~wide), keys))
+        counted = stage(_cut_again(_inside(counted, middle.where(wide), keys), keys),
+                        "median-counts")
+        middle = _middle_ranges(counted, keys, F.col("__piece_low"), F.col("__piece_high"))
+    found.append(_middle_values(counted, middle, keys))
+    return reduce(DataFrame.unionByName, found).groupBy(*keys).agg(
+        ((F.max("__low_v") + F.max("__high_v")) / 2).alias(output))
+
+
+def _middle_ranges(counted, keys, low, high):
+    """The ranges that hold a middle rank, with the ranks counted from their own start.
+
+    A group has one piece, or two: 0 with the lower middle rank, 1 with the upper one only.
+    """
+    by_range = Window.partitionBy(*keys, "__p").orderBy("__b").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carried = [F.max(c).alias(c) for c in ("__piece_low", "__piece_high") if c in counted.columns]
     ranges = (
-        counted.groupBy(*keys, "__b").agg(F.sum("__n").alias("__in"))
-        .withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0)))
-        .withColumn("__total", F.sum("__in").over(Window.partitionBy(*keys)))
-        .withColumn("__low", F.floor((F.col("__total") - 1) / 2))
-        .withColumn("__high", F.ceil((F.col("__total") - 1) / 2))
-    )
+        counted.groupBy(*keys, "__p", "__b")
+        .agg(F.sum("__n").alias("__in"), F.count("*").alias("__values"), *carried)
+        .withColumn("__before", F.coalesce(F.sum("__in").over(by_range), F.lit(0)))
+        .withColumn("__low", low - F.col("__before")).withColumn("__high", high - F.col("__before")))
+
+    def here(rank: str):
+        return F.when((F.col(rank) >= 0) & (F.col(rank) < F.col("__in")), F.col(rank))
+
+    return ranges.withColumn("__low", here("__low")).withColumn("__high", here("__high")).where(
+        F.coalesce("__low", "__high").isNotNull()).select(
+        *keys, "__p", "__b", "__values", "__low", "__high")
+
+
+def _inside(counted, middle, keys):
+    """The counted values of the given ranges, with the ranks wanted of them."""
+    at = [*keys, "__p", "__b"]
+    renamed = middle.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(at)],
+                            "__low", "__high")
+    match = F.lit(True)
+    for i, k in enumerate(at):
+        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return counted.select(*at, "__v", "__n").join(renamed, match).select(
+        *at, "__v", "__n", "__low", "__high")
 
-    def covers(rank: str):
-        return (F.col(rank) >= F.col("__before")) & (
-            F.col(rank) < F.col("__before") + F.col("__in"))
 
-    middle = ranges.where(covers("__low") | covers("__high")).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__b").alias("__mb"), "__before", "__low", "__high")
-    match = F.col("__b") == F.col("__mb")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    picked = (
-        counted.join(middle, match)
-        .withColumn("__upto", F.col("__before") + F.sum("__n").over(inside))
-        .withColumn("__from", F.col("__upto") - F.col("__n"))
-    )
+def _middle_values(counted, middle, keys):
+    """(keys, lower middle value, upper middle value) of the given ranges."""
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__p", "__b").orderBy("__v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    placed = _inside(counted, middle, keys).withColumn("__upto", upto)
 
     def at(rank: str):
-        return F.max(F.when(
-            (F.col(rank) >= F.col("__from")) & (F.col(rank) < F.col("__upto")), F.col("__v")))
-
-    return picked.groupBy(*keys).agg(((at("__low") + at("__high")) / 2).alias(output))
+        return F.max(F.when((F.col(rank) >= F.col("__upto") - F.col("__n"))
+                            & (F.col(rank) < F.col("__upto")), F.col("__v")))
+
+    return placed.groupBy(*keys).agg(at("__low").alias("__low_v"), at("__high").alias("__high_v"))
+
+
+def _cut_again(cells, keys):
+    """Every wide range as a piece of its own, cut into PIECE_STEPS ranges by its quantiles."""
+    pieces = cells.withColumn("__p", F.when(F.col("__low").isNotNull(), 0).otherwise(1)).drop("__b")
+    at = [*keys, "__p"]
+    steps = F.array(*[F.lit(i / PIECE_STEPS) for i in range(1, PIECE_STEPS)])
+    edges = pieces.groupBy(*at).agg(F.kll_sketch_agg_double("__v", SKETCH_SIZE).alias("s")).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(at)],
+        F.kll_sketch_get_quantile_double("s", steps).alias("__edges"))
+    match = F.lit(True)
+    for i, k in enumerate(at):
+        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return pieces.join(edges, match).select(
+        *at, F.size(F.filter("__edges", lambda e: e <= F.col("__v"))).alias("__b"), "__v", "__n",
+        F.col("__low").alias("__piece_low"), F.col("__high").alias("__piece_high"))

@@ -81,6 +81,22 @@ def test_grouped_median_many_groups(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("buckets,limit", [(1, 70), (2, 100), (16, 64)])
+def test_grouped_median_cuts_wide_ranges_again(spark, buckets, limit):
+    """Groups of every parity, in narrow ranges of their own, with a hot and a null group."""
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot")
+        .otherwise(F.concat(F.lit("g"), (F.col("id") % 5).cast("string"))).alias("k"),
+        (F.col("id") % 2).alias("h"),
+        (F.xxhash64("id") % 5000 / 7 + (F.col("id") % 5) * 1e6).alias("x"))
+    df = df.unionByName(df.orderBy("x").limit(1))
+    want = {(r["k"], r["h"]): r["m"] for r in df.groupBy("k", "h").agg(
+        F.median("x").alias("m")).collect()}
+    got = {(r["k"], r["h"]): r["m"] for r in quantiles.grouped_median(
+        df, ["k", "h"], "x", "m", buckets, limit).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_buckets_are_even_and_stable(spark):
     df = spark.range(10_000).withColumn("k", F.col("id").cast("double"))
     sizes = [r["count"] for r in quantiles.bucketed(df, "k", 10).groupBy("bucket").count().collect()]
