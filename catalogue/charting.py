@@ -12,6 +12,7 @@ from catalogue.profiling import LINEITEM_FACTS, TABLES, TYPE_RULES, _column_fact
 from catalogue.trends import DAILY_SQL, YEARLY_SQL, _daily, _yearly
 from gridsight.operators import charts, describe, kpi, profile
 
+# Names of columns not worth a chart.
 HIDDEN = ("id|key|code|uuid|index|idx|serial|number|no|num|phone|mobile|zip|zipcode|postal|fax|"
           "url|link|hash|account|seq|sequence|date|time|year|month|day")
 PART_FACTS = union_all_sql([_column_facts("part", c, d) for c, d in TABLES["part"].items()])

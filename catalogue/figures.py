@@ -88,6 +88,7 @@ def fallback_total(spark, sf_dir):
     return reduce(DataFrame.unionByName, frames)
 
 
+# Limits and signs of money texts.
 MONEY_SQL = """CASE
   WHEN abs(amount) >= 1e9 THEN sign || '₹' || printf('%.2f', abs(amount) / 1e9) || 'B'
   WHEN abs(amount) >= 1e6 THEN sign || '₹' || printf('%.2f', abs(amount) / 1e6) || 'M'

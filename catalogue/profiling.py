@@ -40,6 +40,7 @@ TABLES = {
 }
 
 # The rules by name and type, over distinct values u, non-missing cells nn, all rows n.
+# Limits of the type rules.
 TYPE_RULES = """CASE
     WHEN nn = 0 THEN 'empty'
     WHEN regexp_matches(name, 'id|key|code|num|uuid|index') AND u > 1 THEN 'id'
@@ -50,6 +51,7 @@ TYPE_RULES = """CASE
     WHEN dtype IN ('int', 'bigint', 'double') THEN 'numeric'
     WHEN u <= 25 OR u / n < 0.05 THEN 'categorical'
     ELSE 'text' END"""
+# The boolean spellings.
 SPELLINGS = ("'0','1','True','False','true','false','T','F','Y','N','yes','no','Yes','No'")
 
 
