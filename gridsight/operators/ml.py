@@ -33,6 +33,8 @@ FOLDS = 3
 # Tasks that the learner sees: they must not depend on how the input was cut.
 ROWS_PER_TASK = 100_000
 LEAST_TASKS = 8
+# Most rows, each with a weight, that stand for equal rows of a forest's training table.
+PIECES = 128
 SEED = 42
 MIN_ROWS = 10
 FEWEST_VALUES = 5
@@ -352,7 +354,7 @@ def _depth(depth: int | str | None) -> int:
 
 def _forest(classify: bool, trees: int, depth: int | None, min_split: int):
     common = dict(
-        featuresCol="features", labelCol="label", numTrees=int(trees),
+        featuresCol="features", labelCol="label", weightCol="weight", numTrees=int(trees),
         maxDepth=_depth(depth),
         minInstancesPerNode=max(1, int(min_split) // 2), seed=SEED, maxBins=64,
         maxMemoryInMB=512)
@@ -368,7 +370,9 @@ def train(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 50
           parallelism: int = 2) -> tuple[Trained, DataFrame]:
     """Fit a forest on 80 % of the complete rows.
 
-    Returns the model and the test rows with `label` and `prediction`.
+    Returns the model and the test rows with `label` and `prediction`. Rows with the same
+    features and label reach the learner as at most PIECES rows with weights, so its work grows
+    with the different rows; bags draw these pieces. Up to PIECES equal rows are pieces of one.
     """
     refuse_date_target(df, target)
     used = [target, *predictors] + ([key] if key else [])
@@ -380,16 +384,17 @@ def train(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 50
         labelled = label_encode(rows, target, codes[target], "label")
     else:
         labelled = rows.withColumn("label", V.as_number(rows, target))
-    marked = labelled.withColumn("is_test", split_mark(rows, key))
     place = F.xxhash64(*[V.as_text(rows, c) for c in ([key] if key else used)])
-    data = stage(_assembled(marked.withColumn("__place", place), plan, codes).select(
-        "features", "label", "is_test", "__place"), "features")
-    data = _laid_out(data)
+    marked = labelled.withColumns({
+        "is_test": split_mark(rows, key),
+        "__fold": F.pmod(F.xxhash64(F.lit(SEED), place), F.lit(FOLDS)).cast("int") if tune else F.lit(0)})
+    test = _assembled(marked.where("is_test"), plan, codes)
+    training = _laid_out(stage(_counted(build_features(marked.where(~F.col("is_test")), plan, codes), plan),
+                               "cells"), plan, max(PIECES, 2 * min_split))
     if classify:  # the learner takes the number of classes from here
         classes = codes[target].count()
-        data = data.withColumn("label", F.col("label").alias("label", metadata={
+        training = training.withColumn("label", F.col("label").alias("label", metadata={
             "ml_attr": {"type": "nominal", "num_vals": classes, "name": "label"}}))
-    training, test = data.where(~F.col("is_test")), data.where("is_test")
     params = {"trees": trees, "depth": depth, "min_split": min_split}
     if tune:
         learner = _forest(classify, trees, depth, 2)
@@ -397,15 +402,13 @@ def train(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 50
                 .addGrid(learner.numTrees, list(tree_grid))
                 .addGrid(learner.maxDepth, [_depth(d) for d in depth_grid])
                 .build())
-        judge = (MulticlassClassificationEvaluator(metricName="accuracy") if classify
-                 else RegressionEvaluator(metricName="r2"))
+        judge = (MulticlassClassificationEvaluator(metricName="accuracy", weightCol="weight") if classify
+                 else RegressionEvaluator(metricName="r2", weightCol="weight"))
         search = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=judge,
                                 numFolds=FOLDS, parallelism=parallelism, seed=SEED)
-        folds = training.withColumn("fold", F.pmod(
-            F.xxhash64(F.lit(SEED), "__place"), F.lit(FOLDS)).cast("int"))
-        if folds.select("fold").distinct().count() == FOLDS:  # else too few keys to go round
-            search.setFoldCol("fold")
-        fitted = search.fit(folds)
+        if training.select("__fold").distinct().count() == FOLDS:  # else too few keys to go round
+            search.setFoldCol("__fold")
+        fitted = search.fit(training)
         model = fitted.bestModel
         params |= {"trees": model.getNumTrees, "depth": model.getOrDefault("maxDepth"),
                    "scores": list(fitted.avgMetrics)}
@@ -416,11 +419,32 @@ def train(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 50
     return trained, model.transform(test).select("label", "prediction")
 
 
-def _laid_out(data: DataFrame) -> DataFrame:
-    """The same rows in the same tasks and order, however the input was cut: the learner draws
-    its bags by task and place. The number of tasks follows the number of rows."""
-    tasks = max(LEAST_TASKS, -(-data.count() // ROWS_PER_TASK))
-    return data.repartition(tasks, "__place").sortWithinPartitions("__place", "label")
+def _names(predictors: Sequence[Predictor]) -> list[str]:
+    return [f"__f{i}" for i in range(sum(len(p.features) for p in predictors))]
+
+
+def _counted(data: DataFrame, predictors: Sequence[Predictor],
+             kept: Sequence[str] = ("label", "__fold")) -> DataFrame:
+    """Equal rows as one, with their number `__n`."""
+    return data.groupBy(*_names(predictors), *kept).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _laid_out(cells: DataFrame, predictors: Sequence[Predictor], pieces: int) -> DataFrame:
+    """The counted rows as at most `pieces` rows of nearly equal `weight` each, in the same tasks
+    and order however the input was cut: the learner draws its bags by task and place. The
+    number of tasks follows the number of rows."""
+    names = _names(predictors)
+    parts = F.least("__n", F.lit(pieces).cast("long"))
+    size = cells.agg(F.sum(parts).alias("n")).first()["n"] or 0
+    cut = cells.withColumn("__piece", F.explode(F.sequence(F.lit(1).cast("long"), parts)))
+    # Where n is no multiple of the pieces, the first ones take one row more.
+    weight = F.floor((F.col("__n") - F.col("__piece")) / parts) + 1
+    rows = cut.select(*names, "label", "__fold", weight.cast("double").alias("weight"),
+                      F.xxhash64(*names, "label", "__fold", "__piece").alias("__place"))
+    laid = rows.repartition(max(LEAST_TASKS, -(-size // ROWS_PER_TASK)), "__place").sortWithinPartitions(
+        "__place", "label", "__fold", *names)
+    return VectorAssembler(inputCols=names, outputCol="features").transform(laid).select(
+        "features", "label", "__fold", "weight")
 
 
 def forest_nodes(trained: Trained, spark: SparkSession) -> DataFrame:

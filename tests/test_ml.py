@@ -228,3 +228,18 @@ def test_grid_with_too_few_keys_for_all_folds(spark, table):
     trained, _ = ml.train(table.withColumn("id", F.col("id") % 2), "price", ["a"], tune=True, key="id",
                           tree_grid=(2,), depth_grid=(2,))
     assert len(trained.params["scores"]) == 1
+
+
+def test_learners_see_equal_rows_as_few_weighted_ones(spark):
+    df = spark.range(100_000).select("id", (F.col("id") % 7).cast("double").alias("a"),
+                                     (F.col("id") % 7 * 10.0).alias("y"))
+    plan = ml.plan_predictors(df, ["a"])
+    cells = ml._counted(ml.build_features(df.withColumns({"label": F.col("y"), "__fold": F.lit(0)}), plan, {}), plan)
+    laid = ml._laid_out(cells, plan, ml.PIECES).toPandas()
+    assert len(laid) == 7 * ml.PIECES and laid["weight"].sum() == 100_000
+    assert laid["weight"].max() - laid["weight"].min() <= 1  # 14,285 or 14,286 rows in 128 pieces
+    few = ml._laid_out(cells.withColumn("__n", F.lit(5).cast("long")), plan, ml.PIECES)
+    assert few.count() == 35 and few.where("weight <> 1").isEmpty()
+    trained, scored = ml.train(df, "y", ["a"], trees=3, key="id")
+    assert scored.count() == pytest.approx(20_000, rel=0.05)
+    assert scored.where(F.abs(F.col("label") - F.col("prediction")) > 1e-9).isEmpty()
