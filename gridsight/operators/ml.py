@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -429,7 +429,8 @@ def _counted(data: DataFrame, predictors: Sequence[Predictor],
     return data.groupBy(*_names(predictors), *kept).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def _laid_out(cells: DataFrame, predictors: Sequence[Predictor], pieces: int) -> DataFrame:
+def _laid_out(cells: DataFrame, predictors: Sequence[Predictor], pieces: int,
+              kept: Sequence[str] = ("label", "__fold")) -> DataFrame:
     """The counted rows as at most `pieces` rows of nearly equal `weight` each, in the same tasks
     and order however the input was cut: the learner draws its bags by task and place. The
     number of tasks follows the number of rows."""
@@ -439,12 +440,12 @@ def _laid_out(cells: DataFrame, predictors: Sequence[Predictor], pieces: int) ->
     cut = cells.withColumn("__piece", F.explode(F.sequence(F.lit(1).cast("long"), parts)))
     # Where n is no multiple of the pieces, the first ones take one row more.
     weight = F.floor((F.col("__n") - F.col("__piece")) / parts) + 1
-    rows = cut.select(*names, "label", "__fold", weight.cast("double").alias("weight"),
-                      F.xxhash64(*names, "label", "__fold", "__piece").alias("__place"))
+    rows = cut.select(*names, *kept, weight.cast("double").alias("weight"),
+                      F.xxhash64(*names, *kept, "__piece").alias("__place"))
     laid = rows.repartition(max(LEAST_TASKS, -(-size // ROWS_PER_TASK)), "__place").sortWithinPartitions(
-        "__place", "label", "__fold", *names)
+        "__place", *kept, *names)
     return VectorAssembler(inputCols=names, outputCol="features").transform(laid).select(
-        "features", "label", "__fold", "weight")
+        "features", *kept, "weight")
 
 
 def forest_nodes(trained: Trained, spark: SparkSession) -> DataFrame:
@@ -486,25 +487,31 @@ def train_clusters(df: DataFrame, predictors: Sequence[str], k: int = 3,
                    key: str | None = None) -> tuple[Trained, DataFrame]:
     """K-means on the features and their first two principal components.
 
-    Returns the model and all complete rows with `cluster`, `x`, `y` (and the key).
+    Returns the model and all complete rows with `cluster`, `x`, `y` (and the key). K-means,
+    which keeps its rows in memory, sees equal rows as one with a weight, in tasks of at most
+    ROWS_PER_TASK or so; the components come from one pass over all rows.
     """
     rows = complete_rows(df, [*predictors, *([key] if key else [])])
     plan = plan_predictors(rows, predictors)
     codes = _stored_codes(rows, plan)
-    data = stage(_assembled(rows, plan, codes), "features")
-    width = sum(len(p.features) for p in plan)
-    stages = [KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster")]
-    if width >= 2:
-        stages += [
-            StandardScaler(withMean=True, withStd=False, inputCol="features",
-                           outputCol="centred"),
-            PCA(k=2, inputCol="centred", outputCol="plane")]
-    model = Pipeline(stages=stages).fit(data)
-    inertia = model.stages[0].summary.trainingCost
-    trained = Trained("clustering", model, plan, codes, None, {"k": k, "inertia": inertia})
-    placed = model.transform(data)
-    plane = vector_to_array("plane") if width >= 2 else F.array(F.col("__f0"), F.lit(0.0))
     kept = [V.col(key)] if key else []
+    names = _names(plan)
+    data = stage(build_features(rows, plan, codes).select(*kept, *names), "features")
+    cells = _laid_out(stage(_counted(data, plan, ()), "cells"), plan, 1, ())
+    clusters = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster",
+                      weightCol="weight").fit(cells)
+    inertia = clusters.summary.trainingCost
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(data)
+    stages: list[Model] = [clusters]
+    if len(names) >= 2:
+        centred = StandardScaler(withMean=True, withStd=False, inputCol="features",
+                                 outputCol="centred").fit(vectors)
+        plane = PCA(k=2, inputCol="centred", outputCol="plane").fit(centred.transform(vectors))
+        stages += [centred, plane]
+    model = PipelineModel(stages)
+    trained = Trained("clustering", model, plan, codes, None, {"k": k, "inertia": inertia})
+    placed = model.transform(vectors)
+    plane = vector_to_array("plane") if len(names) >= 2 else F.array(F.col("__f0"), F.lit(0.0))
     return trained, placed.select(*kept, "cluster", plane[0].alias("x"), plane[1].alias("y"))
 
 

@@ -243,3 +243,15 @@ def test_learners_see_equal_rows_as_few_weighted_ones(spark):
     trained, scored = ml.train(df, "y", ["a"], trees=3, key="id")
     assert scored.count() == pytest.approx(20_000, rel=0.05)
     assert scored.where(F.abs(F.col("label") - F.col("prediction")) > 1e-9).isEmpty()
+
+
+def test_clusters_see_equal_rows_as_one_with_a_weight(spark, monkeypatch):
+    df = spark.range(9_000).select("id", F.when(F.col("id") < 6_000, 1.0).otherwise(5.0).alias("a"),
+                                   (F.col("id") % 3).cast("double").alias("b"))
+    seen = []
+    laid_out = ml._laid_out
+    monkeypatch.setattr(ml, "_laid_out", lambda *args: seen.append(laid_out(*args)) or seen[-1])
+    trained, placed = ml.train_clusters(df, ["a", "b"], k=2, key="id")
+    assert seen[0].count() == 6 and seen[0].agg(F.sum("weight")).first()[0] == 9_000
+    assert trained.params["inertia"] == pytest.approx(6_000)  # b is 0, 1, 2: 2/3 a row
+    assert sorted(r["count"] for r in placed.groupBy("cluster").count().collect()) == [3_000, 6_000]
