@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsight.functions import quantiles
@@ -52,6 +55,22 @@ def chart_columns(profile: DataFrame, kpis: DataFrame | None = None) -> dict[str
     return {"numeric": names(numeric, "numeric"), "categorical": names(shown, "categorical")}
 
 
+def _bin_edges(low: float, high: float, bins: int) -> list[float]:
+    """The bins' ends, the nearest doubles of those between the two numbers as written."""
+    if not (math.isfinite(low) and math.isfinite(high)):
+        return [low + (high - low) * b / bins for b in range(bins + 1)]
+    first, last = Fraction(repr(low)), Fraction(repr(high))
+    return [float(first + (last - first) * b / bins) for b in range(bins + 1)]
+
+
+def _bin_of(x: Column, edges: Sequence[float]) -> Column:
+    """The bin whose ends hold the value: by comparison, as a quotient may round across an end."""
+    if not all(map(math.isfinite, edges)):
+        return F.lit(None).cast("int")  # an infinite range has no equal widths
+    return F.when(x.isNotNull(), reduce(
+        lambda n, edge: n + (x >= F.lit(edge)).cast("int"), edges[1:-1], F.lit(1)))
+
+
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFrame:
     """(column, bin, low, high, count): equal-width bins, the last one closed, empty ones too.
 
@@ -70,14 +89,11 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFr
         low, high = ends[f"lo{i}"], ends[f"hi{i}"]
         if low is not None:
             ranges[c] = (low - 0.5, high + 0.5) if low == high else (low, high)
-    grid = [(c, b + 1, lo + (hi - lo) * b / bins, lo + (hi - lo) * (b + 1) / bins)
-            for c, (lo, hi) in ranges.items() for b in range(bins)]
+    edges = {c: _bin_edges(float(lo), float(hi), bins) for c, (lo, hi) in ranges.items()}
+    grid = [(c, b + 1, ends[b], ends[b + 1]) for c, ends in edges.items() for b in range(bins)]
     if not ranges:
         return spark.createDataFrame([], f"{schema}, count bigint")
-    slots = V.long_form(df, {
-        c: F.when(numbers[c].isNotNull(), F.least(
-            F.width_bucket(numbers[c], F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins)))
-        for c, (lo, hi) in ranges.items()})
+    slots = V.long_form(df, {c: _bin_of(numbers[c], ends) for c, ends in edges.items()})
     counts = V.with_names(slots.where(F.col("value").isNotNull()).groupBy(
         "pos", F.col("value").cast("int").alias("bin")).agg(F.count("*").alias("n")), ranges)
     table = spark.createDataFrame(grid, schema)  # bins x columns rows

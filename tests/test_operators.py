@@ -537,3 +537,17 @@ def test_pivot_wider_than_sparks_limit(spark):
     finally:
         spark.conf.unset("spark.sql.pivotMaxValues")
     assert got == {(c % 2, c): c + 30 for c in range(30) if c != 7}
+
+
+def test_histogram_counts_a_value_on_an_edge_in_the_bin_that_it_opens(spark):
+    # 525.16 is the low end of bin 4: by division it would be in bin 3.
+    df = spark.createDataFrame([(492.13,), (525.16,), (712.33,)], "x double")
+    rows = charts.histogram(df, ["x"]).orderBy("bin").collect()
+    assert [r["bin"] for r in rows if r["count"]] == [1, 4, 20]
+    assert rows[3]["low"] == 525.16 and rows[2]["high"] == 525.16
+    wide = spark.createDataFrame([(-999.85 + i / 100,) for i in range(4001)], "x double")
+    for r in charts.histogram(wide, ["x"]).collect():
+        inside = (F.col("x") >= r["low"]) & (F.col("x") <= r["high"] if r["bin"] == 20 else F.col("x") < r["high"])
+        assert wide.where(inside).count() == r["count"]
+    gaps = spark.createDataFrame([(float("inf"),), (1.0,)], "x double")
+    assert charts.histogram(gaps, ["x"]).agg(F.sum("count")).first()[0] == 0
