@@ -406,6 +406,26 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("_node", "_label")
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, label) after `more` stored links (a, b) joined the components of the stored `labels`.
+
+    The links are taken between components, so what was joined before is not gone over again.
+    """
+    ends = more.select(F.explode(F.array("_a", "_b")).alias("_new")).distinct()
+    nodes = stage(
+        labels.join(ends, F.col("_node") == F.col("_new"), "full")
+        .select(F.coalesce("_node", "_new").alias("_node"), F.coalesce("_label", "_new").alias("_label")), "nodes")
+    of_a = nodes.select(F.col("_node").alias("_na"), F.col("_label").alias("_la"))
+    of_b = nodes.select(F.col("_node").alias("_nb"), F.col("_label").alias("_lb"))
+    between = (
+        more.join(of_a, F.col("_a") == F.col("_na")).join(of_b, F.col("_b") == F.col("_nb"))
+        .where(F.col("_la") != F.col("_lb"))
+        .select(F.greatest("_la", "_lb").alias("_a"), F.least("_la", "_lb").alias("_b")))
+    top = components(between).select(F.col("_node").alias("_from"), F.col("_label").alias("_to"))
+    return stage(nodes.join(top, F.col("_label") == F.col("_from"), "left").select(
+        "_node", F.coalesce("_to", "_label").alias("_label")), "labels")
+
+
 def _star_links(star: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) of the pairs (x, y), each taken once."""
     pairs = star.select(F.greatest("_x", "_y").alias("_a"), F.least("_x", "_y").alias("_b")).distinct()
@@ -459,8 +479,7 @@ def labelled_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_met"))
         .groupBy("_x").agg(F.max(F.struct("_met", "_y")).alias("_hub"))
         .select("_x", F.col("_hub")["_y"].alias("_y")))
-    links = _star_links(hubs, known, sets, percent)
-    labels = components(links)
+    labels = components(_star_links(hubs, known, sets, percent))
 
     # What that left open meets both ends of its buckets, across components only.
     apart = _open(shared, labels)
@@ -471,8 +490,7 @@ def labelled_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         .where(F.col("_of") != F.coalesce("_other", "_y")))
     more = _star_links(end, known, sets, percent)
     if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
+        labels = merged(labels, more)
 
     # Buckets that are open even now, in blocks.
     rest = (
@@ -481,7 +499,7 @@ def labelled_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         .join(known.select("_class", "_registers", "_bands"), "_class"))
     more = stage(_block_links(_open_rows(rest, percent), sets, percent), "confirmed")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = merged(labels, more)
 
     return stage(
         sketched.select("_id", "_key", "_n", "_class")

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridsight.llm.near_dup import _mix, _texts, components, shingle_sets
+from gridsight.llm.near_dup import _mix, _texts, components, merged, shingle_sets
 from gridsight.llm.registry import query, read
 from gridsight.session import stage
 
@@ -407,8 +407,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     texts = stage(_texts_of(docs, id_col, text_col, wanted, words), "texts")
 
     homes = stage(_homes(groups.withColumn("_component", F.col("_node"))), "homes")
-    first = stage(_joined(homes, texts, words, percent), "links")
-    labels = components(first)
+    labels = components(stage(_joined(homes, texts, words, percent), "links"))
     # Groups that were one block have met as a whole.
     met = homes.groupBy("_hub").agg(F.max("_parts").alias("_parts"), F.count(F.lit(1)).alias("_there")).where(
         F.col("_parts") == 1)
@@ -418,15 +417,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         .select("_hub", (_blocks("_size", "_tokens") > 1).alias("_crowded")), "left")
     rest = stage(groups.join(left, "_hub"), "rest")
     crowded = rest.where("_crowded")
-    every = first
     if not crowded.isEmpty():
         second = stage(_joined(_homes(_open(crowded, labels)), texts, words, percent), "links")
         if not second.isEmpty():
-            every = every.unionAll(second)
-            labels = components(every)
+            labels = merged(labels, second)
     last = stage(_joined(_across(_open(rest, labels)), texts, words, percent), "links")
     if not last.isEmpty():
-        labels = components(every.unionAll(last))
+        labels = merged(labels, last)
 
     named = stage(
         sketched.select("_id", "_n", "_class")

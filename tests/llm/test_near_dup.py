@@ -132,3 +132,16 @@ def test_a_group_of_near_copies_needs_about_one_pair_each(spark, monkeypatch):
     found = nd.near_duplicates(docs, 3, 85)
     assert {r.component_id for r in found.collect()} == {0}
     assert sum(pairs) < 2 * 300
+
+
+def test_later_links_join_components_without_going_over_the_first_ones(spark, monkeypatch):
+    first = [(i + 1, i) for i in range(1, 40) if i % 10]  # four chains of ten
+    later = [(11, 3), (50, 25), (51, 50), (12, 4), (61, 60)]
+    schema = "_a long, _b long"
+    labels = nd.components(spark.createDataFrame(first, schema))
+    seen = []
+    components = nd.components
+    monkeypatch.setattr(nd, "components", lambda links: seen.append(links.count()) or components(links))
+    found = {tuple(r) for r in nd.merged(labels, spark.createDataFrame(later, schema)).collect()}
+    assert seen == [len(later)]
+    assert found == {tuple(r) for r in components(spark.createDataFrame(first + later, schema)).collect()}
