@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridsight.llm.near_dup import word_hashes
-from gridsight.llm.registry import fresh, query, read
+from gridsight.llm.registry import fresh, query, read, slices, with_texts
 
 BUCKETS = 1 << 17
 #: Labelled rows to fit on, a documented bound.
@@ -251,16 +251,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(into, T.DoubleType())])
     n = len(keep)
+    sent, place = with_texts(docs, keep, text_col, "_judged")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
-            found = [fitted.score(x) for part in _parts(batch.column(n)) for x in indicators(part)]
+        for batch in slices(batches):
+            found = [fitted.score(x) for part in _parts(batch.column(place)) for x in indicators(part)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(n)), pa.array(found, pa.float64())], schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias(fresh(list(keep), "_judged"))).mapInArrow(
-        judge, schema)
+    return sent.mapInArrow(judge, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -6,8 +6,9 @@ import functools
 import os
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ ORACLES: dict[str, str] = {}
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows with texts that a worker answers at once.
+BATCH_ROWS = 500
 
 
 ROOT = os.path.realpath(os.path.join(os.path.dirname(__file__), "..", ".."))
@@ -71,6 +74,21 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def with_texts(docs: DataFrame, keep: Sequence[str], text_col: str, name: str) -> tuple[DataFrame, int]:
+    """The columns `keep` and the texts, and the place of the texts: as `name` behind the others,
+    unless they are kept anyway, so that no text is sent to Python twice."""
+    if text_col in keep:
+        return docs.select(*keep), list(keep).index(text_col)
+    return docs.select(*keep, F.col(text_col).alias(fresh(list(keep), name))), len(keep)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches`, at most `rows` at once: what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with `value` computed once however often `use` names it."""
     return F.transform(F.array(value), use)[0]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridsight.llm.registry import fresh, query, read
+from gridsight.llm.registry import fresh, query, read, slices, with_texts
 
 #: Most literal texts followed at once while a pattern is read; beyond it the text so far
 #: is turned into trigrams. Only the sharpness of the filter depends on it.
@@ -233,11 +233,12 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     schema = T.StructType([*fields, T.StructField(into, T.ArrayType(SPAN))])
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     n = len(keep)
+    sent, place = with_texts(docs, keep, text_col, "_scanned")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted_trigrams = Trigrams(trigrams)
-        for batch in batches:
-            texts = pc.fill_null(batch.column(n), "")
+        for batch in slices(batches):
+            texts = pc.fill_null(batch.column(place), "")
             index = wanted_trigrams.postings(texts)
             spans: list[list[tuple[int, int, str, int]]] = [[] for _ in range(batch.num_rows)]
             for order, (rule, demand, pattern) in enumerate(zip(rules, wanted, patterns)):
@@ -252,8 +253,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
                 [*(batch.column(i) for i in range(n)), pa.array(out, span_type)],
                 [*keep, into])
 
-    return docs.select(*keep, F.col(text_col).alias(fresh(list(keep), "_scanned"))).mapInArrow(
-        scan, schema)
+    return sent.mapInArrow(scan, schema)
 
 
 def joined(spans: Column) -> Column:

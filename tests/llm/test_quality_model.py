@@ -88,3 +88,32 @@ def test_without_two_classes(spark):
         model = qm.train(docs, table)
         assert {round(r.score, 6) for r in qm.score(docs, model).collect()} == {score}
     assert qm.accepted(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).columns == docs.columns
+
+
+def test_kept_texts_go_to_python_once(spark, monkeypatch):
+    from gridsight.llm import secret_scan
+    from gridsight.llm.registry import with_texts
+
+    docs = corpus_cases.rows(spark)
+    sent = []
+    for module in (qm, secret_scan):
+        monkeypatch.setattr(module, "with_texts", lambda *args: sent.append(with_texts(*args)) or sent[-1])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert qm.accepted(docs, labels).count() == 12 and secret_scan.redact(docs).count() == 12
+    assert [(s.columns, place) for s, place in sent] == [(docs.columns, docs.columns.index("text"))] * 2
+    plain, place = with_texts(docs, ("doc_id",), "text", "_judged")
+    assert plain.columns == ["doc_id", "_judged"] and place == 1
+
+
+def test_answers_do_not_depend_on_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from gridsight.llm.registry import slices
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1201))})
+    assert [b.num_rows for b in slices([batch, batch.slice(0, 0)])] == [500, 500, 201]
+    texts = [(i, None if i % 7 == 0 else f"word{i} é " * (i % 5) + "ab" * (i % 3)) for i in range(1201)]
+    docs = corpus_cases.plain(spark, texts).coalesce(1)
+    model = qm.fit([np.array([i % 5, 9]) for i in range(50)], np.arange(50) % 3 == 0)
+    scores = {r.doc_id: r.score for r in qm.score(docs, model).collect()}
+    assert scores == {i: model.score(qm.indicators([(t or "").encode()])[0]) for i, t in texts}
